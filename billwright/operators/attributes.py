@@ -11,6 +11,7 @@ import re
 from pyspark.sql import functions as F
 
 from billwright import rules
+from billwright.operators.settle import settle
 from billwright.functions.tagging import categories_of, features_of, seniority, size_of
 
 # Weights: same sub category, same main category, same size, per share of line words named,
@@ -59,13 +60,9 @@ def match_by_attributes(lines, products, taxonomy=rules.TAXONOMY, weights=None,
         "subs", F.array_distinct(F.transform("groups", lambda g: g["sub"]))
     )
     texts = F.concat_ws(" ", "model", "description")
+    items = products.groupBy("model", "description", "main_category", "sub_category").agg(F.min("catalog_pos").alias("pos"))
     have = (
-        _signature(
-            products.groupBy("model", "description", "main_category", "sub_category").agg(F.min("catalog_pos").alias("pos")),
-            texts,
-            words,
-            taxonomy,
-        )
+        settle(_signature(items, texts, words, taxonomy).drop("groups", "model", "description"), "products")
         .groupBy(
             F.col("main_category").alias("main"),
             F.col("sub_category").alias("sub"),
@@ -76,6 +73,7 @@ def match_by_attributes(lines, products, taxonomy=rules.TAXONOMY, weights=None,
         )
         .agg(F.min("pos").alias("pos"))
     )
+    wanted = settle(wanted.drop("groups"), "lines")
     shapes = wanted.select(*shape).distinct().withColumn("main", F.explode("mains"))
     score = (
         F.lit(w["main"])

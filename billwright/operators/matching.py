@@ -11,6 +11,7 @@ from billwright.functions.numbers import blank, money, parse_number
 from billwright.functions.text import model_key, name_key, strip_room
 from billwright.operators.containment import around, inside
 from billwright.operators.ordering import first_row, first_rows
+from billwright.operators.settle import settle
 
 _BEST = "struct<neg:double,pos:bigint>"
 
@@ -97,22 +98,31 @@ def _score(synonyms):
     """Shared words over the longer word list, plus a quarter per missing word with a synonym hit.
 
     Catalog words keep duplicates, target words are a set; the bonus runs over all target words.
+    Needs the word columns of ``_keys`` and ``_catalog``.
     """
     table = _synonym_map(synonyms)
-    t_all, p_all = F.split("t_key", " "), F.split("p_key", " ")
-    tw, pw = F.array_distinct(_usable(t_all)), _usable(p_all)
+    tw, pw = F.col("t_words"), F.col("p_words")
     shared = F.size(F.filter(pw, lambda w: F.array_contains(tw, w)))
     base = shared / F.greatest(F.size(tw), F.size(pw))
     helped = F.filter(
-        t_all,
-        lambda w: F.array_contains(tw, w)
-        & ~F.array_contains(pw, w)
-        & F.coalesce(F.arrays_overlap(F.try_element_at(table, w), p_all), F.lit(False)),
+        F.col("t_nouns"),
+        lambda w: ~F.array_contains(pw, w)
+        & F.coalesce(F.arrays_overlap(F.try_element_at(table, w), F.col("p_all")), F.lit(False)),
     )
     bonus = F.when(shared < F.size(tw), F.size(helped) * 0.25).otherwise(F.lit(0.0))
     return F.when(F.size(tw) == 0, F.lit(0.0)).otherwise(base + bonus)
 
 
+def _with_target_words(keys, synonyms):
+    """All words, usable distinct words, and the words (with repeats) that have synonyms."""
+    nouns = F.array(*[F.lit(w) for w in synonyms])
+    return (
+        keys.withColumn("t_all", F.split("t_key", " "))
+        .withColumn("t_words", F.array_distinct(_usable(F.col("t_all"))))
+        .withColumn("t_nouns", F.filter("t_all", lambda w: F.array_contains(nouns, w)))
+    )
+
+
 def _catalog(products):
     """Distinct (brand, key, categories) with the first position; copies collapse here."""
     return (
@@ -125,6 +135,8 @@ def _catalog(products):
         )
         .groupBy("brand_id", "p_key", "main", "sub")
         .agg(F.min("pos").alias("pos"))
+        .withColumn("p_all", F.split("p_key", " "))
+        .withColumn("p_words", _usable(F.col("p_all")))
     )
 
 
@@ -140,15 +152,11 @@ def _best(pairs, synonyms):
 def _word_candidates(keys, catalog, synonyms):
     """Targets without a containment match: categories reachable by a shared word or a synonym."""
     table = _synonym_map(synonyms)
-    words = F.split("t_key", " ")
     reach = F.array_distinct(
-        F.concat(
-            words,
-            F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>")))),
-        )
+        F.concat("t_all", F.flatten(F.transform("t_nouns", lambda w: F.try_element_at(table, w))))
     )
     index = (
-        catalog.withColumn("word", F.explode(F.array_distinct(F.split("p_key", " "))))
+        catalog.withColumn("word", F.explode(F.array_distinct("p_all")))
         .groupBy("brand_id", "word", "main", "sub")
         .agg(F.min("pos").alias("pos"))
     )
@@ -168,37 +176,35 @@ def _word_pairs(keys, catalog, synonyms):
     be shared. Only those are joined. A catalog key with repeated words counts them twice, so all
     target words are tried against it. Longer catalog keys than the score allows are left out.
     """
-    nouns = F.array(*[F.lit(w) for w in synonyms])
-    tw = F.array_distinct(_usable(F.split("t_key", " ")))
-    side = F.size(F.filter(tw, lambda w: F.array_contains(nouns, w)))
+    side = F.size(F.array_distinct("t_nouns"))
     share = F.when(side == 0, 0.5).when(side == 1, 0.25).otherwise(0.0)
-    words = F.array_distinct(_usable(F.split("p_key", " ")))
-    in_catalog = catalog.withColumn("m", F.size(_usable(F.split("p_key", " ")))).withColumn(
-        "repeats", F.col("m") > F.size(words)
-    ).withColumn("word", F.explode(words))
+    in_catalog = (
+        catalog.withColumn("word", F.explode(F.array_distinct("p_words")))
+        .withColumn("m", F.size("p_words"))
+        .withColumn("repeats", F.col("m") > F.size(F.array_distinct("p_words")))
+    )
     frequency = in_catalog.groupBy("brand_id", "word").agg(F.count(F.lit(1)).alias("df"))
     ranked = (
-        keys.select("brand_id", "t_key", F.size(tw).alias("n"), share.alias("share"), F.explode(tw).alias("word"))
+        keys.select("brand_id", "t_key", F.size("t_words").alias("n"), share.alias("share"), F.explode("t_words").alias("word"))
         .join(frequency, ["brand_id", "word"], "left")
         .groupBy("brand_id", "t_key", "n", "share")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("words"))
     )
     needed = F.greatest(F.lit(1), F.ceil(F.col("n") * F.col("share"))).cast("int")
-    probes = ranked.select(
-        "brand_id",
-        "t_key",
-        "n",
-        "share",
-        (F.col("n") - needed + 1).alias("prefix"),
-        F.posexplode("words").alias("at", "w"),
-    ).where("w.df > 0").select("brand_id", "t_key", "n", "share", "prefix", "at", F.col("w.word").alias("word"))
+    probes = (
+        ranked.withColumn("prefix", F.col("n") - needed + 1)
+        .select("brand_id", "t_key", "n", "share", "prefix", F.posexplode("words").alias("at", "w"))
+        .where("w.df > 0")
+        .select("brand_id", "t_key", "n", "share", "prefix", "at", F.col("w.word").alias("word"))
+    )
     fits = (F.col("share") == 0) | (F.col("m") * F.col("share") <= F.col("n"))
-    return (
-        probes.join(in_catalog, ["brand_id", "word"])
+    pairs = (
+        probes.join(in_catalog.select("brand_id", "word", "p_key", "m", "repeats").distinct(), ["brand_id", "word"])
         .where(F.col("repeats") | ((F.col("at") < F.col("prefix")) & fits))
-        .select("brand_id", "t_key", "p_key", "main", "sub", "pos")
+        .select("brand_id", "t_key", "p_key")
         .distinct()
     )
+    return pairs.join(catalog, ["brand_id", "p_key"])
 
 
 def _synonym_only(keys, catalog, synonyms):
@@ -208,17 +214,10 @@ def _synonym_only(keys, catalog, synonyms):
     the sets of those words (subsets of a fixed vocabulary) before they meet.
     """
     table = _synonym_map(synonyms)
-    nouns = F.array(*[F.lit(w) for w in synonyms])
-    vocabulary = sorted({w for k, v in synonyms.items() for w in (k, *v)})
-    known = F.array(*[F.lit(w) for w in vocabulary])
-
-    def subset(key, of):
-        words = F.split(key, " ")
-        return F.filter(of, lambda w: F.array_contains(words, w))
-
-    wanted = keys.withColumn("t_set", subset("t_key", nouns)).where(F.size("t_set") > 1)
+    known = F.array(*[F.lit(w) for w in sorted({w for k, v in synonyms.items() for w in (k, *v)})])
+    wanted = keys.withColumn("t_set", F.array_sort("t_nouns")).where(F.size("t_set") > 1)
     have = (
-        catalog.withColumn("p_set", subset("p_key", known))
+        catalog.withColumn("p_set", F.array_sort(F.array_intersect("p_all", known)))
         .where(F.size("p_set") > 0)
         .groupBy("brand_id", "p_set", "main", "sub")
         .agg(F.min("pos").alias("pos"))
@@ -251,7 +250,8 @@ def match_keys(targets, products, synonyms=rules.SYNONYMS):
         model_key("model").alias("t_key"),
         F.when(F.length("category") > 2, F.lower(F.trim("category"))).otherwise(F.lit("")).alias("cat"),
     ).where("t_key <> '' and brand_id is not null").distinct()
-    catalog = _catalog(products)
+    wanted = settle(wanted, "targets")
+    catalog = settle(_catalog(products), "catalog")
     keys = wanted.select("brand_id", "t_key").distinct()
 
     same = catalog.groupBy("brand_id", F.col("p_key").alias("t_key")).agg(F.min("pos").alias("pos"))
@@ -259,14 +259,15 @@ def match_keys(targets, products, synonyms=rules.SYNONYMS):
         "brand_id", "t_key", "cat", "pos", F.lit(1).alias("stage"), F.lit(1.0).alias("score")
     )
 
-    left = keys.join(same, ["brand_id", "t_key"], "left_anti")
-    contained = _best(inside(left, catalog).unionByName(around(left, catalog)), synonyms)
+    left = settle(_with_target_words(keys.join(same, ["brand_id", "t_key"], "left_anti"), synonyms), "keys")
+    pairs = inside(left, catalog).unionByName(around(left, catalog))
+    contained = settle(_best(pairs.join(left, ["brand_id", "t_key"]), synonyms), "contained")
     by_text = contained.withColumn("stage", F.lit(2))
 
-    open_keys = left.join(contained, ["brand_id", "t_key"], "left_anti")
+    open_keys = settle(left.join(contained, ["brand_id", "t_key"], "left_anti"), "open")
     reachable = _word_candidates(open_keys, catalog, synonyms)
     scored = (
-        _best(_word_pairs(open_keys, catalog, synonyms), synonyms)
+        _best(_word_pairs(open_keys, catalog, synonyms).join(open_keys, ["brand_id", "t_key"]), synonyms)
         .drop("first_pos")
         .unionByName(_synonym_only(open_keys, catalog, synonyms))
         .groupBy("brand_id", "t_key", "main", "sub")

@@ -6,6 +6,7 @@ from billwright.functions.numbers import or_else, parse_number
 from billwright.functions.text import model_key, name_key
 from billwright.functions.urls import image_or_logo
 from billwright.operators import hardening, matching
+from billwright.operators.settle import settle
 
 
 def auto_match(candidates, identified, brands, products, discovered):
@@ -54,7 +55,7 @@ def auto_match(candidates, identified, brands, products, discovered):
 
 def snap_results(results, products):
     """Successful results filled from the catalog: rate, amount, categories."""
-    won = results.where("status = 'success'")
+    won = settle(results.where("status = 'success'"), "results")
     return matching.fill_from_snap(matching.snap_to_catalog(won, products), products)
 
 

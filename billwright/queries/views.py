@@ -53,6 +53,16 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def parts(spark, sf):
+    """Parts with their furniture text as a column of its own, so later expressions stay short."""
+    return table(spark, sf, "part").withColumn("fname", F.expr(FURNISH))
+
+
+def on_parts(expr):
+    """Shared expression over ``parts``."""
+    return F.expr(expr.replace(FURNISH, "fname"))
+
+
 # ------------------------------------------------------------------ bills of quantities
 _RATE_E4 = "(CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT)) {div} (2 * CAST(l_quantity AS BIGINT))"
 
@@ -99,7 +109,7 @@ BOQ_SQL = sql_text(f"""boq AS (
 
 # ------------------------------------------------------------------ catalog
 def catalog(spark, sf):
-    return table(spark, sf, "part").select(
+    return parts(spark, sf).select(
         F.col("p_brand").alias("brand_id"),
         F.col("p_brand").alias("brand"),
         F.expr(TIER).alias("tier"),
@@ -107,8 +117,8 @@ def catalog(spark, sf):
         F.col("p_type").alias("main_category"),
         F.expr("p_type || ' S' || CAST(p_size % 5 AS STRING)").alias("sub_category"),
         F.expr("'F' || CAST(p_size % 3 AS STRING)").alias("family"),
-        F.expr(MODEL).alias("model"),
-        F.expr(DESCRIPTION).alias("description"),
+        on_parts(MODEL).alias("model"),
+        on_parts(DESCRIPTION).alias("description"),
         F.expr(IMAGE_URL).alias("image_url"),
         F.expr(PRODUCT_URL).alias("product_url"),
         F.expr(NORM_CATEGORY).alias("norm_category"),
@@ -146,10 +156,10 @@ BRANDS_SQL = sql_text(f"""brands AS (
 
 def identified(spark, sf):
     """Models named by an identification step, to be found in the catalog."""
-    return table(spark, sf, "part").select(
+    return parts(spark, sf).select(
         F.col("p_partkey").alias("target_id"),
         F.col("p_brand").alias("brand_id"),
-        F.expr(IDENTIFIED).alias("model"),
+        on_parts(IDENTIFIED).alias("model"),
         F.expr(WANTED_CATEGORY).alias("category"),
     )
 
