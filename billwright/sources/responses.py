@@ -6,6 +6,7 @@ not parse go through the Arrow-batched repair; what still does not parse is a re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 ITEM = (
     "struct<sn:string,location:string,scope:string,code:string,description:string,"
@@ -44,7 +45,7 @@ def _balance(text):
     return text + "".join(reversed(open_ones))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else _balance(t))
 
