@@ -137,10 +137,12 @@ def _as_products(found, order):
     )
 
 
-def page_blocks(elements, cards, least=5):
-    """Generic blocks with image, link and heading, on pages with fewer than five cards."""
-    enough = cards.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select("page_id")
-    pages = elements.join(enough, "page_id", "left_anti")
+def page_blocks(elements, cards=None, least=5):
+    """Generic blocks with image, link and heading; with ``cards`` only on pages with fewer than five."""
+    pages = elements
+    if cards is not None:
+        counts = cards.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"))
+        pages = elements.join(counts.where(F.col("_n") >= least).select("page_id"), "page_id", "left_anti")
     boxes = pages.where(F.col("tag").isin("div", "li", "article", "section") & (F.col("text_len") <= 2000)).select(
         "page_id", "url", F.col("node").alias("container")
     )

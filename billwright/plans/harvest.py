@@ -3,13 +3,14 @@
 from pyspark.sql import functions as F
 
 from billwright.operators import dedup, harvest
+from billwright.operators.settle import settle
 from billwright.sources.pages import page_elements
 
 
 def harvest_pages(pages):
     """Cards, generic blocks and declared products of all pages; first product per model and page wins."""
-    elements = page_elements(pages)
-    cards = harvest.page_cards(elements)
+    elements = settle(page_elements(pages), "elements")
+    cards = settle(harvest.page_cards(elements), "cards")
     blocks = harvest.page_blocks(elements, cards)
     declared = harvest.structured_products(pages).select(
         "page_id",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from billwright import rules
 from billwright.functions.text import title_words
 from billwright.operators import harvest
+from billwright.operators.settle import settle
 from billwright.plans.harvest import harvest_pages
 from billwright.queries import views as V
 from billwright.queries.registry import query
@@ -71,16 +72,6 @@ def page_brand_info(spark, sf):
     return harvest.brand_info(_elements(spark, sf)).select("page_id", "title_name", "heading_name", "host_name", "name")
 
 
-@query(
-    "menu_links",
-    f"""WITH {LINKS_SQL}, m AS (SELECT page_id, i, link, CASE WHEN text = '' THEN 'Products' ELSE text END AS label, row_number() OVER (PARTITION BY page_id, link ORDER BY i) AS rn FROM links
-  WHERE {_has('lower(link)', rules.PRODUCT_URL_PARTS)} OR {_has("lower(replace(link, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), ''))", rules.NAV_CATEGORY_WORDS)} OR {_has('lower(text)', rules.NAV_CATEGORY_WORDS)})
-SELECT page_id, link, label FROM m WHERE rn = 1 AND NOT {_has('lower(link)', rules.NAV_EXCLUDE)}""",
-)
-def menu_links(spark, sf):
-    return harvest.menu_links(harvest.links(_elements(spark, sf))).select("page_id", "link", "label")
-
-
 @query(
     "hierarchy_links",
     f"""WITH {LINKS_SQL}, m AS (SELECT page_id, link, text AS label, row_number() OVER (PARTITION BY page_id, link ORDER BY i) AS rn FROM links
@@ -125,6 +116,11 @@ def shop_pages(spark, sf):
     return pages.select("page_id", F.expr(f"{SITE} || '/product-category/page-' || CAST(page_id AS STRING)").alias("url"), html.alias("html"))
 
 
+def shop_elements(spark, sf):
+    """Parsed once, read several times."""
+    return settle(page_elements(shop_pages(spark, sf)), "elements")
+
+
 PARTS_SQL = V.sql_text(f"shop AS (SELECT *, p_partkey // {PER_PAGE} AS page_id, {V.FURNISH} AS fname FROM part), sites AS (SELECT *, {SITE} AS site, {TITLE} AS title FROM shop)")
 
 
@@ -134,7 +130,7 @@ PARTS_SQL = V.sql_text(f"shop AS (SELECT *, p_partkey // {PER_PAGE} AS page_id,
 SELECT page_id, s AS selector, CAST(n AS BIGINT) AS elements, round(t * 30 + 40 + t * 30, 6) AS score FROM f, (VALUES ('.product'), ('li.product')) v(s) WHERE n >= 2 AND t * 60 + 40 > 50""",
 )
 def container_scores(spark, sf):
-    return harvest.container_scores(page_elements(shop_pages(spark, sf))).select("page_id", "selector", "elements", "score")
+    return harvest.container_scores(shop_elements(spark, sf)).select("page_id", "selector", "elements", "score")
 
 
 CARDS_SQL = V.sql_text(f"""{PARTS_SQL}, big AS (SELECT page_id FROM sites GROUP BY page_id HAVING count(*) >= 2),
@@ -144,13 +140,17 @@ cards AS (SELECT page_id, p_partkey, title, site || {CARD_IMAGE} AS image_url, s
 
 @query("page_cards", f"WITH {CARDS_SQL} SELECT page_id, title AS model, image_url, product_url FROM cards WHERE rn = 1")
 def page_cards(spark, sf):
-    return harvest.page_cards(page_elements(shop_pages(spark, sf))).select("page_id", "model", "image_url", "product_url")
+    return harvest.page_cards(shop_elements(spark, sf)).select("page_id", "model", "image_url", "product_url")
 
 
-@query("page_blocks")
+@query(
+    "page_blocks",
+    V.sql_text(f"""WITH {PARTS_SQL}, b AS (SELECT page_id, p_partkey, title, CASE p_partkey % 4 WHEN 2 THEN site || '/s.jpg' ELSE site || {CARD_IMAGE} END AS image_url,
+   site || '/p/item-' || CAST(p_partkey AS VARCHAR) AS product_url, row_number() OVER (PARTITION BY page_id, title ORDER BY p_partkey) AS rn FROM sites WHERE p_partkey % 5 <> 0 AND p_partkey % 4 <> 3)
+SELECT page_id, title AS model, image_url, product_url FROM b WHERE rn = 1"""),
+)
 def page_blocks(spark, sf):
-    elements = page_elements(shop_pages(spark, sf))
-    return harvest.page_blocks(elements, harvest.page_cards(elements).limit(0)).select("page_id", "model", "image_url", "product_url")
+    return harvest.page_blocks(shop_elements(spark, sf)).select("page_id", "model", "image_url", "product_url")
 
 
 @query(
@@ -166,7 +166,7 @@ def declared_products(spark, sf):
     f"WITH {PARTS_SQL} SELECT DISTINCT page_id, site || '/brand-logo.png' AS logo, CASE WHEN page_id >= 0 THEN 15 END AS score FROM sites",
 )
 def page_logos(spark, sf):
-    elements = page_elements(shop_pages(spark, sf))
+    elements = shop_elements(spark, sf)
     names = elements.select("page_id").distinct().select("page_id", F.lit("Nobody").alias("name"))
     return harvest.logo_of(elements, names)
 
@@ -176,7 +176,17 @@ def page_logos(spark, sf):
     f"WITH {PARTS_SQL} SELECT page_id, 'Executive' AS name, CAST(count(*) AS BIGINT) AS products, site || '/product-category/exec' AS link FROM sites GROUP BY page_id, site",
 )
 def counted_categories(spark, sf):
-    return harvest.counted_categories(harvest.links(page_elements(shop_pages(spark, sf)))).select("page_id", "name", "products", "link")
+    return harvest.counted_categories(harvest.links(shop_elements(spark, sf))).select("page_id", "name", "products", "link")
+
+
+@query(
+    "menu_links",
+    f"""WITH {PARTS_SQL}, p AS (SELECT page_id, site, count(*) AS n FROM sites GROUP BY ALL)
+SELECT page_id, site || '/c/chairs' AS link, 'Chairs' AS label FROM p UNION ALL SELECT page_id, site || '/product-category/exec', 'Executive (' || CAST(n AS VARCHAR) || ')' FROM p
+UNION ALL SELECT page_id, site || '/c/desks-' || CAST(page_id AS VARCHAR), 'Desks' FROM p""",
+)
+def menu_links(spark, sf):
+    return harvest.menu_links(harvest.links(shop_elements(spark, sf))).select("page_id", "link", "label")
 
 
 @query(
@@ -186,7 +196,7 @@ SELECT page_id, site || '/product-category/exec' AS link, 'Chairs' AS main_categ
 UNION ALL SELECT page_id, site || '/c/desks-' || CAST(page_id AS VARCHAR), 'Desks', 'Desks' FROM p""",
 )
 def menu_tree(spark, sf):
-    return harvest.menu_tree(page_elements(shop_pages(spark, sf))).select("page_id", "link", "main_category", "sub_category")
+    return harvest.menu_tree(shop_elements(spark, sf)).select("page_id", "link", "main_category", "sub_category")
 
 
 @query(
@@ -194,7 +204,7 @@ def menu_tree(spark, sf):
     f"""WITH {PARTS_SQL} SELECT page_id, site || '/p/item-' || CAST(p_partkey AS VARCHAR) AS link, 'product' AS kind FROM sites WHERE p_partkey % 5 <> 0""",
 )
 def catalog_links(spark, sf):
-    return harvest.catalog_links(harvest.links(page_elements(shop_pages(spark, sf))), "example.com").select("page_id", "link", "kind")
+    return harvest.catalog_links(harvest.links(shop_elements(spark, sf)), "example.com").select("page_id", "link", "kind")
 
 
 @query(
@@ -206,7 +216,7 @@ SELECT page_id, model, image_url, product_url FROM found WHERE page_id IN (SELEC
 def harvest_all(spark, sf):
     # Pages with at least five cards need no generic blocks, which is the part SQL can follow.
     pages = shop_pages(spark, sf)
-    cards = harvest.page_cards(page_elements(pages)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+    cards = harvest.page_cards(shop_elements(spark, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
     return harvest_pages(pages).join(cards, "page_id", "left_semi").select("page_id", "model", "image_url", "product_url")
 
 
@@ -245,7 +255,7 @@ def page_details(spark, sf):
 )
 def detail_enrichment(spark, sf):
     pages = product_pages(spark, sf).where("page_id % 10 <> 9")
-    texts = harvest.page_texts(page_elements(pages))
+    texts = harvest.page_texts(settle(page_elements(pages), "elements"))
     products = V.parts(spark, sf).select(
         F.col("p_partkey").alias("product_id"), F.col("fname").alias("model"), F.col("fname").alias("description"),
         F.expr("'https://shop.example.com/p/item-' || CAST(p_partkey AS STRING)").alias("product_url"),

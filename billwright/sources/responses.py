@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from billwright.operators.settle import settle
+
 ITEM = (
     "struct<sn:string,location:string,scope:string,code:string,description:string,"
     "qty:string,unit:string,rate:string,amount:string,hasImage:boolean>"
@@ -15,22 +17,30 @@ ITEM = (
 _CONTROL = "[\\x00-\\x1F\\x7F-\\x9F]"
 
 
-def json_block(raw):
-    """The JSON part: from {"items" or {"inventory" or the first brace to the last brace, else the
-    text without code fences."""
-    raw = F.col(raw)
-    anchored = F.regexp_extract(raw, r'(?s)(\{\s*"(?:items|inventory)"\s*:.*\})', 1)
-    braced = F.regexp_extract(raw, r"(?s)(\{.*\})", 1)
-    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"(?i)\s*```$", ""))
-    return F.when(anchored != "", anchored).when(braced != "", braced).otherwise(bare)
-
+def with_json_text(responses):
+    """Adds ``block`` and ``rows_text``.
 
-def rows_block(raw):
-    """Smallest block with a "rows" list, when its braces balance."""
-    block = F.regexp_extract(F.col(raw), r'(?s)(\{.*?"rows".*?\[.*?\].*?\})', 1)
-    opens = F.length(block) - F.length(F.replace(block, F.lit("{"), F.lit("")))
-    closes = F.length(block) - F.length(F.replace(block, F.lit("}"), F.lit("")))
-    return F.when((block != "") & (opens == closes), block)
+    ``block`` runs from {"items" or {"inventory" or the first brace to the last brace, else it is the
+    text without code fences. ``rows_text`` is the smallest part with a "rows" list, when its braces
+    balance. Each search is a column of its own so that it is evaluated once.
+    """
+    raw = F.col("raw")
+    searched = responses.select(
+        "response_id",
+        "raw",
+        F.regexp_extract(raw, r'(?s)(\{\s*"(?:items|inventory)"\s*:.*\})', 1).alias("_anchored"),
+        F.regexp_extract(raw, r"(?s)(\{.*\})", 1).alias("_braced"),
+        F.regexp_extract(raw, r'(?s)(\{.*?"rows".*?\[.*?\].*?\})', 1).alias("_rows"),
+    )
+    bare = F.trim(F.regexp_replace(F.regexp_replace(raw, r"(?i)^```(?:json)?\s*", ""), r"(?i)\s*```$", ""))
+    balanced = F.length(F.regexp_replace("_rows", r"[^{]", "")) == F.length(F.regexp_replace("_rows", r"[^}]", ""))
+    clean = lambda c: F.regexp_replace(c, _CONTROL, "")
+    return searched.select(
+        "response_id",
+        "raw",
+        clean(F.coalesce(F.nullif("_anchored", F.lit("")), F.nullif("_braced", F.lit("")), bare)).alias("block"),
+        F.when((F.col("_rows") != "") & balanced, clean(F.col("_rows"))).alias("rows_text"),
+    )
 
 
 def _balance(text):
@@ -56,13 +66,8 @@ def _valid(text):
 
 def parse_responses(responses):
     """(rows, rejects). Rows carry response_id, pos and the item fields; rejects keep the raw text."""
-    clean = lambda c: F.regexp_replace(c, _CONTROL, "")
-    first = responses.select(
-        "response_id",
-        "raw",
-        clean(json_block("raw")).alias("block"),
-        F.coalesce(_valid(clean(rows_block("raw"))), _valid(clean(json_block("raw")))).alias("doc"),
-    )
+    doc = F.coalesce(_valid(F.col("rows_text")), _valid(F.col("block")))
+    first = settle(with_json_text(responses).select("response_id", "raw", "block", doc.alias("doc")), "responses")
     good = first.where("doc is not null")
     mended = first.where("doc is null").withColumn("doc", _valid(repair("block")))
     parsed = good.unionByName(mended.where("doc is not null"))
