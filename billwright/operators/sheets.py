@@ -48,12 +48,20 @@ def attach_images(cell_images):
 def sheet_rows(cells, cell_images=None):
     """One record per sheet row: its cells, the header patterns it hits, whether it is a total."""
     value = F.coalesce(F.col("value"), F.lit(""))
-    hits = [F.max(value.rlike(p).cast("int")) for p in rules.HEADER_PATTERNS]
-    rows = cells.groupBy(*SHEET, "row_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_no", value.alias("value")))).alias("cells"),
-        F.max("col_no").alias("width"),
-        sum(hits[1:], hits[0]).alias("hits"),
-        F.max(value.rlike(rules.SUMMARY_CELL)).alias("is_total"),
+    gathered = cells.groupBy(*SHEET, "row_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_no", value.alias("value")))).alias("cells")
+    )
+    # The patterns have no anchors, so one search over the joined texts finds a hit in any cell.
+    text = gathered.withColumn("_text", F.array_join(F.map_values("cells"), "\u0001"))
+    hits = F.lit(0)
+    for pattern in rules.HEADER_PATTERNS:
+        hits = hits + F.col("_text").rlike(pattern).cast("int")
+    total = F.exists(F.map_values("cells"), lambda v: v.rlike(rules.SUMMARY_CELL))
+    rows = (
+        text.withColumn("width", F.array_max(F.map_keys("cells")))
+        .withColumn("hits", hits)
+        .drop("_text")
+        .withColumn("is_total", F.when(F.col("hits") > 0, total).otherwise(F.lit(False)))
     )
     if cell_images is None:
         return rows.withColumn(

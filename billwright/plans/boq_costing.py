@@ -2,11 +2,12 @@
 
 from billwright import rules
 from billwright.operators import costing, sheets
+from billwright.operators.settle import settle
 
 
 def structure(cells, cell_images=None, drop_repeated=True, keep_images=True):
-    """Header and table of each document."""
-    rows = sheets.sheet_rows(cells, cell_images)
+    """Header and table of each document. The gathered rows are written once and read by both."""
+    rows = settle(sheets.sheet_rows(cells, cell_images), "rows")
     return sheets.stitch(rows, sheets.header_rows(rows), drop_repeated, keep_images)
 
 
