@@ -14,8 +14,9 @@ from billwright import rules
 from billwright.operators.settle import settle
 from billwright.functions.tagging import categories_of, features_of, seniority, size_of
 
-# Weights: same sub category, same main category, same size, per share of line words named,
-# per step of rank distance, per shared feature tag.
+# Weights: same sub category, same main category, same size, share of line words named (plain
+# furniture nouns count half),
+# per step of rank distance beyond the first, per shared feature tag.
 WEIGHTS = {"sub": 3.0, "main": 1.0, "size": 2.0, "words": 4.0, "rank": -0.1, "tags": 0.25}
 LEAST = 2.0
 
@@ -74,13 +75,15 @@ def match_by_attributes(lines, products, taxonomy=rules.TAXONOMY, weights=None,
         .agg(F.min("pos").alias("pos"))
     )
     wanted = settle(wanted.drop("groups"), "lines")
+    nouns = F.array(*[F.lit(n) for n in rules.SYNONYMS])
+    worth = lambda ws: F.size(ws) - F.size(F.array_intersect(ws, nouns)) * 0.5
     shapes = wanted.select(*shape).distinct().withColumn("main", F.explode("mains"))
     score = (
         F.lit(w["main"])
         + F.when(F.array_contains("subs", F.col("sub")), w["sub"]).otherwise(0.0)
         + F.when(F.col("size") == F.col("p_size"), w["size"]).otherwise(0.0)
-        + F.when(F.size("words") > 0, F.size(F.array_intersect("words", "p_words")) * w["words"] / F.size("words")).otherwise(0.0)
-        + F.coalesce(F.abs(F.col("rank") - F.col("p_rank")), F.lit(0)) * w["rank"]
+        + F.when(F.size("words") > 0, worth(F.array_intersect("words", "p_words")) * w["words"] / worth(F.col("words"))).otherwise(0.0)
+        + F.greatest(F.coalesce(F.abs(F.col("rank") - F.col("p_rank")), F.lit(0)) - 1, F.lit(0)) * w["rank"]
         + F.size(F.array_intersect("tags", "p_tags")) * w["tags"]
     )
     filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -42,7 +42,8 @@ def read_brand_documents(spark, paths):
 
 def typed_brands(docs):
     """Products that are not a list become an empty list."""
-    products = F.coalesce(F.from_json("products", f"array<{PRODUCT}>"), F.array().cast(f"array<{PRODUCT}>"))
+    listed = F.when(F.trim("products").startswith("["), F.from_json("products", f"array<{PRODUCT}>"))
+    products = F.coalesce(listed, F.array().cast(f"array<{PRODUCT}>"))
     return docs.select(
         F.col("id").alias("brand_id"),
         "name",
