@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from billwright import rules
 from billwright.functions.text import contains_any, count_words
+from billwright.operators.containment import cut
 from billwright.operators.ordering import running_sum
 
 PAGE = ["doc_id", "page"]
@@ -164,11 +165,12 @@ def row_anchors(rows, items, prefix=10):
         .where(F.length("_stem") > 3)
         .withColumn("_stem", F.substring("_stem", 1, prefix))
     )
+    # Descriptions start a text when they equal one of its pieces of the same length.
+    pieces = keyed.withColumn("_lengths", F.array(*[F.lit(n) for n in range(4, prefix + 1)])).select(
+        *PAGE, "ord", "y", F.explode(cut("_k", "_lengths")).alias("_stem")
+    )
     by_text = (
-        left.join(keyed, PAGE)
-        .where(F.col("_k").contains(F.col("_stem")))
-        .groupBy(*PAGE, "row_idx")
-        .agg(F.min_by("y", "ord").alias("text_y"))
+        left.join(pieces, [*PAGE, "_stem"]).groupBy(*PAGE, "row_idx").agg(F.min_by("y", "ord").alias("text_y"))
     )
     return (
         rows.join(by_sn, [*PAGE, "row_idx"], "left")

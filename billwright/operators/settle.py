@@ -9,12 +9,16 @@ import tempfile
 import uuid
 
 
+_LOCAL = []
+
+
 def shared_folder(spark):
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
+    return _LOCAL[0]
 
 
 def settle(df, name="step"):

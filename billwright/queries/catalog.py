@@ -264,7 +264,7 @@ ASSET = "'assets/' || source || '/' || CAST(doc_id AS STRING) || CASE doc_id % 3
     "asset_inventory",
     V.sql_text(f"""WITH a AS (SELECT {ASSET} AS pathname, n_chars * n_chars AS size FROM documents), u AS (SELECT *, CASE WHEN size <= 0 THEN 0 WHEN size < 1024 THEN 0 WHEN size < 1048576 THEN 1 WHEN size < 1073741824 THEN 2 ELSE 3 END AS k FROM a),
 d AS (SELECT *, CASE k WHEN 0 THEN 1 WHEN 1 THEN 1024 WHEN 2 THEN 1048576 ELSE 1073741824 END AS q FROM u)
-SELECT pathname, size, rtrim(rtrim(CAST(CAST(CAST((CAST(size AS HUGEINT) * 200 + q) // (2 * q) AS BIGINT) AS DECIMAL(18,0)) * CAST('0.01' AS DECIMAL(3,2)) AS VARCHAR), '0'), '.') || CASE k WHEN 0 THEN ' B' WHEN 1 THEN ' KB' WHEN 2 THEN ' MB' ELSE ' GB' END AS size_text,
+SELECT pathname, size, rtrim(rtrim(CAST(CAST(CAST((CAST(size AS HUGEINT) * 200 + q) // (CAST(2 AS HUGEINT) * q) AS BIGINT) AS DECIMAL(18,0)) * CAST('0.01' AS DECIMAL(3,2)) AS VARCHAR), '0'), '.') || CASE k WHEN 0 THEN ' B' WHEN 1 THEN ' KB' WHEN 2 THEN ' MB' ELSE ' GB' END AS size_text,
   doc_id_img AS is_image FROM (SELECT *, regexp_matches(pathname, '(?i)\\.(jpg|jpeg|png|webp|svg|gif)$') AS doc_id_img FROM d)"""),
 )
 def asset_inventory(spark, sf):
