@@ -1,6 +1,7 @@
 """Numbers that arrive as text, and money."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from billwright import rules
 
@@ -19,6 +20,12 @@ def parse_number(x):
     return prefix.try_cast(AMOUNT)
 
 
+def number_in(df, name):
+    """Number in a column of a frame: numeric columns as they are, texts parsed."""
+    numeric = isinstance(df.schema[name].dataType, T.NumericType)
+    return F.col(name).cast(AMOUNT) if numeric else parse_number(name)
+
+
 def parse_loose_number(x):
     """Drop every character that is not a digit, dot or minus, then parse; 0 when nothing is left."""
     kept = F.regexp_replace(_c(x).cast("string"), r"[^0-9.-]+", "")

@@ -6,7 +6,7 @@ Money is decimal from the first operation on and rounded half up.
 from pyspark.sql import functions as F
 
 from billwright import rules
-from billwright.functions.numbers import AMOUNT, blank, money, or_else, parse_number
+from billwright.functions.numbers import AMOUNT, blank, money, number_in, or_else, parse_number
 from billwright.operators.sheets import role_value
 
 FACTOR = "decimal(18,10)"
@@ -92,12 +92,11 @@ def row_markup(rows, f, recompute_amount=True):
     marked = F.coalesce(base > 0, F.lit(False))
     out = rows.withColumn("_marked", marked).withColumn("_rate", costed)
     if recompute_amount:
-        exact = base * _multiplier(f)
-        amount = money(exact.cast("decimal(24,8)") * F.coalesce(parse_number("qty"), F.lit(0)).cast("decimal(12,4)"))
-        out = out.withColumn("amount", F.when(F.col("_marked"), amount).otherwise(parse_number("amount")))
-    return out.withColumn("rate", F.when(F.col("_marked"), F.col("_rate")).otherwise(parse_number("rate"))).drop(
-        "_marked", "_rate"
-    )
+        exact, qty = base * _multiplier(f), F.coalesce(number_in(rows, "qty"), F.lit(0))
+        amount = money(exact.cast("decimal(24,8)") * qty.cast("decimal(12,4)"))
+        out = out.withColumn("amount", F.when(F.col("_marked"), amount).otherwise(number_in(rows, "amount")))
+    rate = F.when(F.col("_marked"), F.col("_rate")).otherwise(number_in(rows, "rate"))
+    return out.withColumn("rate", rate).drop("_marked", "_rate")
 
 
 def cost_table(table, money_cols, f):
@@ -115,13 +114,13 @@ def cost_table(table, money_cols, f):
     )
 
 
-def line_amount(basis="costed"):
+def line_amount(rows, basis="costed"):
     """Amount of one row under one of the three bases (A4)."""
-    qty, rate = F.coalesce(parse_number("qty"), F.lit(0)), F.coalesce(parse_number("rate"), F.lit(0))
-    product = (qty * rate).cast("decimal(24,8)")
-    stored = parse_number("amount").cast("decimal(24,8)")
+    stored = number_in(rows, "amount").cast("decimal(24,8)")
     if basis == "costed":
         return F.coalesce(stored, F.lit(0))
+    qty, rate = F.coalesce(number_in(rows, "qty"), F.lit(0)), F.coalesce(number_in(rows, "rate"), F.lit(0))
+    product = (qty * rate).cast("decimal(24,8)")
     if basis == "stored_else_product":
         return F.when(blank(F.col("amount").cast("string")), product).otherwise(F.coalesce(stored, F.lit(0)))
     return product
@@ -129,7 +128,7 @@ def line_amount(basis="costed"):
 
 def totals(rows, f, keys=("doc_id",), basis="costed"):
     """Subtotal, VAT and grand total per key (A4)."""
-    sums = rows.groupBy(*keys).agg(F.sum(line_amount(basis)).alias("_sum"), F.count(F.lit(1)).alias("lines"))
+    sums = rows.groupBy(*keys).agg(F.sum(line_amount(rows, basis)).alias("_sum"), F.count(F.lit(1)).alias("lines"))
     vat = F.lit(f["vat"]).cast("decimal(8,6)")
     exact = F.col("_sum").cast("decimal(24,8)")
     return sums.select(
@@ -180,7 +179,8 @@ def compare_tiers(rows, columns=("selected_brand", "selected_model", "rate")):
 
 def offer(rows, wide=False):
     """Offer columns with defaults; ``wide`` adds brand and model."""
-    amount = F.coalesce(parse_number("amount"), amount_of(), F.lit(0).cast("decimal(18,2)"))
+    product = money(number_in(rows, "qty") * number_in(rows, "rate"))
+    amount = F.coalesce(number_in(rows, "amount"), product, F.lit(0).cast("decimal(18,2)"))
     head = [
         *[c for c in ("doc_id", "tier") if c in rows.columns],
         "sn",
