@@ -177,17 +177,28 @@ def crop_bands(spark, sf):
 
 
 # ------------------------------------------------------------------ events
+def _stamp(c):
+    """Time as text, so that the result does not depend on the client's time zone."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+
+
+def _stamp_sql(x):
+    return f"strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
+
+
 SESSIONS_SQL = f"""{V.ACTIVITY_SQL}, g AS (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS before FROM activity),
 s AS (SELECT *, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 2 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM g)"""
 
 
 @query(
     "session_expiry",
-    f"""WITH {SESSIONS_SQL} SELECT session_id, CAST(n AS BIGINT) AS session_no, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS events,
-  CAST(count(DISTINCT CASE WHEN kind = 'file' THEN ref END) AS BIGINT) AS files, CAST(count(DISTINCT CASE WHEN kind = 'blob' THEN ref END) AS BIGINT) AS blobs, max(ts) + INTERVAL 2 HOURS AS expires_at FROM s GROUP BY session_id, n""",
+    f"""WITH {SESSIONS_SQL} SELECT session_id, CAST(n AS BIGINT) AS session_no, {_stamp_sql('min(ts)')} AS first_ts, {_stamp_sql('max(ts)')} AS last_ts, CAST(count(*) AS BIGINT) AS events,
+  CAST(count(DISTINCT CASE WHEN kind = 'file' THEN ref END) AS BIGINT) AS files, CAST(count(DISTINCT CASE WHEN kind = 'blob' THEN ref END) AS BIGINT) AS blobs, {_stamp_sql('max(ts) + INTERVAL 2 HOURS')} AS expires_at FROM s GROUP BY session_id, n""",
 )
 def session_expiry(spark, sf):
-    return jobs.expired_sessions(V.activity(spark, sf))
+    found = jobs.expired_sessions(V.activity(spark, sf))
+    stamps = ("first_ts", "last_ts", "expires_at")
+    return found.select(*[_stamp(c) if c in stamps else F.col(c) for c in found.columns])
 
 
 @query("session_refs", f"WITH {SESSIONS_SQL} SELECT DISTINCT session_id, CAST(n AS BIGINT) AS session_no, kind, ref FROM s")
@@ -201,11 +212,11 @@ TASK_STATUS = "CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'pro
 @query(
     "task_latest",
     f"""WITH t AS (SELECT CAST(user_id AS VARCHAR) AS task_id, {TASK_STATUS} AS status, CAST(event_id % 101 AS INTEGER) AS progress, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
-SELECT task_id, status, progress, ts FROM t WHERE rn = 1""",
+SELECT task_id, status, progress, {_stamp_sql('ts')} AS ts FROM t WHERE rn = 1""",
 )
 def task_latest(spark, sf):
     events = V.table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("task_id"), F.expr(TASK_STATUS).alias("status"), (F.col("event_id") % 101).cast("int").alias("progress"),
         F.lit("").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
     )
-    return jobs.latest_tasks(events).select("task_id", "status", "progress", "ts")
+    return jobs.latest_tasks(events).select("task_id", "status", "progress", _stamp("ts"))

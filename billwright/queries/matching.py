@@ -357,7 +357,45 @@ def rate_card_match(spark, sf):
     )
 
 
-@query("attribute_match")
+def _attributes_sql(x):
+    """Attributes of a text: size, rank, feature tags, naming words."""
+    pattern = "(?i)([0-9]{2,4})\\s*[x*]\\s*([0-9]{2,4})"
+    w, d = (f"CAST(regexp_extract({x}, '{pattern}', {i}) AS INTEGER)" for i in (1, 2))
+    scale = f"CASE WHEN {w} < 250 AND {d} < 250 THEN 10 ELSE 1 END"
+    size = f"""CAST(CASE WHEN {d} > {w} AND {d} * {scale} > 500 THEN {d} * {scale} ELSE {w} * {scale} END AS VARCHAR) || 'x' ||
+      CAST(CASE WHEN {d} > {w} AND {d} * {scale} > 500 THEN {w} * {scale} ELSE {d} * {scale} END AS VARCHAR)"""
+    rank = f"CASE {' '.join(f"WHEN regexp_matches({x}, '(?i){p}') THEN {r}" for r, p in rules.RANKS)} END"
+    tags = ", ".join(f"CASE WHEN regexp_matches({x}, '(?i){p}') THEN '{t}' END" for _, t, p in rules.FEATURES)
+    words = "[" + ", ".join(f"'{w}'" for w in attributes.naming_words()) + "]"
+    return f"""CASE WHEN regexp_matches({x}, '{pattern}') THEN {size} END AS size, {rank} AS rank, list_filter([{tags}], lambda t: t IS NOT NULL) AS tags,
+      list_filter(list_distinct(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda w: list_contains({words}, w)) AS words"""
+
+
+def _worth(ws):
+    nouns = "[" + ", ".join(f"'{n}'" for n in rules.SYNONYMS) + "]"
+    return f"(len({ws}) - len(list_filter({ws}, lambda w: list_contains({nouns}, w))) * 0.5::DOUBLE)"
+
+
+_RULES = [(m, s, p.replace("(?! stool)", "")) for m, s, p in rules.TAXONOMY]
+_SHARED = "list_filter(l.words, lambda w: list_contains(p.words, w))"
+
+
+@query(
+    "attribute_match",
+    V.sql_text(f"""WITH texts AS (SELECT DISTINCT upper({V.DESCRIPTION}) AS t FROM part),
+l AS (SELECT t, {_attributes_sql('t')}, list_distinct(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{m}' END" for m, _, p in _RULES)}], lambda g: g IS NOT NULL)) AS mains,
+  list_distinct(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{s}' END" for _, s, p in _RULES)}], lambda g: g IS NOT NULL)) AS subs FROM texts),
+items AS (SELECT p_partkey, {V.FURNISH} || ' ' || {V.DESCRIPTION} AS t, {V.DESCRIPTION} AS d FROM part),
+p AS (SELECT p_partkey, {_attributes_sql('t')}, CASE {' '.join(f"WHEN regexp_matches(d, '(?i){p}') THEN '{m}'" for m, _, p in _RULES)} END AS main,
+  CASE {' '.join(f"WHEN regexp_matches(d, '(?i){p}') THEN '{s}'" for _, s, p in _RULES)} END AS sub FROM items),
+s AS (SELECT l.t, p.p_partkey, round(1.0::DOUBLE + CASE WHEN list_contains(l.subs, p.sub) THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN l.size = p.size THEN 2.0::DOUBLE ELSE 0 END
+   + CASE WHEN len(l.words) > 0 THEN {_worth(_SHARED)} * 4.0::DOUBLE / {_worth('l.words')} ELSE 0 END
+   + greatest(coalesce(abs(l.rank - p.rank), 0) - 1, 0) * -0.1::DOUBLE + len(list_filter(l.tags, lambda x: list_contains(p.tags, x))) * 0.25::DOUBLE, 6) AS score
+  FROM l JOIN p ON list_contains(l.mains, p.main)),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY score DESC, p_partkey) AS rn FROM s)
+SELECT l.t AS description, coalesce(CASE WHEN score >= 2 THEN p_partkey END, -1) AS catalog_pos, coalesce(CASE WHEN score >= 2 THEN score END, -1.0::DOUBLE) AS confidence
+FROM l LEFT JOIN r ON r.t = l.t AND rn = 1"""),
+)
 def attribute_match(spark, sf):
     lines = V.parts(spark, sf).select(V.on_parts(f"upper({V.DESCRIPTION})").alias("description"))
     products = V.parts(spark, sf).select(
