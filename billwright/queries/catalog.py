@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from billwright import rules
 from billwright.functions import tagging, text, urls
-from billwright.operators import dedup, harvest, registers
+from billwright.operators import dedup, harvest, registers, tag
 from billwright.queries import views as V
 from billwright.queries.registry import query
 from billwright.sources import brands as brand_store
@@ -91,6 +91,20 @@ def feature_tags(spark, sf):
     return _texts(spark, sf).select("t", F.array_join(tagging.features_of("t"), "|").alias("tags"))
 
 
+@query(
+    "catalog_tags",
+    f"""WITH {V.CATALOG_SQL}, c AS (SELECT pos, trim(concat_ws(' ', model, description)) AS t FROM catalog)
+SELECT pos, coalesce({', '.join(TAGS)}, '') AS tag, CASE {' '.join(f"WHEN regexp_matches(t, '(?i){p}') THEN {r}" for r, p in rules.RANKS)} ELSE 0 END AS rank,
+  array_to_string(list_filter([{FEATURE_LIST}], lambda x: x IS NOT NULL), '|') AS features FROM c""",
+)
+def catalog_tags(spark, sf):
+    tagged = tag.tag_products(V.catalog(spark, sf))
+    return tagged.select(
+        "pos", F.coalesce(F.concat("tag_main", F.lit(" > "), "tag_sub"), F.lit("")).alias("tag"), F.coalesce("tag_rank", F.lit(0)).alias("rank"),
+        F.array_join("tag_features", "|").alias("features"),
+    )
+
+
 SIZES = "CASE p_partkey % 4 WHEN 0 THEN p_name || ' R:' || CAST(p_size + 10 AS STRING) WHEN 1 THEN p_name ELSE " + V.DESCRIPTION + " END"
 
 
