@@ -209,15 +209,15 @@ def catalog_links(spark, sf):
 
 @query(
     "harvest_pages",
-    f"""WITH {CARDS_SQL}, found AS (SELECT page_id, title AS model, image_url, product_url FROM cards WHERE rn = 1
-  UNION ALL SELECT page_id, fname, site || '/ld/' || CAST(p_partkey AS VARCHAR) || '.jpg', site || '/p/item-' || CAST(p_partkey AS VARCHAR) FROM sites WHERE page_id % 3 <> 0)
-SELECT page_id, model, image_url, product_url FROM found WHERE page_id IN (SELECT page_id FROM cards WHERE rn = 1 GROUP BY page_id HAVING count(*) >= 5)""",
+    V.sql_text(f"""WITH {CARDS_SQL}, enough AS (SELECT page_id FROM cards WHERE rn = 1 GROUP BY page_id HAVING count(*) >= 5),
+blocks AS (SELECT page_id, title, CASE p_partkey % 4 WHEN 2 THEN site || '/s.jpg' ELSE site || {CARD_IMAGE} END AS image_url, site || '/p/item-' || CAST(p_partkey AS VARCHAR) AS product_url,
+   row_number() OVER (PARTITION BY page_id, title ORDER BY p_partkey) AS rn FROM sites WHERE p_partkey % 5 <> 0 AND p_partkey % 4 <> 3 AND page_id NOT IN (SELECT page_id FROM enough))
+SELECT page_id, title AS model, image_url, product_url FROM cards WHERE rn = 1
+UNION SELECT page_id, title, image_url, product_url FROM blocks WHERE rn = 1
+UNION SELECT page_id, fname, site || '/ld/' || CAST(p_partkey AS VARCHAR) || '.jpg', site || '/p/item-' || CAST(p_partkey AS VARCHAR) FROM sites WHERE page_id % 3 <> 0"""),
 )
 def harvest_all(spark, sf):
-    # Pages with at least five cards need no generic blocks, which is the part SQL can follow.
-    pages = shop_pages(spark, sf)
-    cards = harvest.page_cards(shop_elements(spark, sf)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
-    return harvest_pages(pages).join(cards, "page_id", "left_semi").select("page_id", "model", "image_url", "product_url")
+    return harvest_pages(shop_pages(spark, sf)).select("page_id", "model", "image_url", "product_url")
 
 
 # ------------------------------------------------------------------ product pages from parts
