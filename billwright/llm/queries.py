@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, over whole tables, and their SQL."""
 
-from billwright.llm import decontamination, warc
+from billwright.llm import decontamination, jaccard, warc
 from billwright.operators.settle import settle
 
 QUERIES, ORACLES = {}, {}
@@ -38,7 +38,7 @@ seen AS (
   FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, n)),
 found AS (SELECT doc_id, item_id, i, size FROM seen JOIN windows USING (size, gram)),
 words AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS at FROM found) GROUP BY doc_id),
+  SELECT doc_id, count(DISTINCT word_no) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS word_no FROM found) GROUP BY doc_id),
 items AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS named
   FROM found GROUP BY doc_id)
@@ -64,3 +64,8 @@ def op6(spark, sf_dir):
     records = warc.records(table(spark, sf_dir, "pages"), settle=settle)
     archive = settle(warc.chunked(records), "warc")
     return warc.resolve(settle(warc.read_records(archive), "warc-read"))
+
+
+@query("op10_ngram_jaccard_join")
+def op10(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
