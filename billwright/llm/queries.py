@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, over whole tables, and their SQL."""
 
-from billwright.llm import decontamination, jaccard, warc
+from billwright.llm import decontamination, jaccard, repeats, warc
 from billwright.operators.settle import settle
 
 QUERIES, ORACLES = {}, {}
@@ -69,3 +69,8 @@ def op6(spark, sf_dir):
 @query("op10_ngram_jaccard_join")
 def op10(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
