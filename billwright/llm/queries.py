@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, over whole tables, and their SQL."""
 
-from billwright.llm import decontamination, jaccard, repeats, warc
+from billwright.llm import decontamination, jaccard, quality, repeats, toxicity, warc
 from billwright.operators.settle import settle
 
 QUERIES, ORACLES = {}, {}
@@ -74,3 +74,13 @@ def op10(spark, sf_dir):
 @query("op2_suffix_dedup")
 def op2(spark, sf_dir):
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
