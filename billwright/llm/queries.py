@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, over whole tables, and their SQL."""
 
-from billwright.llm import decontamination, jaccard, quality, repeats, toxicity, warc
+from billwright.llm import decontamination, jaccard, quality, repeats, topk, toxicity, warc
 from billwright.operators.settle import settle
 
 QUERIES, ORACLES = {}, {}
@@ -84,3 +84,18 @@ def op4(spark, sf_dir):
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op5_exact_topk",
+    """WITH fit AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM fit q JOIN fit c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+)
+def op5(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
