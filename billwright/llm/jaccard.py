@@ -9,9 +9,11 @@ partition: with more, signatures multiply and outgrow the input.
 
 Signatures travel as sorted byte strings, a few bytes each. A set whose shared signatures are fewer
 than e has no partner and leaves; of the others, the rarest signatures that must hold a common one
-make candidate groups. Groups are settled by stars: every member is verified against one pivot
+make candidate groups, and only sets that share three quarters of their shingles with other candidates
+stay in them. Groups are settled by stars: every member is verified against one pivot
 on whole texts, components are formed, and only groups that still hold several components go on to the next pivot;
-what is left after the stars is compared pair by pair across components. No link between
+what is left after the stars is compared pair by pair across components, unless the distances to a
+common pivot differ by more than a link allows (Jaccard distance is a metric). No link between
 components is lost, and a group of copies or near copies costs as many comparisons as it has members.
 
 Identical sets are one node (64-bit fingerprint) throughout. Defined cases: null and empty texts,
@@ -36,7 +38,7 @@ WORDS = 5
 #: Sets below this size use their shingles themselves as partitions.
 SMALL = 16
 #: Partitions of a band that begins at size b: PARTS * b; shared signatures asked for: SHARED * b.
-PARTS, SHARED = 0.9, 0.05
+PARTS, SHARED = 1.1, 0.12
 STARS = 3
 #: Candidate documents up to this count are picked from the corpus by a broadcast list of ids; more by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -231,15 +233,56 @@ def _texts_of(docs, sets, nodes, id_col, text_col):
     return settle(keyed.dropDuplicates(["node"]), "candidate-texts")
 
 
-def linked(pairs, texts, numerator=75, denominator=100, spread=500):
-    """The pairs (a, b) whose sets have a similarity of numerator / denominator or more, compared on whole texts.
+def well_covered(texts, bits=6):
+    """Nodes of which three quarters of the shingles occur in other candidates too; the size of each as n."""
+    blob = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
+    hit = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("hits", pa.int32())])
+
+    def emit(batches):
+        for batch in pieces(batches, "text"):
+            sets = shingle_sets(batch.column("text").to_pylist())
+            node = np.array(batch.column("node").to_pylist(), dtype=np.int64)
+            key, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            part = (key >> np.uint64(64 - bits)).astype(np.uint16)
+            order = np.argsort(part, kind="stable")
+            part, owner, key = part[order], owner[order], key[order]
+            edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+            rows = []
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                mine, counts = np.unique(owner[start:end], return_counts=True)
+                low = np.ascontiguousarray(key[start:end]).view(np.uint8).reshape(-1, 8)[:, 2:]  # little endian: without the two lowest bytes
+                rows.append((int(part[start]), node[mine].tobytes(), counts.astype(np.uint32).tobytes(), low.tobytes()))
+            yield _tables(blob, zip(*rows, strict=True))
+
+    def meet(table):
+        node, key = [], []
+        for row in table.to_pylist():
+            node.append(np.repeat(np.frombuffer(row["nodes"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.uint32)))
+            low = np.zeros((len(node[-1]), 8), dtype=np.uint8)
+            low[:, 2:] = np.frombuffer(row["keys"], dtype=np.uint8).reshape(-1, 6)
+            key.append(low.view(np.uint64).ravel())
+        node, key = np.concatenate(node), np.concatenate(key)
+        order = np.argsort(key, kind="stable")
+        node, key = node[order], key[order]
+        same = key[1:] == key[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        mine, at, n = np.unique(node, return_inverse=True, return_counts=True)
+        hits = np.bincount(at, weights=shared, minlength=len(mine)).astype(np.int32)
+        return pa.Table.from_arrays([pa.array(mine), pa.array(n.astype(np.int32)), pa.array(hits)], schema=hit)
+
+    found = texts.mapInArrow(emit, "part int, nodes binary, counts binary, keys binary").groupBy("part").applyInArrow(meet, "node long, n int, hits int")
+    return found.groupBy("node").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * n").select("node")
+
+
+def compared(pairs, texts, numerator=75, denominator=100, spread=500):
+    """(a, b, near, d): Jaccard distance of the pairs on whole texts, and whether they link.
 
     A pivot with many partners is spread over several tasks, one per ``spread`` partners."""
-    share = F.pmod(F.hash("b"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("a")) / spread).cast("int"))
-    pairs = settle(pairs.withColumn("salt", share), "pairs")
+    per_pivot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("_shares"))
+    pairs = settle(pairs.join(per_pivot, "a").withColumn("salt", F.expr("pmod(hash(b), _shares)")).drop("_shares"), "pairs")
     heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
     members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("d", pa.float64())])
 
     def compare(batches):
         pivot, keys = None, None
@@ -254,13 +297,13 @@ def linked(pairs, texts, numerator=75, denominator=100, spread=500):
                     raise ValueError("a pivot is missing")
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 both = int((keys[at] == own).sum())
-                if denominator * both >= numerator * (len(keys) + len(own) - both):
-                    rows.append((left, right))
+                union = len(keys) + len(own) - both
+                rows.append((left, right, denominator * both >= numerator * union, 1 - both / union))
             if rows:
                 yield _tables(schema, zip(*rows, strict=True))
 
     lined = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return lined.mapInArrow(compare, "a long, b long")
+    return lined.mapInArrow(compare, "a long, b long, near boolean, d double")
 
 
 def _open(groups, labels):
@@ -270,38 +313,44 @@ def _open(groups, labels):
     return named.join(several, "sig")
 
 
-def fitting(pairs):
-    """Distinct pairs whose sizes allow the similarity, with their names in order as low and high."""
-    fit = pairs.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
-    return fit.selectExpr("least(a, b) as low", "greatest(a, b) as high", "a", "b").dropDuplicates(["low", "high"])
+#: A pair may link: sizes fit, and no common pivot tells its members apart. FAR is a quarter and a little for rounding.
+_FIT = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+_FAR = "exists(zip_with(ds_a, ds_b, (x, y) -> abs(x - y) > 0.2500001D), far -> coalesce(far, false))"
 
 
 def node_components(docs, sets, id_col="doc_id", text_col="text", stars=STARS):
     """(node, label): component label of every set with a partner."""
     spark = docs.sparkSession
-    groups = settle(candidate_groups(settle(shared_signatures(docs, text_col), "shared")), "groups")
+    groups = settle(candidate_groups(shared_signatures(docs, text_col)), "groups")
     texts = _texts_of(docs, sets, groups.select("node").distinct(), id_col, text_col)
+    groups = groups.join(settle(well_covered(texts), "covered"), "node").withColumn("ds", F.array().cast("array<double>"))
     labels = spark.createDataFrame([], "node long, label long")
     links = done = None
     for turn in range(stars + 1):
-        left = settle(_open(groups, labels), "open")
+        left = settle(_open(groups.select("sig", "node", "n", "ds"), labels), "open")
         if left.isEmpty():
             break
         if turn < stars:
-            order = F.xxhash64("node", F.lit(turn))
-            pivots = left.groupBy("sig").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")), order).alias("_p")).select("sig", "_p.*")
-            pairs = left.join(pivots, "sig").where("label <> label_a").select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))
+            me = F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("ds").alias("ds_a"))
+            pivots = left.groupBy("sig").agg(F.min_by(me, F.xxhash64("node", F.lit(turn))).alias("_p")).select("sig", "_p.*")
+            met = left.join(pivots, "sig").withColumnsRenamed({"node": "b", "n": "n_b", "ds": "ds_b", "label": "label_b"})
         else:
-            other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-            pairs = left.withColumnsRenamed({"node": "a", "n": "n_a", "label": "label_a"}).join(other, "sig").where("a < b and label_a <> label_b")
-        pairs = fitting(pairs)
+            other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("ds").alias("ds_b"), F.col("label").alias("label_b"))
+            met = left.withColumnsRenamed({"node": "a", "n": "n_a", "label": "label_a", "ds": "ds_a"}).join(other, "sig").where("a < b")
+        pairs = met.where(f"label_a <> label_b and {_FIT} and not {_FAR}").select("a", "b")
+        pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).dropDuplicates(["low", "high"])
         if done is not None:
             pairs = pairs.join(done, ["low", "high"], "left_anti")
-        pairs = settle(pairs, "star")
-        done = pairs.select("low", "high") if done is None else done.unionByName(pairs.select("low", "high"))
-        found = settle(linked(pairs.select("a", "b"), texts), "links")
+        measured = settle(compared(pairs.select("a", "b"), texts), "measured")
+        names = measured.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+        done = names if done is None else done.unionByName(names)
+        found = measured.where("near").select("a", "b")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
+        if turn < stars:
+            distance = measured.select("a", "b", "d")
+            told = met.select("sig", "a", "b", "n_b", "ds_b").join(distance, ["a", "b"], "left")
+            groups = told.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), F.concat("ds_b", F.array(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))).alias("ds"))
     return labels
 
 

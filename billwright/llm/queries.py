@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, over whole tables, and their SQL."""
 
-from billwright.llm import decontamination, jaccard, quality, repeats, topk, toxicity, warc
+from billwright.llm import decontamination, jaccard, pii, quality, repeats, topk, toxicity, warc
 from billwright.operators.settle import settle
 
 QUERIES, ORACLES = {}, {}
@@ -99,3 +99,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 )
 def op5(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_pii")
+def op1(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"), settle)
