@@ -369,9 +369,13 @@ def deduplicate(docs, id_col="doc_id", text_col="text"):
     """One document of each component: the row with its smallest id, the longest of several rows with that id.
 
     Rows without an id can't be named by a component; one row of each such text stays."""
-    found = jaccard_components(docs, id_col, text_col).where("doc_id = component_id or doc_id is null")
-    ids = found.select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, docs[id_col].cast("long").eqNullSafe(ids["_id"]), "left_semi")
-    same = Window.partitionBy(id_col, F.when(F.col(id_col).isNull(), F.col(text_col)))
-    once = F.row_number().over(same.orderBy(F.length(text_col).desc(), text_col))
-    return kept.withColumn("_once", once).where("_once = 1").drop("_once")
+    found = settle(jaccard_components(docs, id_col, text_col), "components")
+    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("_goes"))
+    changed = settle(by_id.where("_rows > 1 or _goes").withColumnRenamed("doc_id", "_id"), "changed")
+    near = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
+    named = docs.withColumn("_own", F.col(id_col).cast("long"))
+    once = named.where("_own is not null").join(near, F.col("_own") == F.col("_id"), "left_anti")
+    again = named.join(near.where("not _goes").select("_id"), F.col("_own") == F.col("_id"), "left_semi").unionByName(named.where("_own is null"))
+    same = Window.partitionBy("_own", F.when(F.col("_own").isNull(), F.col(text_col)))
+    first = F.row_number().over(same.orderBy(F.length(text_col).desc(), text_col))
+    return once.unionByName(again.withColumn("_once", first).where("_once = 1").drop("_once")).drop("_own")

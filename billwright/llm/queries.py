@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, over whole tables, and their SQL."""
 
-from billwright.llm import decontamination, jaccard, pii, quality, repeats, topk, toxicity, warc
+from billwright.llm import decontamination, jaccard, mixing, pii, quality, repeats, tokens, topk, toxicity, warc
 from billwright.operators.settle import settle
 
 QUERIES, ORACLES = {}, {}
@@ -104,3 +104,19 @@ def op5(spark, sf_dir):
 @query("op1_pii")
 def op1(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"), settle)
+
+
+@query("op7_token_counts")
+def op7(spark, sf_dir):
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
+def labelled_domains(docs, labels):
+    """The labelled documents with their language as domain."""
+    return docs.select("doc_id", docs["lang"].alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+@query("op8_mixing")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), settle=settle)
