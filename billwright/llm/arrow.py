@@ -1,6 +1,7 @@
 """Small helpers around Arrow batches inside tasks."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 
 def replaced(batch, **columns):
@@ -24,3 +25,14 @@ def pieces(batches, text_col, rows=2000, size=16 << 20):
             held += n
         if start < len(lengths):
             yield batch.slice(start)
+
+
+def packed(docs, text_col):
+    """(row, text): all other columns in one struct, so that working columns can't clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+
+
+def unpacked(frame, docs, text_col, **more):
+    """The columns of docs back in their order, the text from ``text``; columns named in ``more`` replace namesakes or follow."""
+    own = [more.pop(c).alias(c) if c in more else F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return frame.select(*own, *[c.alias(n) for n, c in more.items()])

@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from billwright.llm.arrow import replaced
+from billwright.llm.arrow import packed, replaced, unpacked
 
 WINDOW = 10
 #: Windows of one broadcast block; larger benchmarks are scanned block after block.
@@ -94,10 +94,10 @@ def blocks(benchmark, id_col="item_id", text_col="text", window=WINDOW, block_wi
 
 
 def scan(docs, benchmark, text_col="text", window=WINDOW, block_windows=BLOCK_WINDOWS, item_id="item_id", item_text="text"):
-    """All columns of docs, with n_words, n_hit, hit_items (ids as text) and hit_bits (packed mask over the words)."""
+    """docs with n_words, n_hit, hit_items (ids as text) and hit_bits (packed mask over the words); docs has none of these."""
     spark = docs.sparkSession
     added = ["n_words", "n_hit", "hit_items", "hit_bits"]
-    out = docs.drop(*added).withColumns({
+    out = docs.withColumns({
         "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"),
         "hit_items": F.array().cast("array<string>"), "hit_bits": F.lit(None).cast("binary"),
     })
@@ -134,17 +134,18 @@ def hit_report(docs, benchmark, **options):
 
 def decontaminate(docs, benchmark, remove="documents", text_col="text", **options):
     """Documents without test passages: ``documents`` drops those with a hit, ``spans`` cuts the hit words out of them."""
-    marked = scan(docs, benchmark, text_col=text_col, **options)
-    if remove == "documents":
-        return marked.where("n_hit = 0").select(*docs.columns)
-    if remove != "spans":
+    if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
+    marked = scan(packed(docs, text_col), benchmark, **options)
+    if remove == "documents":
+        return unpacked(marked.where("n_hit = 0"), docs, text_col)
 
     def cut(batches):
         for batch in batches:
-            yield replaced(batch, **{text_col: [_without(t, b) for t, b in zip(batch.column(text_col).to_pylist(), batch.column("hit_bits").to_pylist(), strict=True)]})
+            texts, bits = batch.column("text").to_pylist(), batch.column("hit_bits").to_pylist()
+            yield replaced(batch, text=[_without(t, b) for t, b in zip(texts, bits, strict=True)])
 
-    return marked.mapInArrow(cut, marked.schema).select(*docs.columns)
+    return unpacked(marked.mapInArrow(cut, marked.schema), docs, text_col)
 
 
 def _without(text, bits):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from billwright.llm.arrow import pieces
+from billwright.llm.arrow import packed, pieces, unpacked
 from billwright.llm.components import components
 from billwright.operators.settle import settle
 
@@ -373,9 +373,9 @@ def deduplicate(docs, id_col="doc_id", text_col="text"):
     by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("_goes"))
     changed = settle(by_id.where("_rows > 1 or _goes").withColumnRenamed("doc_id", "_id"), "changed")
     near = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
-    named = docs.withColumn("_own", F.col(id_col).cast("long"))
+    named = packed(docs, text_col).withColumn("_own", F.col(f"row.`{id_col}`").cast("long"))
     once = named.where("_own is not null").join(near, F.col("_own") == F.col("_id"), "left_anti")
     again = named.join(near.where("not _goes").select("_id"), F.col("_own") == F.col("_id"), "left_semi").unionByName(named.where("_own is null"))
-    same = Window.partitionBy("_own", F.when(F.col("_own").isNull(), F.col(text_col)))
-    first = F.row_number().over(same.orderBy(F.length(text_col).desc(), text_col))
-    return once.unionByName(again.withColumn("_once", first).where("_once = 1").drop("_once")).drop("_own")
+    same = Window.partitionBy("_own", F.when(F.col("_own").isNull(), F.col("text")))
+    first = F.row_number().over(same.orderBy(F.length("text").desc(), "text"))
+    return unpacked(once.unionByName(again.withColumn("_once", first).where("_once = 1").drop("_once")), docs, text_col)

@@ -19,6 +19,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from billwright.llm.arrow import packed, unpacked
+
 #: Labelled rows that train the classifier at most, and the number of words it looks at.
 SAMPLE, WORDS = 5_000, 200
 DOMAINS = 64
@@ -162,8 +164,8 @@ def mix(docs, labelled, targets=None, settle=lambda df, name: df, id_col="doc_id
 def mixed(docs, labelled, targets=None, settle=lambda df, name: df, id_col="doc_id", text_col="text", domain_col="domain", **options):
     """The documents with a rate above zero, with ``domain``, ``rate`` and ``copies``: the rate rounded up or down by chance, fixed by id."""
     model, _, there, steps = _fitted(docs, labelled, targets, settle, id_col, text_col, domain_col, options)
-    own = docs.drop("n_tokens", "p", "domain", "rate", "copies", "_logs")
-    counted = own.withColumn("_logs", log_weights(model, text_col)).withColumn("n_tokens", tokens_of(text_col)).withColumn("p", normalised(F.col("_logs")))
+    counted = packed(docs, text_col).withColumn("_logs", log_weights(model)).withColumn("n_tokens", tokens_of()).withColumn("p", normalised(F.col("_logs")))
     rated = with_rates(counted, model["domains"], there, steps).where("rate > 0")
-    chance = F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.lit(1 << 20)) / F.lit(1 << 20)
-    return rated.withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")).drop("_logs", "n_tokens", "p")
+    chance = F.pmod(F.xxhash64(F.col(f"row.`{id_col}`"), F.lit(8)), F.lit(1 << 20)) / F.lit(1 << 20)
+    copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    return unpacked(rated, docs, text_col, domain=F.col("domain"), rate=F.col("rate"), copies=copies)

@@ -18,6 +18,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from billwright.llm.arrow import packed, unpacked
+
 # fixed values: base patterns, each equal in its matches to the plain form it stands for
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -212,17 +214,20 @@ def report(docs, settle=lambda df, name: df):
 
 def mask(docs, text_col="text", settle=lambda df, name: df):
     """The documents with every span replaced by its kind in brackets; n_chars, where present, follows."""
-    own = [c for c in docs.columns if c not in ("base", "cands", "spans")]
-    counts = settle(annotate(docs.select(text_col), text_col).select("cands"), "pii")
-    marked = spans(annotate(docs.select(*own), text_col), fit(counts))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    reach = lambda i: F.greatest(F.lit(0), F.coalesce(F.array_max(F.transform(F.slice("spans", 1, i), lambda s: s["stop"])), F.lit(0)))
-    pieces = F.transform("spans", lambda s, i: F.concat(
-        F.substring(text, reach(i) + 1, F.greatest(F.lit(0), s["start"] - reach(i))), F.when(s["stop"] > reach(i), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-    ))
-    end = reach(F.size("spans"))
-    masked = F.concat(F.array_join(pieces, ""), F.substring(text, end + 1, F.length(text)))
-    out = marked.withColumn(text_col, F.when(F.size("spans") > 0, masked).otherwise(F.col(text_col)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*own)
+    rows = packed(docs, text_col)
+    counts = settle(annotate(rows.select("text")).select("cands"), "pii")
+    marked = spans(annotate(rows), fit(counts))
+    text, zero = F.coalesce("text", F.lit("")), F.lit(0)
+    # how far the spans before the i-th reach: spans of different kinds may overlap
+    reach = lambda i: F.aggregate(F.slice("spans", 1, i), zero, lambda a, s: F.greatest(a, s["stop"]))
+
+    def piece(s, i):
+        name = F.when(s["stop"] > reach(i), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+        return F.concat(F.substring(text, reach(i) + 1, F.greatest(zero, s["start"] - reach(i))), name)
+
+    masked = F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(text, reach(F.size("spans")) + 1, F.length(text)))
+    out = marked.withColumn("text", F.when(F.size("spans") > 0, masked).otherwise(F.col("text")))
+    if "n_chars" not in docs.columns:
+        return unpacked(out, docs, text_col)
+    length = F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return unpacked(out, docs, text_col, n_chars=length)

@@ -7,6 +7,7 @@ without an id are scored and never train; without labelled rows every score is o
 
 from pyspark.sql import functions as F
 
+from billwright.llm.arrow import packed, unpacked
 from billwright.llm.ftrl import labelled_sample, score, style_features, train
 
 GOOD = 0.7
@@ -31,5 +32,5 @@ def quality_scores(docs, labels, threshold=GOOD):
 
 def keep_good(docs, labels, threshold=GOOD):
     """The documents that the classifier doesn't reject, with their columns."""
-    rated = score(docs, fit_quality(docs, labels), style_features, out="_quality")
-    return rated.where(F.col("_quality") >= threshold).select(*docs.columns)
+    rated = score(packed(docs, "text"), fit_quality(docs, labels), style_features)
+    return unpacked(rated.where(F.col("score") >= threshold), docs, "text")

@@ -47,7 +47,7 @@ def line_starts(data):
 
 def attribute(ends, starts, total, rule):
     """Tokens per section, and of them those that cross a boundary. ends: byte ends of the tokens; starts: of the sections."""
-    begin = np.concatenate([[0], ends[:-1]])
+    begin = np.concatenate([[0], ends])[:-1]
     first = np.searchsorted(starts, begin, side="right") - 1
     last = np.searchsorted(starts, ends - 1, side="right") - 1
     owner = last.copy() if rule == "last" else first.copy()
