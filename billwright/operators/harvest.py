@@ -1,5 +1,6 @@
 """Products, links, categories and brand facts from stored pages."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from billwright import rules
@@ -405,13 +406,12 @@ def counted_categories(all_links):
 
 
 def cap_links(typed, caps=None):
-    """First links of each kind per page, up to the cap of the kind."""
-    caps = caps or rules.LINK_CAPS
-    parts = None
-    for kind, most in caps.items():
-        part = first_rows(typed.where(F.col("kind") == kind), ["page_id"], ["node"], most)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    """Links of each page: of the kinds in ``caps`` the first so many, of all other kinds every one."""
+    if not caps:
+        return typed
+    cap = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col("kind")]
+    rank = F.row_number().over(Window.partitionBy("page_id", "kind").orderBy("node"))
+    return typed.withColumn("_rank", rank).where(cap.isNull() | (F.col("_rank") <= cap)).drop("_rank")
 
 
 def menu_tree(elements, exclude=tuple(rules.MENU_EXCLUDE)):

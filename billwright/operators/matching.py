@@ -59,15 +59,15 @@ def resolve_brands(wanted, brands, brand_col="brand", tier_col="tier"):
     )
 
 
-def candidate_context(products, most=500):
-    """Known sub categories and the first models of each brand (M4)."""
+def candidate_context(products, most=None):
+    """Known sub categories and the models of each brand, all or the first ``most`` (M4)."""
     subs = (
         products.where(~blank("sub_category"))
         .groupBy("brand_id")
         .agg(F.sort_array(F.collect_set("sub_category")).alias("known_sub_categories"))
     )
     models = (
-        first_rows(products, ["brand_id"], ["pos"], most)
+        (products if most is None else first_rows(products, ["brand_id"], ["pos"], most))
         .groupBy("brand_id")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "model"))), lambda m: m["model"]).alias("models"))
     )
@@ -176,7 +176,7 @@ def _word_pairs(keys, catalog, synonyms):
     be shared. Only those are joined. A catalog key with repeated words counts them twice, so all
     target words are tried against it. Longer catalog keys than the score allows are left out.
     """
-    side = F.size(F.array_distinct("t_nouns"))
+    side = F.size("t_nouns")  # a repeated noun counts each time
     share = F.when(side == 0, 0.5).when(side == 1, 0.25).otherwise(0.0)
     in_catalog = (
         catalog.withColumn("word", F.explode(F.array_distinct("p_words")))

@@ -1,83 +1,55 @@
 """Running sums, numbering and look-back inside a group, without one task per group.
 
-A plain window puts a whole partition key into one task. Documents are usually small, so that
-is right for them; a document that holds a large share of all rows is not. Keys with more than
-``hot_rows`` rows are therefore cut into blocks by a coarse, order-preserving expression: each
-block is numbered on its own, and the block totals (one row per block of a hot key) supply the
-offset. Ordinary keys keep a null block and a single window.
-
-The list of hot keys has at most ``rows / hot_rows`` entries, which is what makes it safe to
-broadcast.
+A plain window puts a whole partition key into one task. Every key is therefore cut into blocks by
+a coarse, order-preserving expression: each block is numbered on its own, and the block totals
+(one row per block) supply the offset. The input is written once in the shared folder, and the
+numbering reads that table; what computes the input runs once however often numbers are nested.
+Null keys and null blocks are keys and blocks like others (null first).
 """
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
+from billwright.operators.settle import settle
 
 
-def mark_blocks(df, keys, block, hot_rows=HOT_ROWS):
-    """Add ``_block``: ``block`` for rows of hot keys, null for the others."""
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > hot_rows)
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_block", F.when(F.col("_hot"), block))
-        .drop("_hot")
-    )
+def _in_blocks(df, block):
+    return settle(df.withColumn("_block", block), "numbered")
 
 
-def running_sum(df, keys, order, value, out, block, hot_rows=HOT_ROWS):
+def _with_edges(rows, keys, edges, value):
+    """rows joined to ``value`` of their block; edges is one row per key and block."""
+    named = edges.select(*[F.col(k).alias(f"_nb_key{i}") for i, k in enumerate(keys)], F.col("_block").alias("_nb_block"), value)
+    match = F.col("_block").eqNullSafe(F.col("_nb_block"))
+    for i, k in enumerate(keys):
+        match = match & F.col(k).eqNullSafe(F.col(f"_nb_key{i}"))
+    return rows.join(named, match, "left").drop("_nb_block", *[f"_nb_key{i}" for i in range(len(keys))])
+
+
+def running_sum(df, keys, order, value, out, block):
     """Sum of ``value`` over the rows of the key up to and including this one."""
-    marked = mark_blocks(df, keys, block, hot_rows)
-    local = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    rows = _in_blocks(df, block)
+    local = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.where(F.col("_block").isNotNull())
-        .groupBy(*keys, "_block")
-        .agg(F.sum(value).alias("_total"))
-        .select(*keys, "_block", F.sum("_total").over(before).alias("_offset"))
-    )
-    return (
-        marked.withColumn("_local", F.sum(value).over(local))
-        .join(offsets, [*keys, "_block"], "left")
-        .withColumn(out, F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0)))
-        .drop("_local", "_offset", "_block")
-    )
-
-
-def number_rows(df, keys, order, out, block, hot_rows=HOT_ROWS):
+    totals = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
+    offsets = totals.withColumn("_offset", F.sum("_total").over(before))
+    numbered = _with_edges(rows.withColumn("_local", F.sum(value).over(local)), keys, offsets, "_offset")
+    return numbered.withColumn(out, F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))).drop("_local", "_offset", "_block")
+
+
+def number_rows(df, keys, order, out, block):
     """1, 2, 3 … inside each key, in the given order."""
-    return running_sum(df, keys, order, F.lit(1), out, block, hot_rows).withColumn(
-        out, F.col(out).cast("int")
-    )
+    return running_sum(df, keys, order, F.lit(1), out, block).withColumn(out, F.col(out).cast("int"))
 
 
-def previous(df, keys, order, value, out, block, hot_rows=HOT_ROWS):
+def previous(df, keys, order, value, out, block):
     """Value of the row before this one inside the key; needs a value that never falls in the order."""
-    marked = mark_blocks(df, keys, block, hot_rows)
+    rows = _in_blocks(df, block)
     local = Window.partitionBy(*keys, "_block").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_block")
-    edges = (
-        marked.where(F.col("_block").isNotNull())
-        .groupBy(*keys, "_block")
-        .agg(F.max(value).alias("_last"))
-        .select(*keys, "_block", F.lag("_last").over(before).alias("_edge"))
-    )
-    return (
-        marked.withColumn("_local", F.lag(value).over(local))
-        .join(edges, [*keys, "_block"], "left")
-        .withColumn(out, F.coalesce("_local", "_edge"))
-        .drop("_local", "_edge", "_block")
-    )
+    edges = rows.groupBy(*keys, "_block").agg(F.max(value).alias("_last")).withColumn("_edge", F.lag("_last").over(before))
+    looked = _with_edges(rows.withColumn("_local", F.lag(value).over(local)), keys, edges, "_edge")
+    return looked.withColumn(out, F.coalesce("_local", "_edge")).drop("_local", "_edge", "_block")
 
 
 def first_row(df, keys, order):

@@ -49,8 +49,11 @@ def sheet_rows(cells, cell_images=None):
     """One record per sheet row: its cells, the header patterns it hits, whether it is a total."""
     value = F.coalesce(F.col("value"), F.lit(""))
     gathered = cells.groupBy(*SHEET, "row_no").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_no", value.alias("value")))).alias("cells")
+        F.array_sort(F.collect_list(F.struct("col_no", value.alias("value")))).alias("_all")
     )
+    # Of several cells at one address the greatest text stays.
+    last = F.filter("_all", lambda x, i: F.coalesce(F.get("_all", i + 1)["col_no"] != x["col_no"], F.lit(True)))
+    gathered = gathered.withColumn("cells", F.map_from_entries(last)).drop("_all")
     # The patterns have no anchors, so one search over the joined texts finds a hit in any cell.
     text = gathered.withColumn("_text", F.array_join(F.map_values("cells"), "\u0001"))
     hits = F.lit(0)

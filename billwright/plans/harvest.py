@@ -1,20 +1,25 @@
-"""Stored pages to deduplicated products."""
+"""Stored pages to deduplicated products of each site."""
 
 from pyspark.sql import functions as F
 
+from billwright.functions.urls import origin
 from billwright.operators import dedup, harvest
 from billwright.operators.settle import settle
 from billwright.sources.pages import page_elements
 
 
 def harvest_pages(pages):
-    """Cards, generic blocks and declared products of all pages; first product per model and page wins."""
+    """Cards, generic blocks and declared products of all pages; the first product per site, model and image wins.
+
+    ``harvest_id`` is the site. First means: by page, then cards and blocks before declared
+    products, then place on the page (script, item and entry of declared ones).
+    """
     elements = settle(page_elements(pages), "elements")
     cards = settle(harvest.page_cards(elements), "cards")
     blocks = harvest.page_blocks(elements, cards)
     declared = harvest.structured_products(pages).select(
         "page_id",
-        (F.lit(1_000_000) + F.col("script_no") * 1000 + F.col("item_no")).cast("int").alias("pos"),
+        F.struct(F.lit(1).alias("part"), F.col("script_no").cast("long").alias("a"), F.col("item_no").cast("long").alias("b"), F.col("entry_no").cast("long").alias("c")).alias("pos"),
         F.lit("Products").alias("main_category"),
         F.lit("General").alias("sub_category"),
         "model",
@@ -23,7 +28,8 @@ def harvest_pages(pages):
         "product_url",
         F.lit(0).cast("decimal(18,4)").alias("price"),
     )
-    found = cards.unionByName(blocks).unionByName(declared)
+    placed = F.struct(F.lit(0).alias("part"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
+    found = cards.unionByName(blocks).withColumn("pos", placed).unionByName(declared)
     brand = harvest.brand_info(elements).select("page_id", F.col("name").alias("brand"), F.col("url").alias("page_url"))
-    joined = found.join(brand, "page_id").withColumn("family", F.col("brand")).withColumn("harvest_id", F.col("page_id"))
-    return dedup.unique_products(joined, "model_image")
+    joined = found.join(brand, "page_id").withColumn("family", F.col("brand")).withColumn("harvest_id", origin("page_url"))
+    return dedup.unique_products(joined.withColumn("pos", F.struct("page_id", "pos.*")), "model_image")

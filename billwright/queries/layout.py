@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from billwright import rules
 from billwright.operators import layout
+from billwright.operators.settle import settle
 from billwright.queries import views as V
 from billwright.queries.registry import query
 from billwright.streaming import jobs
@@ -133,7 +134,10 @@ def image_pairs_rank(spark, sf):
 
 @query("image_pairs")
 def image_pairs(spark, sf):
-    return layout.pair_images(page_rows(spark, sf), text_items(spark, sf), _images(spark, sf))
+    items, images = settle(text_items(spark, sf), "items"), settle(page_images(spark, sf), "images")
+    starts = layout.table_start(items, layout.serial_anchors(items), layout.header_by_item(items))
+    shown = settle(layout.product_images(images, starts, "start_y"), "shown")
+    return layout.pair_images(settle(page_rows(spark, sf), "rows"), items, shown)
 
 
 @query(

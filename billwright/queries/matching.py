@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from billwright import rules
 from billwright.operators import attributes, choices, hardening, matching, rate_cards, value_engineering
+from billwright.operators.settle import settle
 from billwright.plans import auto_match as flow
 from billwright.queries import views as V
 from billwright.queries.registry import query
@@ -109,7 +110,7 @@ def brand_resolution(spark, sf):
     "candidate_context",
     f"""WITH {V.CATALOG_SQL}, m AS (SELECT brand_id, model, pos, row_number() OVER (PARTITION BY brand_id ORDER BY pos) AS rn FROM catalog)
 SELECT c.brand_id, (SELECT string_agg(s, '|' ORDER BY s) FROM (SELECT DISTINCT sub_category AS s FROM catalog x WHERE x.brand_id = c.brand_id AND sub_category <> '')) AS subs,
-  (SELECT string_agg(model, '|' ORDER BY pos) FROM m WHERE m.brand_id = c.brand_id AND rn <= 500) AS models FROM (SELECT DISTINCT brand_id FROM catalog) c""",
+  (SELECT string_agg(model, '|' ORDER BY pos) FROM m WHERE m.brand_id = c.brand_id) AS models FROM (SELECT DISTINCT brand_id FROM catalog) c""",
 )
 def candidate_context(spark, sf):
     found = matching.candidate_context(V.catalog(spark, sf))
@@ -415,16 +416,16 @@ def attribute_match(spark, sf):
 @query(
     "hardening_upsert",
     V.sql_text(f"""WITH {V.CATALOG_SQL}, {V.BRANDS_SQL}, have AS (SELECT * FROM catalog WHERE pos % 2 = 0),
-d AS (SELECT CASE WHEN pos % 9 = 0 THEN 'Nobody' ELSE ' ' || upper(brand) END AS brand, tier, upper(model) AS model, pos AS seq FROM catalog WHERE pos % 3 <> 0),
+d AS (SELECT CASE WHEN pos % 9 = 0 THEN 'Nobody' ELSE ' ' || upper(brand) END AS brand, tier, upper(model) AS model, pos AS seq FROM catalog),
 f AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(brand)), tier, lower(trim(model)) ORDER BY seq) AS rn FROM d),
 n AS (SELECT f.*, b.brand_id FROM f JOIN brands b ON lower(trim(b.name)) = lower(trim(f.brand)) AND b.tier = f.tier WHERE rn = 1
   AND NOT EXISTS (SELECT 1 FROM have h WHERE lower(trim(h.brand)) = lower(trim(f.brand)) AND h.tier = f.tier AND lower(trim(h.model)) = lower(trim(f.model))))
 SELECT brand_id, model, coalesce((SELECT max(pos) FROM have h WHERE h.brand_id = n.brand_id), -1) + row_number() OVER (PARTITION BY brand_id ORDER BY seq) AS pos FROM n"""),
 )
 def hardening_upsert(spark, sf):
-    catalog = V.catalog(spark, sf)
+    catalog = settle(V.catalog(spark, sf), "catalog")
     have = catalog.where("pos % 2 = 0")
-    found = catalog.where("pos % 3 <> 0").select(
+    found = catalog.select(
         F.when(F.col("pos") % 9 == 0, "Nobody").otherwise(F.concat(F.lit(" "), F.upper("brand"))).alias("brand"), "tier",
         F.upper("model").alias("model"), F.col("pos").alias("seq"), F.lit("ok").alias("status"),
     )

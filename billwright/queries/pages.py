@@ -42,7 +42,7 @@ def page_links(spark, sf):
 
 @query(
     "link_caps",
-    f"WITH {LINKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY i) AS rn FROM typed) SELECT page_id, kind, link FROM r WHERE (kind = 'other' AND rn <= 3) OR (kind = 'category' AND rn <= 2)",
+    f"WITH {LINKS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY page_id, kind ORDER BY i) AS rn FROM typed) SELECT page_id, kind, link FROM r WHERE kind NOT IN ('other', 'category') OR (kind = 'other' AND rn <= 3) OR (kind = 'category' AND rn <= 2)",
 )
 def link_caps(spark, sf):
     typed = harvest.typed_links(_elements(spark, sf))

@@ -31,14 +31,14 @@ DESCRIPTION = f"{FURNISH} || ' ' || {SIZE_TEXT}"
 IMAGE_URL = "CASE WHEN p_partkey % 4 = 0 THEN '' ELSE 'https://img.example.com/' || CAST(p_partkey % 500 AS STRING) || '.jpg' END"
 PRODUCT_URL = "CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'https://shop.example.com/p/item-' || CAST(p_partkey % 900 AS STRING) END"
 NORM_CATEGORY = "CASE WHEN p_partkey % 5 = 1 THEN 'null' WHEN p_partkey % 5 = 2 THEN p_type || ' N' ELSE '' END"
-IDENTIFIED = f"""CASE p_partkey % 7
+IDENTIFIED = f"""CASE WHEN p_partkey % 11 = 3 THEN split_part({FURNISH}, ' ', 1) || ' ' || split_part({FURNISH}, ' ', 1) || ' big tall wide' ELSE CASE p_partkey % 7
   WHEN 0 THEN upper({FURNISH}) || ' #99'
   WHEN 1 THEN replace(replace(replace({FURNISH}, 'chair', 'stool'), 'meeting table', 'desk'), 'sofa', 'couch')
   WHEN 2 THEN split_part({FURNISH}, ' ', 1)
   WHEN 3 THEN {FURNISH} || ' deluxe edition'
   WHEN 4 THEN split_part({FURNISH}, ' ', 2) || ' ' || split_part({FURNISH}, ' ', 1) || ' desk sofa'
   WHEN 5 THEN 'c' || CAST(p_size % 10 AS STRING)
-  ELSE 'desk table ' || split_part({FURNISH}, ' ', 1) END"""
+  ELSE 'desk table ' || split_part({FURNISH}, ' ', 1) END END"""
 WANTED_CATEGORY = "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN p_type WHEN 2 THEN 'PROMO' ELSE 'ab' END"
 
 FACTORS = dict(profit=10, freight=5, customs=3, installation="2.5", vat=5, exchange_rate="0.385")

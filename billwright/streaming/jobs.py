@@ -3,22 +3,22 @@
 from pyspark.sql import functions as F
 
 from billwright import rules
-from billwright.operators.hardening import new_products
+from billwright.operators.hardening import name_key, new_products
 from billwright.operators.ordering import previous, running_sum
 
 
-def session_gaps(events, gap_seconds=7200, block=None, hot_rows=1_000_000):
+def session_gaps(events, gap_seconds=7200, block=None):
     """Events with their session number per key; a gap longer than the limit starts a new one.
 
-    ``events``: session_id, ts, event_id, kind, ref. A session id with very many events is cut by
-    day, so no single task has to walk all of it.
+    ``events``: session_id, ts, event_id, kind, ref. Session ids are cut by day, so no
+    single task has to walk all of a busy one.
     """
     day = F.to_date("ts") if block is None else block
     order = ["ts", "event_id"]
-    looked = previous(events, ["session_id"], order, F.col("ts"), "_before", day, hot_rows)
+    looked = previous(events, ["session_id"], order, F.col("ts"), "_before", day)
     gap = (F.unix_micros("ts") - F.unix_micros("_before")) > gap_seconds * 1_000_000
     opened = looked.withColumn("_new", (F.col("_before").isNull() | gap).cast("int"))
-    return running_sum(opened, ["session_id"], order, F.col("_new"), "session_no", day, hot_rows).drop("_before", "_new")
+    return running_sum(opened, ["session_id"], order, F.col("_new"), "session_no", day).drop("_before", "_new")
 
 
 def expired_sessions(events, gap_seconds=7200, **kw):
@@ -76,23 +76,30 @@ def latest_tasks(events):
     return events.groupBy("task_id").agg(F.max_by(row, order).alias("s")).select("task_id", "s.*")
 
 
-def harden_batches(discoveries, catalog_path, watermark="1 hour"):
-    """Continuous hardening: each micro-batch appends the products the catalog does not have.
+def harden_batches(discoveries, catalog_path, brands=None, watermark="1 hour"):
+    """Continuous hardening: each micro-batch appends the products the catalog does not have, with all their columns.
 
     Repeats inside the watermark are dropped in the stream, the rest by the anti-join against the
-    stored catalog. Appending under the batch id keeps a replayed batch from writing twice.
+    stored catalog, of which only the tiers that occur in the batch are read. With ``brands`` (name)
+    products of unknown brands are left out. The catalog is partitioned by tier and batch;
+    writing a batch's own partitions keeps a replayed batch from writing twice.
     """
     spark = discoveries.sparkSession
     once = discoveries.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["brand", "tier", "model"])
 
     def append(batch, batch_id):
-        catalog = spark.read.parquet(catalog_path).where(F.col("batch_id") != batch_id)
+        batch = batch.withColumn("tier", F.coalesce(F.nullif(F.lower("tier"), F.lit("")), F.lit("mid")))
+        tiers = [r["tier"] for r in batch.select("tier").distinct().collect()]  # a handful of names
+        catalog = spark.read.parquet(catalog_path).where(F.col("tier").isin(tiers) & (F.col("batch_id") != batch_id))
+        if brands is not None:
+            known = brands.select(name_key("name").alias("_known")).distinct()
+            batch = batch.join(known, name_key("brand") == F.col("_known"), "left_semi")
         fresh = new_products(batch, catalog.select("brand", "tier", "model"))
-        out = fresh.select("brand", "tier", "model", "price").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        out = fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         (
             out.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
+            .partitionBy("tier", "batch_id")
             .parquet(catalog_path)
         )
 

@@ -64,6 +64,8 @@ def test_matches_brute_force(spark):
         {"target_id": i, "brand_id": rng.choice("ABCD"), "model": name(), "category": rng.choice(["", "Seating", "table", "xx", "storage"])}
         for i in range(400)
     ]
+    targets += [{"target_id": 400 + i, "brand_id": "E", "model": t, "category": ""} for i, t in enumerate(["chair chair red big tall wide", "chair chair x red"])]
+    products += [{"brand_id": "E", "pos": i, "model": m, "main_category": "", "sub_category": ""} for i, m in enumerate(["oak", "stool green", "stool red"])]
     got = matching.match_models(
         spark.createDataFrame(targets, "target_id int, brand_id string, model string, category string"),
         spark.createDataFrame(products, "brand_id string, pos int, model string, main_category string, sub_category string"),
@@ -74,7 +76,7 @@ def test_matches_brute_force(spark):
         want = brute(by_brand[r["brand_id"]], r["model"], r["category"])
         assert r["match_pos"] == want, r
         stages.add(r["match_stage"])
-    assert len(got) == 400 and {1, 2, 3} <= stages
+    assert len(got) == 402 and {1, 2, 3} <= stages
 
 
 def test_synonym_only_match(spark):

@@ -79,3 +79,12 @@ def test_serial_fill(spark):
     )
     got = sheets.fill_serial_numbers(rows).orderBy("page_num", "row_idx").collect()
     assert [r["sn"] for r in got] == ["1", "7", "2", "3"]
+
+
+def test_two_cells_at_one_address(spark):
+    cells = spark.createDataFrame(
+        [("d", 1, 0, "s", 1, 1, "Item"), ("d", 1, 0, "s", 1, 1, "Description"), ("d", 1, 0, "s", 1, 2, None), ("d", 1, 0, "s", 1, 2, "Qty")],
+        "doc_id string, sheet_id int, sheet_order int, sheet_name string, row_no int, col_no int, value string",
+    )
+    row = sheets.sheet_rows(cells).first()
+    assert row["cells"] == {1: "Item", 2: "Qty"} and row["width"] == 2

@@ -55,12 +55,19 @@ def test_latest_task_batch_and_stream(spark):
 
 def test_continuous_hardening(spark):
     catalog = tempfile.mkdtemp(prefix="spark-") + "/catalog"
-    spark.createDataFrame([("Arper", "high", "Sky", 1.0, -1)], "brand string, tier string, model string, price double, batch_id long").write.partitionBy("batch_id").parquet(catalog)
+    spark.createDataFrame([("Arper", "high", "Sky", 1.0, -1)], "brand string, tier string, model string, price double, batch_id long").write.partitionBy("tier", "batch_id").parquet(catalog)
     found = spark.createDataFrame(
         [("arper ", "high", "SKY", 1, 2.0), ("Arper", "high", "Oak", 2, 3.0), ("Arper", "high", "Oak", 3, 4.0), ("Arper", "mid", "Sky", 4, 5.0)],
         "brand string, tier string, model string, seq int, price double",
     ).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     stream = spark.readStream.schema(found.schema).parquet(folder(found))
     run(jobs.harden_batches(stream, catalog))
-    got = sorted((r["tier"], r["model"]) for r in spark.read.parquet(catalog).collect())
-    assert got == [("high", "Oak"), ("high", "Sky"), ("mid", "Sky")]
+    stored = spark.read.option("mergeSchema", True).parquet(catalog)
+    got = sorted((r["tier"], r["model"], r["price"], r["seq"]) for r in stored.collect())
+    assert got == [("high", "Oak", 3.0, 2), ("high", "Sky", 1.0, None), ("mid", "Sky", 5.0, 4)]
+    known = spark.createDataFrame([("ARPER",)], "name string")
+    more = found.withColumn("brand", F.when(F.col("seq") == 1, "Nobody").otherwise(F.col("brand"))).withColumn("model", F.concat("model", F.lit(" II")))
+    stream = spark.readStream.schema(found.schema).parquet(folder(more))
+    run(jobs.harden_batches(stream, catalog, known))
+    names = {r["model"] for r in spark.read.parquet(catalog).collect()}
+    assert "Oak II" in names and "SKY II" not in names
