@@ -70,7 +70,7 @@ def test_matches_brute_force(spark):
         spark.createDataFrame(targets, "target_id int, brand_id string, model string, category string"),
         spark.createDataFrame(products, "brand_id string, pos int, model string, main_category string, sub_category string"),
     ).collect()
-    by_brand = {b: [p for p in products if p["brand_id"] == b] for b in "ABCD"}
+    by_brand = {b: [p for p in products if p["brand_id"] == b] for b in "ABCDE"}
     stages = set()
     for r in got:
         want = brute(by_brand[r["brand_id"]], r["model"], r["category"])
