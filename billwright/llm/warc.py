@@ -71,6 +71,13 @@ def records(pages, least=LEAST, broadcast_rows=BROADCAST_ROWS, settle=lambda df,
     first_id = _record_id(F.col("keeper"), F.col("digest"))
     response = large.join(near, ["digest", "bytes"], "left").where("_rows is null or page_id <=> keeper")
     response = response.select("page_id", "url", "digest", "bytes", "payload", _record_id(F.col("page_id"), F.col("digest")).alias("record_id"))
+    # a row repeated with page and payload is written once; the others revisit it
+    twice = settle(plan.groupBy("page_id", "digest").count().where("count > 1").select(_record_id(F.col("page_id"), F.col("digest")).alias("record_id")), "warc-twice")
+    n = twice.count()
+    if n:
+        near_twice = F.broadcast(twice) if n <= broadcast_rows else twice
+        once = response.join(near_twice, "record_id", "left_semi").dropDuplicates(["record_id"])
+        response = response.join(near_twice, "record_id", "left_anti").unionByName(once)
     # one row of the response's own page stands for the response, further ones revisit it
     extra = plan.join(near, ["digest", "bytes"]).withColumn("_n", again("page_id", "digest"))
     revisit = extra.where("not page_id <=> keeper or _n > 1").select(
