@@ -202,19 +202,29 @@ def auto_match_snap(spark, sf):
     return flow.snap_results(results, products).select("doc_id", "sn", "tier", "selected_model", "selected_main_cat", "rate", "amount")
 
 
-ROOMED = ("roomed", "CASE WHEN l_suppkey % 2 = 0 THEN '[Room ' || CAST(l_suppkey % 12 AS STRING) || '] ' ELSE '' END || p_name")
+FURNISHED = ("roomed", f"CASE WHEN l_suppkey % 2 = 0 THEN '[Room ' || CAST(l_suppkey % 12 AS STRING) || '] ' ELSE '' END || {V.FURNISH}")
 
 
 @query(
     "dedupe_match_broadcast",
-    V.sql_text(f"""WITH {V.BOQ_SQL}, {V.CATALOG_SQL}, first_price AS (SELECT p_name AS name, max(price) AS price FROM catalog GROUP BY 1)
-SELECT doc_id, sn, {ROOMED[1]} AS description, b.p_name AS clean_description, CAST(f.price AS DOUBLE) AS best_price FROM boq b LEFT JOIN first_price f ON f.name = b.p_name"""),
+    V.sql_text(f"""WITH {V.BOQ_SQL}, {V.CATALOG_SQL}, wanted AS (SELECT DISTINCT p_brand AS brand_id, description AS model, '' AS category FROM boq), {fuzzy_sql('wanted', 'catalog')}
+SELECT doc_id, sn, {FURNISHED[1]} AS description, b.description AS clean_description, coalesce(w.pos, -1) AS match_pos, CAST(coalesce(w.stage, -1) AS INTEGER) AS match_stage
+FROM boq b LEFT JOIN won w ON w.brand_id = b.p_brand AND w.tk = {V.key_sql('b.description')} AND w.cat = ''"""),
 )
 def dedupe_match_broadcast(spark, sf):
-    rows = V.numbered_boq(spark, sf, ROOMED).withColumn("description", F.col("roomed")).withColumn("tier", F.lit("mid"))
-    prices = V.table(spark, sf, "part").groupBy(F.col("p_name").alias("clean_description")).agg(F.max(F.col("p_retailprice").cast("decimal(18,4)")).alias("best_price"))
-    matched = matching.match_once(rows, lambda keys: keys.join(prices, "clean_description", "left"))
-    return matched.select("doc_id", "sn", "description", "clean_description", "best_price")
+    """Each distinct description of a brand is matched once, by the model matcher."""
+    rows = V.numbered_boq(spark, sf, FURNISHED, ("brand_id", "p_brand")).withColumn("description", F.col("roomed"))
+    products = V.catalog(spark, sf)
+
+    def matcher(keys):
+        asked = keys.withColumn("model", F.col("clean_description")).withColumn("category", F.lit(""))
+        return matching.match_models(asked, products).select("brand_id", "clean_description", "match_pos", "match_stage")
+
+    matched = matching.match_once(rows, matcher, keys=("brand_id",))
+    return matched.select(
+        "doc_id", "sn", "description", "clean_description",
+        F.coalesce("match_pos", F.lit(-1)).alias("match_pos"), F.coalesce("match_stage", F.lit(-1)).alias("match_stage"),
+    )
 
 
 @query(
