@@ -25,16 +25,6 @@ def fx_rate(from_currency, to_currency, rates=rules.USD_RATES):
     return F.when(F.col(from_currency) == F.col(to_currency), F.lit("1").cast("decimal(12,4)")).otherwise(cross)
 
 
-def fx_table(rates=rules.USD_RATES):
-    """Expression: array of (code, rate) structs, to explode into a rate table."""
-    return F.array(
-        *[
-            F.struct(F.lit(c).alias("code"), F.lit(r).cast("decimal(12,6)").alias("rate"))
-            for c, r in rates.items()
-        ]
-    )
-
-
 def factors(profit=0, freight=0, customs=0, installation=0, vat=5, exchange_rate="0.385",
             from_currency="USD", to_currency="OMR"):
     """Costing factors of one offer as literals: the markup multiplier and the VAT share."""

@@ -220,17 +220,6 @@ def harvest_inventory(results):
     ).orderBy(F.desc_nulls_last("completed_at"), "filename")
 
 
-def latest_result(results, name):
-    """Newest stored harvest of a brand, compared without case."""
-    row = F.struct(*[F.col(c) for c in results.columns])
-    return (
-        results.where(name_key("name") == name.lower().strip())
-        .agg(F.max_by(row, "completed_at").alias("r"))
-        .where("r is not null")
-        .select("r.*")
-    )
-
-
 def latest_results(results):
     """Newest stored harvest of every brand."""
     rest = [c for c in results.columns if c != "name"]

@@ -401,9 +401,6 @@ MENU_EXCLUDE = [
     "contact", "about", "login", "cart", "privacy", "social", "news", "blog", "terms", "careers",
     "account", "faq", "instagram", "facebook", "twitter", "youtube", "linkedin",
 ]
-MENU_PRODUCT_WORDS = [
-    "product", "products", "item", "shop", "collection", "category", "furniture", "chair", "desk", "table", "seating",
-]
 COLLECTION_URL_PARTS = ["/collection/", "/collections/", "/category/", "/product-group/"]
 DETAIL_URL_PARTS = ["/p/", "/product/"]
 GENERIC_CATEGORIES = ["homepage", "products", "general", "select category"]

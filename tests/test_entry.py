@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
-NAMES = ["costed_totals", "boq_pivot", "fuzzy_model_match", "dedup_priority", "session_expiry", "page_links", "tier_comparison"]
+NAMES = ["costed_totals", "boq_pivot", "fuzzy_model_match", "dedup_priority", "session_expiry", "page_links", "tier_comparison", "link_caps", "hardening_upsert", "dedupe_match_broadcast", "row_edits"]
 
 
 @pytest.mark.parametrize("name", NAMES)
