@@ -39,7 +39,7 @@ WORDS = 5
 SMALL = 16
 #: Partitions of a band that begins at size b: PARTS * b; shared signatures asked for: SHARED * b.
 PARTS, SHARED = 1.1, 0.12
-STARS = 3
+STARS = 2
 #: Candidate documents up to this count are picked from the corpus by a broadcast list of ids; more by shuffle.
 BROADCAST_ROWS = 1_000_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -234,7 +234,7 @@ def _texts_of(docs, sets, nodes, id_col, text_col):
 
 
 def well_covered(texts, bits=6):
-    """Nodes of which three quarters of the shingles occur in other candidates too; the size of each as n."""
+    """(node, h): sets of which three quarters of the shingles, h of them, occur in other candidates too."""
     blob = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
     hit = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("hits", pa.int32())])
 
@@ -271,7 +271,14 @@ def well_covered(texts, bits=6):
         return pa.Table.from_arrays([pa.array(mine), pa.array(n.astype(np.int32)), pa.array(hits)], schema=hit)
 
     found = texts.mapInArrow(emit, "part int, nodes binary, counts binary, keys binary").groupBy("part").applyInArrow(meet, "node long, n int, hits int")
-    return found.groupBy("node").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * n").select("node")
+    return found.groupBy("node").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * n").select("node", F.col("hits").alias("h"))
+
+
+def distinct_groups(groups):
+    """Groups of two or more members, one of all that have the same members (128 bits over the members tell)."""
+    members = groups.groupBy("sig").agg(F.count(F.lit(1)).alias("_g"), *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_m{k}") for k in (0, 1)])
+    kept = members.where("_g > 1").groupBy("_g", "_m0", "_m1").agg(F.min("sig").alias("sig"))
+    return groups.join(kept.select("sig"), "sig")
 
 
 def compared(pairs, texts, numerator=75, denominator=100, spread=500):
@@ -313,8 +320,9 @@ def _open(groups, labels):
     return named.join(several, "sig")
 
 
-#: A pair may link: sizes fit, and no common pivot tells its members apart. FAR is a quarter and a little for rounding.
-_FIT = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"
+#: A pair may link: sizes fit, the shingles that occur elsewhere at all suffice for the intersection a link needs, 3/7 of
+#: both sizes, and no common pivot tells its members apart. FAR is a quarter and a little for rounding.
+_FIT = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) and 7 * least(h_a, h_b) >= 3 * (n_a + n_b)"
 _FAR = "exists(zip_with(ds_a, ds_b, (x, y) -> abs(x - y) > 0.2500001D), far -> coalesce(far, false))"
 
 
@@ -323,20 +331,20 @@ def node_components(docs, sets, id_col="doc_id", text_col="text", stars=STARS):
     spark = docs.sparkSession
     groups = settle(candidate_groups(shared_signatures(docs, text_col)), "groups")
     texts = _texts_of(docs, sets, groups.select("node").distinct(), id_col, text_col)
-    groups = groups.join(settle(well_covered(texts), "covered"), "node").withColumn("ds", F.array().cast("array<double>"))
+    groups = settle(distinct_groups(groups.join(settle(well_covered(texts), "covered"), "node")), "groups").withColumn("ds", F.array().cast("array<double>"))
     labels = spark.createDataFrame([], "node long, label long")
     links = done = None
     for turn in range(stars + 1):
-        left = settle(_open(groups.select("sig", "node", "n", "ds"), labels), "open")
+        left = settle(_open(groups.select("sig", "node", "n", "h", "ds"), labels), "open")
         if left.isEmpty():
             break
         if turn < stars:
-            me = F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"), F.col("ds").alias("ds_a"))
+            me = F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("h").alias("h_a"), F.col("label").alias("label_a"), F.col("ds").alias("ds_a"))
             pivots = left.groupBy("sig").agg(F.min_by(me, F.xxhash64("node", F.lit(turn))).alias("_p")).select("sig", "_p.*")
-            met = left.join(pivots, "sig").withColumnsRenamed({"node": "b", "n": "n_b", "ds": "ds_b", "label": "label_b"})
+            met = left.join(pivots, "sig").withColumnsRenamed({"node": "b", "n": "n_b", "h": "h_b", "ds": "ds_b", "label": "label_b"})
         else:
-            other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("ds").alias("ds_b"), F.col("label").alias("label_b"))
-            met = left.withColumnsRenamed({"node": "a", "n": "n_a", "label": "label_a", "ds": "ds_a"}).join(other, "sig").where("a < b")
+            other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("ds").alias("ds_b"), F.col("label").alias("label_b"))
+            met = left.withColumnsRenamed({"node": "a", "n": "n_a", "h": "h_a", "label": "label_a", "ds": "ds_a"}).join(other, "sig").where("a < b")
         pairs = met.where(f"label_a <> label_b and {_FIT} and not {_FAR}").select("a", "b")
         pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).dropDuplicates(["low", "high"])
         if done is not None:
@@ -349,8 +357,8 @@ def node_components(docs, sets, id_col="doc_id", text_col="text", stars=STARS):
         labels = components(links)
         if turn < stars:
             distance = measured.select("a", "b", "d")
-            told = met.select("sig", "a", "b", "n_b", "ds_b").join(distance, ["a", "b"], "left")
-            groups = told.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), F.concat("ds_b", F.array(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))).alias("ds"))
+            told = met.select("sig", "a", "b", "n_b", "h_b", "ds_b").join(distance, ["a", "b"], "left")
+            groups = told.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("h_b").alias("h"), F.concat("ds_b", F.array(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))).alias("ds"))
     return labels
 
 
