@@ -5,7 +5,10 @@ parts the shingle domain by hash and a set's signatures are its contents inside
 subsets of partitions. Sets of sizes a and b with a Jaccard similarity of 3/4 or more differ in at
 most (a + b) / 7 <= a / 3 shingles, each of which spoils one partition, so among a / 3 + e of the
 signatures, taken in a fixed order, they share e. The second level of the scheme has one part per
-partition: with more, signatures multiply and outgrow the input.
+partition: with more, signatures multiply and outgrow the input. The guarantee asks for the same form of
+signatures in both sets. Bands below RAW have single shingles as partitions, so that none is empty. In the others
+a set can have too few non-empty partitions, by chance of about 1e-7 or less; where there are such thin
+sets, all sets of their bands meet them once more by the signatures of single shingles.
 
 Signatures travel as sorted byte strings, a few bytes each. A set whose shared signatures are fewer
 than e has no partner and leaves; of the others, the rarest signatures that must hold a common one
@@ -35,8 +38,10 @@ from billwright.llm.components import components
 from billwright.operators.settle import settle
 
 WORDS = 5
-#: Sets below this size use their shingles themselves as partitions.
+#: Sets below this size share one band.
 SMALL = 16
+#: Bands below this one (sets of fewer than 128 shingles) use the shingles themselves as partitions.
+RAW = 7
 #: Partitions of a band that begins at size b: PARTS * b; shared signatures asked for: SHARED * b.
 PARTS, SHARED = 1.1, 0.12
 STARS = 2
@@ -93,22 +98,39 @@ def bands_of(n):
 
 
 def needed(band):
-    """Signatures that two similar sets of a band share at least; raw forms of a band have negative numbers."""
-    return max(1, int(SHARED * (1 << band))) if band > 0 else 1
+    """Signatures that two similar sets of a band share at least; raw forms of a parted band have negative numbers."""
+    return max(1, int(SHARED * (1 << abs(band)))) if band else 1
 
 
 def signatures(keys, band):
-    """(tag, signatures): of a band's partitions, or of single shingles where empty partitions void the guarantee."""
-    n, wanted = len(keys), needed(band)
-    differ = n // 3
-    if band:
-        parts = max(1, int(PARTS * (1 << band)))
-        part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        if len(starts) - differ >= wanted:
-            held = np.add.reduceat(mix(keys ^ _C[2]), starts)
-            return band, _least(mix(held + mix(part[starts] * _C[3] + _salt(band))), differ + wanted)
-    return -band, _least(mix(keys + _salt(-band - 1)), differ + 1)
+    """(tag, signatures): of a band's partitions or single shingles; tag -band: thin, of single shingles as empty partitions void the guarantee."""
+    if band < RAW:
+        return band, raw_signatures(keys, band)
+    part, starts = _parted(keys, band)
+    if _thin(keys, band, starts):
+        return -band, raw_signatures(keys, band)
+    held = np.add.reduceat(mix(keys ^ _C[2]), starts)
+    return band, _least(mix(held + mix(part[starts] * _C[3] + _salt(band))), len(keys) // 3 + needed(band))
+
+
+def raw_signatures(keys, band):
+    """Signatures of single shingles, which every set of a band can have."""
+    return _least(mix(keys + _salt(-band - 1)), len(keys) // 3 + needed(band))
+
+
+def thin_bands(keys):
+    """Bit per band in which a set has too few partitions."""
+    return sum(1 << band for band in bands_of(len(keys)) if band >= RAW and _thin(keys, band, _parted(keys, band)[1]))
+
+
+def _parted(keys, band):
+    parts = max(1, int(PARTS * (1 << band)))
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return part, np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+
+
+def _thin(keys, band, starts):
+    return len(starts) - len(keys) // 3 < needed(band)
 
 
 def _salt(band):
@@ -124,15 +146,15 @@ def _tables(schema, columns):
 
 
 def document_sets(docs, id_col="doc_id", text_col="text"):
-    """One row per document row: doc_id, n_shingles, node (null without shingles)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    """One row per document row: doc_id, n_shingles, node (null without shingles), thin (bits of bands)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("thin", pa.int64())])
 
     def count(batches):
         for batch in pieces(batches, text_col):
             sets = shingle_sets(batch.column(text_col).to_pylist())
-            yield _tables(schema, [batch.column(id_col).to_pylist(), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets]])
+            yield _tables(schema, [batch.column(id_col).to_pylist(), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [thin_bands(s) for s in sets]])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(count, "doc_id long, n_shingles long, node long")
+    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(count, "doc_id long, n_shingles long, node long, thin long")
 
 
 def _signature_blobs(docs, text_col, bits):
@@ -149,12 +171,14 @@ def _signature_blobs(docs, text_col, bits):
                 seen.add(node)
                 for band in bands_of(len(found)):
                     tag, own = signatures(found, band)
+                    if tag < 0:  # thin_signatures has these
+                        continue
                     keys.append(own)
                     tags.append(np.full(len(own), tag, dtype=np.int8))
                     owner.append(np.full(len(own), len(nodes), dtype=np.int32))
                 nodes.append(node)
                 sizes.append(len(found))
-            if not nodes:
+            if not keys:
                 continue
             key, tag, owned = np.concatenate(keys), np.concatenate(tags), np.concatenate(owner)
             node, size = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int32)
@@ -202,10 +226,32 @@ def shared_signatures(docs, text_col="text"):
     return blobs.groupBy("part").applyInArrow(meet, "node long, n int, tag tinyint, sig long, g int")
 
 
+def thin_signatures(docs, bands, text_col="text"):
+    """(node, n, tag, sig, g): the single-shingle signatures of thin sets in the bands, and who else in the band holds them."""
+    schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tag", pa.int8()), ("sig", pa.int64())])
+
+    def emitted(only_thin):
+        def emit(batches):
+            for batch in pieces(batches, text_col):
+                for found in shingle_sets(batch.column(text_col).to_pylist()):
+                    for band in set(bands_of(len(found))) & set(bands) if len(found) else ():
+                        if only_thin and not thin_bands(found) >> band & 1:
+                            continue
+                        own = raw_signatures(found, band).view(np.int64)
+                        yield _tables(schema, [[x] * len(own) for x in (node_of(found), len(found), -band)] + [own])
+
+        return docs.select(text_col).mapInArrow(emit, "node long, n int, tag tinyint, sig long")
+
+    held = settle(emitted(True).select("tag", "sig").distinct(), "thin")
+    meeting = settle(emitted(False).join(held, ["tag", "sig"], "left_semi").dropDuplicates(["node", "tag", "sig"]), "meeting-thin")
+    sizes = meeting.groupBy("tag", "sig").agg(F.count(F.lit(1)).cast("int").alias("g")).where("g > 1")
+    return meeting.join(sizes, ["tag", "sig"]).select("node", "n", "tag", "sig", "g")
+
+
 def candidate_groups(shared):
     """(sig, node, n): of each set with enough shared signatures, the rarest that must hold one common with any partner."""
     per_set = Window.partitionBy("node", "tag")
-    wanted = F.expr(f"if(tag > 0, greatest(1, int({SHARED} * shiftleft(1, int(tag)))), 1)")
+    wanted = F.expr(f"if(tag <> 0, greatest(1, int({SHARED} * shiftleft(1, int(abs(tag))))), 1)")
     ranked = shared.withColumn("_all", F.count(F.lit(1)).over(per_set)).where(F.col("_all") >= wanted)
     ranked = ranked.withColumn("_rank", F.row_number().over(per_set.orderBy("g", "sig")))
     return ranked.where(F.col("_rank") <= F.col("_all") - wanted + 1).select("sig", "node", "n")
@@ -329,7 +375,11 @@ _FAR = "exists(zip_with(ds_a, ds_b, (x, y) -> abs(x - y) > 0.2500001D), far -> c
 def node_components(docs, sets, id_col="doc_id", text_col="text", stars=STARS):
     """(node, label): component label of every set with a partner."""
     spark = docs.sparkSession
-    groups = settle(candidate_groups(shared_signatures(docs, text_col)), "groups")
+    shared = shared_signatures(docs, text_col)
+    thin = sets.agg(F.bit_or("thin")).first()[0] or 0
+    if thin:
+        shared = shared.unionByName(thin_signatures(docs, [band for band in range(64) if thin >> band & 1], text_col))
+    groups = settle(candidate_groups(shared), "groups")
     texts = _texts_of(docs, sets, groups.select("node").distinct(), id_col, text_col)
     groups = settle(distinct_groups(groups.join(settle(well_covered(texts), "covered"), "node")), "groups").withColumn("ds", F.array().cast("array<double>"))
     labels = spark.createDataFrame([], "node long, label long")

@@ -77,6 +77,42 @@ def test_signature_guarantee():
             assert any(len(set(jaccard.signatures(a, k)[1].tolist()) & set(jaccard.signatures(b, k)[1].tolist())) >= jaccard.needed(jaccard.signatures(a, k)[0]) for k in shared)
 
 
+@pytest.mark.parametrize(("small", "large"), [(23, 30), (21, 28), (22, 28), (24, 32), (45, 58), (46, 61), (47, 62), (95, 126)])
+def test_no_short_pair_is_lost(small, large):
+    """Subsets with a similarity of 3/4 or more share enough signatures of the same form."""
+    rng = np.random.default_rng(small)
+    for _ in range(10_000):
+        whole = np.unique(rng.integers(0, 1 << 64, large, dtype=np.uint64))
+        part = np.sort(rng.permutation(whole)[:small])
+        shared = set(jaccard.bands_of(small)) & set(jaccard.bands_of(large))
+        found = [(jaccard.signatures(part, k), jaccard.signatures(whole, k)) for k in shared]
+        assert any(a[0] == b[0] and len(np.intersect1d(a[1], b[1])) >= jaccard.needed(a[0]) for a, b in found)
+
+
+def thin_text(n, parts, band=7, seed=3):
+    """Words whose n shingles lie in the first partitions of a band."""
+    r = np.random.default_rng(seed)
+    words = [f"t{i}" for i in range(4)]
+    while len(words) < n + 4:
+        tried = [f"t{r.integers(10**6)}" for _ in range(60)]
+        keys = [jaccard.shingle_sets([" ".join([*words[-4:], w])])[0] for w in tried]
+        words.append(next(w for w, k in zip(tried, keys, strict=True) if jaccard._parted(k, band)[0][0] < parts))
+    return " ".join(words)
+
+
+def test_thin_sets_meet_the_others(spark):
+    """A set with too few non-empty partitions links with one that has enough."""
+    text = thin_text(200, 78)
+    words = text.split()
+    for at in (40, 100, 160):
+        words[at] = f"y{at}"
+    thin, other = jaccard.shingle_sets([text, " ".join(words)])
+    assert jaccard.signatures(thin, 7)[0] == -7 and jaccard.signatures(other, 7)[0] == 7
+    rows = [(1, text), (2, " ".join(words)), (3, text), (4, prose(9, 204)), (None, None)]
+    got = jaccard.jaccard_components(document_frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
+
+
 def brute_repeats(rows, depth):
     data = [(t or "").encode() for _, t in rows]
     seen = Counter(d[i : i + depth] for d in data for i in range(len(d) - depth + 1))
