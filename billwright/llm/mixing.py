@@ -3,7 +3,9 @@
 A labelled table (doc_id, domain) trains a naive Bayes classifier over the presence of frequent
 words; it gives every document posteriors over domains. Rates x >= 0 are then fitted so that the
 expected token totals per domain, sum over d of x[d] * tokens[d] * posterior[d, k], meet the
-targets in least squares. The gradient of a document depends on the others only through the
+targets in least squares. The gradient is taken in x * sqrt(tokens), so a step depends on a document's
+posterior and not on its length: documents with equal posteriors get equal rates. It depends on the
+other documents only through the
 residuals, one number per domain, so each round of projected gradient is one aggregate over the
 documents; a document's rate is a fold over the rounds' short history of steps, and no
 table is rewritten. Steps are scaled by the inverse of the domains' second moments, which makes
@@ -103,12 +105,17 @@ def _shares(there, k):
     return [F.col("n_tokens") / F.lit(float(there)) * F.element_at("p", i + 1) for i in range(k)]
 
 
-def _rate(steps, shares):
+def _pulls(k):
+    """How far a step of one in each domain moves a document: its posteriors, zero without tokens."""
+    return [F.when(F.col("n_tokens") > 0, F.element_at("p", i + 1)).otherwise(0.0) for i in range(k)]
+
+
+def _rate(steps, pulls):
     """Rate of a document after the steps: a fold of projected steps from one."""
     if not steps:
         return F.lit(1.0)
     history = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    dot = lambda s: sum((F.element_at(s, i + 1) * a for i, a in enumerate(shares)), F.lit(0.0))
+    dot = lambda s: sum((F.element_at(s, i + 1) * a for i, a in enumerate(pulls)), F.lit(0.0))
     return F.aggregate(history, F.lit(1.0), lambda x, s: F.greatest(F.lit(0.0), x - dot(s)))
 
 
@@ -119,16 +126,16 @@ def fit_rates(members, targets, domains, total=None, rounds=ROUNDS, tolerance=TO
     if not there:
         return 1, []
     wanted = [targets.get(d, 0.0) * (total or there) / there for d in domains]
-    rows = members.withColumns({f"_a{i}": a for i, a in enumerate(_shares(there, k))})
-    names = [f"_a{i}" for i in range(k)]
+    rows = members.withColumns({f"_a{i}": a for i, a in enumerate(_shares(there, k))} | {f"_p{i}": p for i, p in enumerate(_pulls(k))})
+    names, pulls = [f"_a{i}" for i in range(k)], [F.col(f"_p{i}") for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     steps = []
     for _ in range(rounds):
-        live = rows.withColumn("_x", _rate(steps, [F.col(n) for n in names]))
+        live = rows.withColumn("_x", _rate(steps, pulls))
         # residuals, and second moments of the documents that aren't cut off
         sums = live.agg(
             *[F.sum(F.col("_x") * F.col(n)).alias(f"s{i}") for i, n in enumerate(names)],
-            *[F.sum(F.when(F.col("_x") > 0, F.col(names[i]) * F.col(names[j])).otherwise(0.0)).alias(f"m{i}_{j}") for i, j in pairs],
+            *[F.sum(F.when(F.col("_x") > 0, F.col(names[i]) * pulls[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i, j in pairs],
         ).first()
         residual = [sums[f"s{i}"] - wanted[i] for i in range(k)]
         if max(map(abs, residual)) < tolerance:
@@ -143,7 +150,7 @@ def with_rates(members, domains, there, steps):
     """members with the columns ``domain`` (the likeliest) and ``rate``."""
     named = F.array(*[F.lit(d) for d in domains])
     likeliest = F.element_at(named, F.array_position("p", F.array_max("p")).cast("int"))
-    return members.withColumn("domain", likeliest).withColumn("rate", _rate(steps, _shares(there, len(domains))))
+    return members.withColumn("domain", likeliest).withColumn("rate", _rate(steps, _pulls(len(domains))))
 
 
 def _fitted(docs, labelled, targets, settle, id_col, text_col, domain_col, options):
@@ -162,10 +169,10 @@ def mix(docs, labelled, targets=None, settle=lambda df, name: df, id_col="doc_id
 
 
 def mixed(docs, labelled, targets=None, settle=lambda df, name: df, id_col="doc_id", text_col="text", domain_col="domain", **options):
-    """The documents with a rate above zero, with ``domain``, ``rate`` and ``copies``: the rate rounded up or down by chance, fixed by id."""
+    """Every document, with ``domain``, ``rate`` and ``copies``: the rate rounded up or down by chance, fixed by id; no copies at rate zero."""
     model, _, there, steps = _fitted(docs, labelled, targets, settle, id_col, text_col, domain_col, options)
     counted = packed(docs, text_col).withColumn("_logs", log_weights(model)).withColumn("n_tokens", tokens_of()).withColumn("p", normalised(F.col("_logs")))
-    rated = with_rates(counted, model["domains"], there, steps).where("rate > 0")
+    rated = with_rates(counted, model["domains"], there, steps)
     chance = F.pmod(F.xxhash64(F.col(f"row.`{id_col}`"), F.lit(8)), F.lit(1 << 20)) / F.lit(1 << 20)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return unpacked(rated, docs, text_col, domain=F.col("domain"), rate=F.col("rate"), copies=copies)

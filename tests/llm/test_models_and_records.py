@@ -175,6 +175,19 @@ def test_mixing_meets_targets(spark):
     assert mixing.mix(docs.limit(0), marks).count() == 0 and {r["rate"] for r in mixing.mix(docs, marks.limit(0)).collect()} == {1.0}
 
 
+def test_mixing_does_not_drop_by_length(spark):
+    """Equal posteriors get equal rates whatever the length, and documents of rate zero stay without copies."""
+    texts = ["der die das und nicht ", "the and of to with "]
+    rows = [(2 * i + k, t * (400 if k and i % 10 == 0 else 1 + i % 3)) for i in range(60) for k, t in enumerate(texts)]
+    docs = document_frame(spark, rows)
+    marks = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(60)], "doc_id long, domain string")
+    got = mixing.mix(docs, marks, {"a": 0.3, "b": 0.7}).collect()
+    rates = [r["rate"] for r in got if r["domain"] == "b"]
+    assert len(rates) == 60 and min(rates) > 0 and max(rates) - min(rates) < 1e-9
+    drawn = mixing.mixed(docs, marks, {"a": 1.0, "b": 0.0}).collect()
+    assert len(drawn) == len(rows) and all(r["copies"] == 0 for r in drawn if r["rate"] == 0)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
