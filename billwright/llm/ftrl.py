@@ -46,7 +46,7 @@ def style_features(text, bits=BITS):
     ends = mix(_hashed([w[-2:] for w in data.split()], 5))
     n = max(1, len(word))
     lines = [x for x in data.split(b"\n") if x.strip()]
-    families = [shapes, _pairs(shapes), ends]
+    families = [shapes, _pairs(shapes), ends, word, _pairs(word)]
     index, value = [], []
     for keys in families:
         found, counts = np.unique(keys >> np.uint64(64 - bits), return_counts=True)

@@ -1,6 +1,6 @@
 """Quality classifier: hashed word n-gram logistic regression with follow-the-regularised-leader updates.
 
-The features are n-grams of word shapes and shares of repetition, from the text alone. Defined cases:
+The features are n-grams of words and of word shapes, and shares of repetition, from the text alone. Defined cases:
 null and empty texts get the score of a text without words; repeated rows get equal scores; rows
 without an id are scored and never train; without labelled rows every score is one half.
 """

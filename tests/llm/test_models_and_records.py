@@ -9,7 +9,7 @@ import pytest
 from cases import document_frame, near, prose
 
 from billwright.llm import mixing, pii, quality, topk, toxicity, warc
-from billwright.llm.ftrl import Follow, fit, sigmoid
+from billwright.llm.ftrl import Follow, fit, sigmoid, style_features
 
 
 def test_update_rule_against_plain_steps():
@@ -61,6 +61,19 @@ def test_quality_and_toxicity(spark):
     assert toxicity.toxicity(docs, none).where("is_toxic").count() == 0
 
 
+def test_quality_tells_words_apart():
+    """Texts with the same shapes, endings and repetition differ by their words, and by their order."""
+    rng = np.random.default_rng(0)
+    good, bad = ["stone", "river", "plant"], ["crone", "liver", "slant"]
+    texts = [" ".join(rng.permutation((good, bad)[i % 2])) for i in range(200)]
+    labels = [float(i % 2 == 0) for i in range(200)]
+    weights = fit([style_features(t) for t in texts[:160]], labels[:160], 1 << 18)
+    scores = [sigmoid(weights[i] @ v + weights[-1]) for i, v in map(style_features, texts[160:])]
+    assert all((p > 0.5) == (y > 0.5) for p, y in zip(scores, labels[160:], strict=True))
+    one, other = (set(style_features(t)[0].tolist()) for t in ("stone river plant", "river stone plant"))
+    assert one != other
+
+
 def brute_top(rows, every, k):
     fit = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = Counter()
