@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, over whole tables, and their SQL."""
 
-from billwright.llm import decontamination, jaccard, mixing, pii, quality, repeats, tokens, topk, toxicity, warc
+from billwright.llm import decontamination, jaccard, mixing, packing, periodic, pii, quality, repeats, tokens, topk, toxicity, trie, warc
 from billwright.operators.settle import settle
 
 QUERIES, ORACLES = {}, {}
@@ -120,3 +120,51 @@ def labelled_domains(docs, labels):
 def op8(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, labelled_domains(docs, table(spark, sf_dir, "labels")), settle=settle)
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf_dir):
+    return periodic.run_report(table(spark, sf_dir, "documents"), places=periodic.repeated_places)
+
+
+@query("op12_best_fit_packing")
+def op12(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def _crc32_sql(digits):
+    """CRC-32 of a string of ASCII characters, bit by bit."""
+    bits = f"flatten(list_transform(string_split({digits}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN b >= 0 THEN xor(a, b) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    return f"xor(list_reduce(list_transform(list_concat([4294967295], {bits}), lambda x: CAST(x AS BIGINT)), lambda a, b: {step}), 4294967295)"
+
+
+@query(
+    "op13_conversation_trie",
+    f"""WITH o AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS place, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+begun AS (SELECT c.conv_id, place, role, text FROM c JOIN o ON o.conv_id = c.base AND place < h),
+n AS (SELECT c.conv_id, h, count(place) AS n FROM c LEFT JOIN begun USING (conv_id) GROUP BY ALL),
+r AS (SELECT * FROM begun UNION ALL SELECT conv_id, place - h + n, role, text FROM o JOIN n USING (conv_id) WHERE place >= h),
+p AS (
+  SELECT conv_id, place + 1 AS depth, text,
+    sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY place) OVER (PARTITION BY conv_id ORDER BY place)) AS k FROM r
+  UNION ALL SELECT conv_id, 0, '', '' FROM c),
+ends AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+v AS (
+  SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(strlen(text)) AS bytes,
+    string_agg(CASE WHEN e THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS named
+  FROM (SELECT p.*, ends.depth IS NOT NULL AS e FROM p LEFT JOIN ends USING (conv_id, depth)) GROUP BY depth, k),
+up AS (SELECT v.depth, v.k, p.depth AS a_depth, p.k AS a_k FROM v JOIN p ON p.conv_id = v.conv_id AND p.depth <= v.depth),
+kids AS (SELECT a_depth AS depth, a_k AS k, count(*) AS n_children FROM up WHERE depth = a_depth + 1 GROUP BY ALL),
+w AS (SELECT v.*, coalesce(n_children, 0) AS n_children, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM v LEFT JOIN kids USING (depth, k)),
+t AS (SELECT a_depth AS depth, a_k AS k, sum(leaf) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens FROM up JOIN w USING (depth, k) GROUP BY ALL),
+parents AS (SELECT up.depth, up.k, v.conv_id AS parent_conv_id FROM up JOIN v ON v.depth = up.a_depth AND v.k = up.a_k WHERE up.depth = up.a_depth + 1)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(named, '')) AS ends_sha256
+FROM w JOIN t USING (depth, k) LEFT JOIN parents USING (depth, k)""",
+)
+def op13(spark, sf_dir):
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
