@@ -7,7 +7,9 @@ from billwright import rules
 from billwright.functions.numbers import or_else
 from billwright.functions.text import contains_any, slug, tidy, variant_model
 from billwright.functions.urls import absolute, followable, host, is_product_url, origin, path
-from billwright.operators.ordering import first_row, first_rows
+from billwright.operators.bloom import bloom_filter, may_hold
+from billwright.operators.ordering import first_row
+from billwright.operators.settle import settle
 
 
 def attr(name):
@@ -61,64 +63,79 @@ def _inside(elements):
     return elements.withColumn("container", F.explode("ancestors"))
 
 
-def container_scores(elements, selectors=rules.CONTAINERS, keep=3):
-    """Selectors whose elements look like product cards, best three per page."""
-    boxes = containers(elements, selectors)
-    titled = (F.col("tag").isin("h2", "h3", "h4")) | contains_any(attr("class"), ["title", "name"])
-    parts = _inside(elements.where(titled | (F.col("tag") == "img") | (F.col("tag") == "a")))
-    first_title = F.min_by(F.length(F.trim(F.coalesce("text", F.lit("")))), F.when(titled, F.col("node")))
-    first_image = F.min_by(
-        (attr("src") != "") | (attr("data-src") != ""), F.when(F.col("tag") == "img", F.col("node"))
-    )
-    has_link = F.max((F.col("tag") == "a") & F.try_element_at("attrs", F.lit("href")).isNotNull())
-    facts = parts.groupBy("page_id", F.col("container").alias("node")).agg(
-        (first_title > 3).alias("title"), first_image.alias("image"), has_link.alias("link")
-    )
-    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int"))
-    scored = (
-        boxes.join(facts, ["page_id", "node"], "left")
-        .groupBy("page_id", "rank", "selector")
-        .agg(
-            F.count(F.lit(1)).alias("elements"),
-            share("title").alias("titles"),
-            share("image").alias("images"),
-            share("link").alias("links"),
-        )
-        .withColumn("score", F.round(F.col("titles") * 30 + F.col("images") * 40 + F.col("links") * 30, 6))
-        .where("elements >= 2 and score > 50")
-    )
-    return first_rows(scored, ["page_id"], [F.desc("score"), "rank"], keep)
+def _has_href():
+    return (F.col("tag") == "a") & F.try_element_at("attrs", F.lit("href")).isNotNull()
 
 
-def page_cards(elements, selectors=rules.CONTAINERS, titles=rules.CARD_TITLES):
-    """Products from the cards of the best selector of each page."""
-    best = first_row(container_scores(elements, selectors), ["page_id"], [F.desc("score"), "rank"])
-    boxes = containers(elements, selectors).join(best.select("page_id", "rank"), ["page_id", "rank"], "left_semi")
-    wanted = elements.where((F.size(_matches(titles)) > 0) | F.col("tag").isin("img", "source", "a"))
-    parts = _inside(wanted).join(boxes.select("page_id", F.col("node").alias("container")), ["page_id", "container"], "left_semi")
+def _first_inside(elements, boxes, wanted, keep=()):
+    """Boxes with the first wanted element inside each, null where there is none.
 
-    text = F.trim(or_else(F.trim(F.coalesce("text", F.lit(""))), attr("title")))
-    named = (
-        parts.select("page_id", "container", "node", text.alias("title"), F.explode(_matches(titles)).alias("m"))
-        .groupBy("page_id", "container", "m.rank")
-        .agg(F.min_by("title", "node").alias("title"))
-        .where((F.length("title") > 2) & (F.length("title") < 200))
-        .groupBy("page_id", "container")
-        .agg(F.min_by("title", "rank").alias("title"))
-    )
+    ``boxes``: a column that is not null for a box; ``wanted``: {name: (condition, value)}. Inside means the
+    next such element in page order, if it is not behind the last element of the box, so one
+    window over the page answers all boxes, however deep they nest.
+    """
+    node = F.col("node")
+    marks = {name: F.when(cond, F.struct(node.alias("n"), value.alias("v"))) for name, (cond, value) in wanted.items()}
+    rows = elements.select("page_id", "url", "node", "last", *keep, boxes.alias("box"), *[m.alias(f"_{n}") for n, m in marks.items()])
+    seen = F.col("box").isNotNull()
+    for name in marks:
+        seen = seen | F.col(f"_{name}").isNotNull()
+    later = Window.partitionBy("page_id").orderBy(F.desc("node")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = rows.where(seen).withColumns({f"_{n}": F.last(f"_{n}", ignorenulls=True).over(later) for n in marks}).where("box is not null")
+    return ahead.withColumns({n: F.when(F.col(f"_{n}")["n"] <= F.col("last"), F.col(f"_{n}")["v"]) for n in marks}).drop(*[f"_{n}" for n in marks])
+
+
+def _scored(elements, selectors, wanted=None):
+    """One row per box and selector it fits, with what is first inside and the score of the selector on its page."""
+    titled = F.col("tag").isin("h2", "h3", "h4") | contains_any(attr("class"), ["title", "name"])
+    facts = {
+        "has_title": (titled, F.length(F.trim(F.coalesce("text", F.lit("")))) > 3),
+        "has_image": (F.col("tag") == "img", (attr("src") != "") | (attr("data-src") != "")),
+        "has_link": (_has_href(), F.lit(True)),
+    }
+    fitting = _matches(selectors)
+    boxes = _first_inside(elements, F.when(F.size(fitting) > 0, fitting), facts | (wanted or {}))
+    rows = boxes.withColumn("m", F.explode("box")).withColumns({"rank": F.col("m.rank"), "selector": F.col("m.selector")}).drop("box", "m")
+    every = Window.partitionBy("page_id", "rank")
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")).over(every)
+    score = F.round(share("has_title") * 30 + share("has_image") * 40 + share("has_link") * 30, 6)
+    return rows.withColumns({"elements": F.count(F.lit(1)).over(every), "score": score}).where("elements >= 2 and score > 50")
+
+
+def container_scores(elements, selectors=rules.CONTAINERS, keep=None):
+    """Selectors whose elements look like product cards, with their place on the page; all or the best ``keep``."""
+    scored = _scored(elements, selectors).groupBy("page_id", "rank", "selector").agg(F.first("elements").alias("elements"), F.first("score").alias("score"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "rank"))
+    placed = scored.withColumn("place", place)
+    return placed if keep is None else placed.where(F.col("place") <= keep)
+
+
+def _within(length, bounds):
+    """Whether a length lies within (least, most); always without bounds."""
+    return F.lit(True) if bounds is None else (length >= bounds[0]) & (length <= bounds[1])
+
+
+def page_cards(elements, selectors=rules.CONTAINERS, titles=rules.CARD_TITLES, title_length=None):
+    """Products from the cards of the best selector of each page.
+
+    ``title_length`` (least, most) leaves out titles of other lengths; the next title rule is then tried.
+    """
     node = F.col("node")
     source = F.split(F.trim(F.split(attr("srcset"), ",")[0]), " ")[0]
-    facts = parts.groupBy("page_id", "container").agg(
-        F.min_by(image_address(), F.when(F.col("tag") == "img", node)).alias("image_url"),
-        F.min_by(source, F.when(F.col("tag") == "source", node)).alias("source_url"),
-        F.min_by(attr("href"), F.when((F.col("tag") == "a") & F.try_element_at("attrs", F.lit("href")).isNotNull(), node)).alias("product_url"),
-    )
+    text = F.trim(or_else(F.trim(F.coalesce("text", F.lit(""))), attr("title")))
+    wanted = {f"title{i}": (_selects(rule), text) for i, rule in enumerate(titles)}
+    wanted |= {
+        "img": (F.col("tag") == "img", F.struct(image_address().alias("src"))),
+        "source": (F.col("tag") == "source", source),
+        "product_url": (_has_href(), attr("href")),
+    }
+    scored = _scored(elements, selectors, wanted)
+    best = F.max(F.struct("score", -F.col("rank"))).over(Window.partitionBy("page_id"))
+    rows = scored.withColumn("_best", best).where(F.struct("score", -F.col("rank")) == F.col("_best"))
+    named = F.coalesce(*[F.when(_within(F.length(f"title{i}"), title_length), F.col(f"title{i}")) for i in range(len(titles))])
     cards = (
-        boxes.select("page_id", "url", F.col("node").alias("container"))
-        .join(named, ["page_id", "container"])
-        .join(facts, ["page_id", "container"])
-        .withColumn("image_url", or_else("image_url", "source_url"))
-        .where(F.col("image_url").isNotNull() & ~contains_any(F.lower("image_url"), rules.CARD_UI_IMAGE_WORDS))
+        rows.select("page_id", "url", node.alias("container"), named.alias("title"), or_else("img.src", "source").alias("image_url"), "product_url")
+        .where(F.col("title").isNotNull() & F.col("image_url").isNotNull() & ~contains_any(F.lower("image_url"), rules.CARD_UI_IMAGE_WORDS))
         .withColumn("_k", F.lower("title"))
     )
     return _as_products(first_row(cards, ["page_id", "_k"], ["container"]), "container")
@@ -138,36 +155,32 @@ def _as_products(found, order):
     )
 
 
-def page_blocks(elements, cards=None, least=5):
-    """Generic blocks with image, link and heading; with ``cards`` only on pages with fewer than five."""
+def page_blocks(elements, cards=None, least=None, title_least=0):
+    """Generic blocks with image, link and heading.
+
+    With ``cards`` and ``least`` only pages with fewer cards are read; titles shorter than ``title_least`` are left out.
+    """
     pages = elements
-    if cards is not None:
+    if cards is not None and least is not None:
         counts = cards.groupBy("page_id").agg(F.count(F.lit(1)).alias("_n"))
         pages = elements.join(counts.where(F.col("_n") >= least).select("page_id"), "page_id", "left_anti")
-    boxes = pages.where(F.col("tag").isin("div", "li", "article", "section") & (F.col("text_len") <= 2000)).select(
-        "page_id", "url", F.col("node").alias("container")
-    )
     heading = F.col("tag").isin("h1", "h2", "h3", "h4", "h5") | F.array_contains("classes", "title") | F.array_contains("classes", "name")
-    link = (F.col("tag") == "a") & F.try_element_at("attrs", F.lit("href")).isNotNull()
     text = F.trim(F.coalesce("text", F.lit("")))
     image = or_else(attr("src"), attr("data-src"), F.split(attr("srcset"), " ")[0])
-    facts = (
-        _inside(pages.where(heading | link | (F.col("tag") == "img")))
-        .groupBy("page_id", "container")
-        .agg(
-            F.min_by(text, F.when(heading, F.col("node"))).alias("heading"),
-            F.min_by(F.struct(text.alias("text"), attr("href").alias("href")), F.when(link, F.col("node"))).alias("link"),
-            F.min_by(F.struct(image.alias("src")), F.when(F.col("tag") == "img", F.col("node"))).alias("image"),
-        )
-    )
+    box = F.when(F.col("tag").isin("div", "li", "article", "section") & (F.col("text_len") <= 2000), F.lit(True))
+    facts = _first_inside(pages, box, {
+        "heading": (heading, text),
+        "link": (_has_href(), F.struct(text.alias("text"), attr("href").alias("href"))),
+        "image": (F.col("tag") == "img", F.struct(image.alias("src"))),
+    })
     found = (
-        boxes.join(facts, ["page_id", "container"])
-        .where("image is not null and link is not null")
+        facts.where("image is not null and link is not null")
         .where(F.col("heading").isNotNull() | (F.length("link.text") > 5))
-        .withColumn("title", F.coalesce("heading", "link.text"))
-        .withColumn("image_url", F.col("image.src"))
-        .withColumn("product_url", F.col("link.href"))
-        .where((F.length("title") >= 3) & F.col("image_url").isNotNull())
+        .select(
+            "page_id", "url", F.col("node").alias("container"), F.coalesce("heading", "link.text").alias("title"),
+            F.col("image.src").alias("image_url"), F.col("link.href").alias("product_url"),
+        )
+        .where((F.length("title") >= title_least) & F.col("image_url").isNotNull())
         .where(~contains_any(F.lower("image_url"), rules.BLOCK_UI_IMAGE_WORDS))
     )
     return _as_products(first_row(found, ["page_id", "title"], ["container"]), "container")
@@ -356,14 +369,14 @@ def menu_links(all_links):
     )
 
 
-def hierarchy_links(all_links):
-    """Category-like links inside the same site."""
+def hierarchy_links(all_links, label_length=None):
+    """Category-like links inside the same site, all or those with labels of these lengths."""
     address, text = F.lower("link"), F.lower("text")
     words = rules.SITE_PRODUCT_WORDS + rules.SITE_CATEGORY_WORDS
     excluded = contains_any(address, rules.SITE_EXCLUDE) | contains_any(text, rules.SITE_EXCLUDE)
     hit = F.col("in_nav") | contains_any(address, words) | contains_any(text, words)
     kept = all_links.where(
-        F.col("same_site") & ~excluded & hit & (F.length("text") > 2) & (F.length("text") < 50)
+        F.col("same_site") & ~excluded & hit & _within(F.length("text"), label_length)
     )
     return first_row(kept, ["page_id", "link"], ["node"]).select("page_id", "node", "link", F.col("text").alias("label"))
 
@@ -451,8 +464,17 @@ def menu_tree(elements, exclude=tuple(rules.MENU_EXCLUDE)):
 
 
 def frontier(found, visited):
-    """Addresses discovered and not visited yet (C11)."""
-    return found.select("link").distinct().join(visited.select(F.col("url").alias("link")), "link", "left_anti")
+    """Addresses discovered and not visited yet (C11).
+
+    A Bloom filter of the visited addresses passes what is surely new. The rest is compared exactly, with those visited
+    addresses only that a filter of the rest lets through: neither side moves whole.
+    """
+    links = found.select("link").distinct()
+    seen = visited.select(F.col("url").alias("link")).where("link is not null")
+    tested = settle(may_hold(links, bloom_filter(seen, "link"), "link"), "tested-links")
+    doubtful = tested.where("_maybe").select("link")
+    close = may_hold(seen, bloom_filter(doubtful, "link"), "link").where("_maybe").select("link")
+    return tested.where("not _maybe").select("link").unionByName(doubtful.join(close, "link", "left_anti"))
 
 
 # --------------------------------------------------------------------------- C14 to C16
@@ -551,13 +573,13 @@ def page_texts(elements):
     return first.unionByName(under).unionByName(meta)
 
 
-def enrich_descriptions(products, texts, pages):
+def enrich_descriptions(products, texts, pages, text_length=None, meta_length=None):
     """Better description from the product's own page; counts follow from ``enriched``.
 
-    Products whose page is not stored are ``failed``.
+    Texts and meta descriptions outside (least, most) characters are passed over; empty ones always. Products whose page is not stored are ``failed``.
     """
     by_page = pages.select("page_id", F.col("url").alias("product_url"))
-    usable = texts.where((F.length("text") > 15) & (F.length("text") < F.when(F.col("rank") == 999, 500).otherwise(800)))
+    usable = texts.where("text <> ''").where(F.when(F.col("rank") == 999, _within(F.length("text"), meta_length)).otherwise(_within(F.length("text"), text_length)))
     wanted = products.select("product_id", "model", "description", "product_url")
     options = wanted.join(by_page, "product_url").join(usable, "page_id")
     own_text = F.coalesce("description", F.lit(""))

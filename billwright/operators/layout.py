@@ -23,40 +23,59 @@ def squeeze(x):
     return F.lower(F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), "[^A-Za-z0-9]", ""))
 
 
+def _line_starts(tolerance):
+    """Per page the lines that each y can join: (y, first item) of at most two lines, whose starts differ by more than the tolerance.
+
+    The rows come page by page in the order of their first items. A strip of tolerance + 1 units holds at most one
+    start, so every row looks at three strips: linear in the distinct y of a page."""
+    import pyarrow as pa
+
+    def near(starts, y):
+        strips = range((y - tolerance) // (tolerance + 1), (y + tolerance) // (tolerance + 1) + 1)
+        return sorted(starts[k] for k in strips if k in starts and abs(starts[k][0] - y) <= tolerance)
+
+    def table(page, kinds, ys, starts):
+        lines = [[{"y": y, "first": first} for y, first in near(starts, y)] for y in ys]
+        line = pa.list_(pa.struct([("y", pa.int32()), ("first", pa.int64())]))
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array([v] * len(ys), t) for v, t in zip(page, kinds, strict=True)], pa.array(ys, pa.int32()), pa.array(lines, line)], names=[*PAGE, "y", "lines"]
+        )
+
+    def fold(batches):
+        page, kinds, ys, starts = None, None, [], {}
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in PAGE]
+            for *own, y, first in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "y", "first")], strict=True):
+                if own != page:
+                    if ys:
+                        yield table(page, kinds, ys, starts)
+                    page, ys, starts = own, [], {}
+                ys.append(y)
+                if not near(starts, y):
+                    starts[y // (tolerance + 1)] = (y, first)
+        if ys:
+            yield table(page, kinds, ys, starts)
+
+    return fold
+
+
 def text_lines(items, tolerance=10):
     """Text items gathered to lines.
 
-    Items are taken in their given order. Each joins the lowest-y line whose first item lies
-    within the tolerance, or starts a line. The fold runs over one page at a time.
+    Items are taken in their given order. Each joins the lowest-y line whose first item lies within the tolerance,
+    or starts a line; lines may drift into each other. Only the first item of every distinct y can start
+    a line, so the fold in order runs over those, page by page, and the items look their line up.
     """
     y = F.round("y", 0).cast("int")
-    page = items.groupBy(*PAGE).agg(
-        F.array_sort(F.collect_list(F.struct("ord", y.alias("y"), F.col("x").alias("x"), F.col("str").alias("str")))).alias("items")
-    )
-    start = F.struct(
-        F.array().cast("array<int>").alias("anchors"), F.array().cast("array<int>").alias("line_of")
-    )
-
-    def place(acc, item):
-        near = F.array_min(F.filter(acc["anchors"], lambda a: F.abs(a - item["y"]) <= tolerance))
-        line = F.coalesce(near, item["y"])
-        return F.struct(
-            F.when(near.isNull(), F.concat(acc["anchors"], F.array(item["y"])))
-            .otherwise(acc["anchors"])
-            .alias("anchors"),
-            F.concat(acc["line_of"], F.array(line)).alias("line_of"),
-        )
-
-    placed = page.withColumn("line_of", F.aggregate("items", start, place)["line_of"]).select(
-        *PAGE, F.explode(F.arrays_zip("items", "line_of")).alias("z")
-    )
-    words = placed.groupBy(*PAGE, F.col("z.line_of").alias("y")).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(F.col("z.items.x").alias("x"), F.col("z.items.ord").alias("ord"), F.col("z.items.str").alias("str"))
-            )
-        ).alias("words")
+    rounded = items.select(*PAGE, F.col("ord").cast("long").alias("ord"), y.alias("y"), "x", "str")
+    heights = rounded.groupBy(*PAGE, "y").agg(F.min("ord").alias("first"))
+    fields = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in PAGE)
+    starts = heights.repartition(*PAGE).sortWithinPartitions(*PAGE, "first").mapInArrow(
+        _line_starts(tolerance), f"{fields}, y int, lines array<struct<y:int,first:bigint>>"
     )
+    open_lines = F.filter("lines", lambda line: line["first"] <= F.col("ord"))
+    placed = rounded.join(starts, [*PAGE, "y"]).withColumn("_line", F.array_min(F.transform(open_lines, lambda line: line["y"])))
+    words = placed.groupBy(*PAGE, F.col("_line").alias("y")).agg(F.array_sort(F.collect_list(F.struct("x", "ord", "str"))).alias("words"))
     text = F.trim(F.array_join(F.transform("words", lambda w: w["str"]), " "))
     return words.withColumn("text", text).where("text <> ''").select(*PAGE, "y", "text", "words")
 
@@ -112,6 +131,14 @@ def serial_anchors(items, left_of=120):
     )
 
 
+def page_starts(items, default=-1, left_of=120, words=rules.PAGE_ITEM_WORDS):
+    """Top of the first serial number of each page, else of its first header word, else the default, in one pass."""
+    number = (F.col("x") < left_of) & F.col("str").rlike(r"^\s*(\d+)[.\s-]*$")
+    header = contains_any(F.lower("str"), words)
+    top = lambda hit: F.min(F.when(hit, F.col("y")))
+    return items.groupBy(*PAGE).agg(F.coalesce(top(number), top(header), F.lit(default)).alias("start_y"))
+
+
 def table_start(pages, anchors, headers, default=150):
     """Top of the first serial number, else the header, else a default."""
     tops = anchors.groupBy(*PAGE).agg(F.min("top").alias("_top"))
@@ -149,92 +176,72 @@ def pair_by_rank(rows, images):
     )
 
 
-def row_anchors(rows, items, prefix=10):
-    """y of the text that belongs to a row: exact serial number, else start of the description."""
-    keyed = items.select(*PAGE, squeeze("str").alias("_k"), "ord", "y").where("_k <> ''")
-    by_sn = (
-        rows.withColumn("_k", squeeze("sn")).where("_k <> ''")
-        .join(keyed, [*PAGE, "_k"])
-        .groupBy(*PAGE, "row_idx")
-        .agg(F.min_by("y", "ord").alias("sn_y"))
-    )
-    stem = squeeze(F.substring(F.coalesce("description", F.lit("")), 1, 20))
-    left = (
-        rows.join(by_sn, [*PAGE, "row_idx"], "left_anti")
-        .withColumn("_stem", stem)
-        .where(F.length("_stem") > 3)
-        .withColumn("_stem", F.substring("_stem", 1, prefix))
-    )
-    # Descriptions start a text when they equal one of its pieces of the same length.
-    pieces = keyed.withColumn("_lengths", F.array(*[F.lit(n) for n in range(4, prefix + 1)])).select(
-        *PAGE, "ord", "y", F.explode(cut("_k", "_lengths")).alias("_stem")
-    )
-    by_text = (
-        left.join(pieces, [*PAGE, "_stem"]).groupBy(*PAGE, "row_idx").agg(F.min_by("y", "ord").alias("text_y"))
-    )
-    return (
-        rows.join(by_sn, [*PAGE, "row_idx"], "left")
-        .join(by_text, [*PAGE, "row_idx"], "left")
-        .withColumn("anchor_y", F.coalesce("sn_y", "text_y"))
-        .drop("sn_y", "text_y")
-    )
-
+def row_anchors(rows, items, prefix=10, stem=20):
+    """anchor_y of the text that belongs to a row, and sn_y of its number alone: exact serial number, else the start of the description inside a text.
 
-def _claim_page(pdf):
-    """Rows of one page claim images one after the other."""
-    import pandas as pd
-
-    head = pdf.iloc[0]
-    images = sorted(head["images"] if head["images"] is not None else [], key=lambda i: (i["y"], i["x"], i["ord"]))
-    rows = pdf.sort_values("row_idx")
-    used, out = set(), []
-    for rank, row in enumerate(rows.itertuples(index=False)):
-        anchored = not pd.isna(row.anchor_y)
-        best, best_gap = -1, float("inf")
-        for n, image in enumerate(images):
-            if n in used:
-                continue
-            gap = abs(image["y"] + image["h"] / 2 - row.anchor_y) if anchored else abs(n - rank) * 200
-            if gap < best_gap:
-                best, best_gap = n, gap
-        if best < 0 or best_gap >= 300:
-            best = rank if rank < len(images) and rank not in used else -1
-        if best >= 0:
-            used.add(best)
-            out.append((row.doc_id, row.page, row.row_idx, images[best]["ord"], images[best]["path"]))
-    return pd.DataFrame(out, columns=["doc_id", "page", "row_idx", "image_ord", "path"])
+    A text holds a start when it equals one of its pieces of that length, so both lookups are one equality
+    join; texts are cut only to the lengths that occur on their page.
+    """
+    start = F.substring(squeeze(F.substring(F.coalesce("description", F.lit("")), 1, stem)), 1, prefix)
+    wanted = rows.select(*PAGE, "row_idx", squeeze("sn").alias("_sn"), start.alias("_start"))
+    wanted = wanted.withColumn("_start", F.when(F.length("_start") > 3, F.col("_start")))
+    sizes = wanted.groupBy(*PAGE).agg(F.sort_array(F.collect_set(F.length("_start"))).alias("_lengths"))
+    looked = F.array(F.struct(F.lit(0).alias("kind"), F.col("_sn").alias("k")), F.struct(F.lit(1).alias("kind"), F.col("_start").alias("k")))
+    targets = wanted.select(*PAGE, "row_idx", F.explode(looked).alias("t")).select(*PAGE, "row_idx", "t.*").where("k <> ''")
+    keyed = items.select(*PAGE, squeeze("str").alias("_k"), "ord", "y").where("_k <> ''").join(sizes, PAGE)
+    whole = F.array(F.struct(F.lit(0).alias("kind"), F.col("_k").alias("k")))
+    pieces = F.transform(cut("_k", "_lengths"), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("k")))
+    texts = keyed.select(*PAGE, "ord", "y", F.explode(F.concat(whole, pieces)).alias("t")).select(*PAGE, "t.*", "ord", "y")
+    first = lambda kind: F.min_by("y", F.when(F.col("kind") == kind, F.col("ord")))
+    found = targets.join(texts, [*PAGE, "kind", "k"]).groupBy(*PAGE, "row_idx").agg(first(0).alias("sn_y"), first(1).alias("text_y"))
+    return rows.join(found, [*PAGE, "row_idx"], "left").withColumn("anchor_y", F.coalesce("sn_y", "text_y")).drop("text_y")
+
+
+def _by_page(frame, columns, out):
+    return frame.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(out))
+
+
+def _claims(reach=300, rank_step=200):
+    """Image number per row, in row order; -1 for none. Each row takes its nearest free image, the first on ties."""
+    numbers = F.sequence(F.lit(0), F.size("images") - 1)
+
+    def claim(held, row):
+        rank = F.size(held["taken"])
+        free = F.filter(numbers, lambda n: ~F.array_contains(held["used"], n))
+        gap = lambda n: F.when(
+            row["anchor_y"].isNull(), (F.abs(n - rank) * rank_step).cast("double")
+        ).otherwise(F.abs(F.get("images", n)["middle"] - row["anchor_y"]))
+        best = F.array_min(F.transform(free, lambda n: F.struct(gap(n).alias("gap"), n.alias("n"))))
+        same = (rank < F.size("images")) & ~F.array_contains(held["used"], rank)
+        image = F.when(best["gap"] < reach, best["n"]).when(same, rank).otherwise(F.lit(-1))
+        used = F.when(image >= 0, F.concat(held["used"], F.array(image))).otherwise(held["used"])
+        return F.struct(F.concat(held["taken"], F.array(image)).alias("taken"), used.alias("used"))
+
+    none = F.array().cast("array<int>")
+    return F.aggregate("rows", F.struct(none.alias("taken"), none.alias("used")), claim, lambda held: held["taken"])
+
+
+def _paired(rows, images, taken):
+    """Pairs of pages from an expression over ``rows`` and ``images`` that numbers the image of each row."""
+    row = _by_page(rows, ["row_idx", F.col("anchor_y").cast("double").alias("anchor_y")], "rows")
+    middle = (F.col("y") + F.col("h") / 2).cast("double").alias("middle")
+    image = _by_page(images, ["y", "x", "ord", middle, "path"], "images")
+    pages = row.join(image, PAGE).withColumn("taken", taken)
+    pair = pages.select(*PAGE, "images", F.explode(F.arrays_zip("rows", "taken")).alias("z")).where("z.taken >= 0")
+    one = F.get("images", F.col("z.taken"))
+    return pair.select(*PAGE, F.col("z.rows.row_idx").alias("row_idx"), one["ord"].alias("image_ord"), one["path"].alias("path"))
 
 
 def pair_by_distance(anchored_rows, images):
-    """Nearest free image per row, in row order; each image is used once.
-
-    Claiming is sequential by nature; each task works on one page at a time.
-    """
-    listed = images.groupBy(*PAGE).agg(
-        F.collect_list(
-            F.struct(
-                F.col("ord").cast("int").alias("ord"),
-                F.col("x").cast("double").alias("x"),
-                F.col("y").cast("double").alias("y"),
-                F.col("h").cast("double").alias("h"),
-                "path",
-            )
-        ).alias("images")
-    )
-    doc_type = anchored_rows.schema["doc_id"].dataType.simpleString()
-    return (
-        anchored_rows.select(*PAGE, "row_idx", F.col("anchor_y").cast("double").alias("anchor_y"))
-        .join(listed, PAGE)
-        .groupBy(*PAGE)
-        .applyInPandas(_claim_page, f"doc_id {doc_type}, page int, row_idx int, image_ord int, path string")
-    )
+    """Nearest free image per row, in row order; each image is used once (B25). One ordered fold per page over its sorted images."""
+    return _paired(anchored_rows, images, _claims())
 
 
 def pair_images(rows, items, images):
     """Pages with equal counts pair by rank, the others by distance."""
-    by_rank = pair_by_rank(rows, images)
-    rest = rows.join(by_rank.select(*PAGE).distinct(), PAGE, "left_anti")
-    return by_rank.unionByName(pair_by_distance(row_anchors(rest, items), images))
+    same = F.size("rows") == F.size("images")
+    taken = F.when(same, F.sequence(F.lit(0), F.size("rows") - 1)).otherwise(_claims())
+    return _paired(row_anchors(rows, items), images, taken)
 
 
 def nearest_anchor(images, anchors, reach=120):

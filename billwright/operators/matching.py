@@ -60,18 +60,15 @@ def resolve_brands(wanted, brands, brand_col="brand", tier_col="tier"):
 
 
 def candidate_context(products, most=None):
-    """Known sub categories and the models of each brand, all or the first ``most`` (M4)."""
-    subs = (
-        products.where(~blank("sub_category"))
-        .groupBy("brand_id")
-        .agg(F.sort_array(F.collect_set("sub_category")).alias("known_sub_categories"))
-    )
-    models = (
-        (products if most is None else first_rows(products, ["brand_id"], ["pos"], most))
-        .groupBy("brand_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "model"))), lambda m: m["model"]).alias("models"))
+    """What an identification step may know of each brand, one row per entry (M4): its sub categories, and its models, all or the first ``most``.
+
+    kind ('sub_category' or 'model'), brand_id, pos (of a model in its brand) and text. A brand of any size is rows, never one array.
+    """
+    subs = products.where(~blank("sub_category")).select("brand_id", F.col("sub_category").alias("text")).distinct()
+    models = products if most is None else first_rows(products, ["brand_id"], ["pos"], most)
+    return models.select("brand_id", F.lit("model").alias("kind"), F.col("pos").cast("long").alias("pos"), F.col("model").alias("text")).unionByName(
+        subs.select("brand_id", F.lit("sub_category").alias("kind"), F.lit(None).cast("long").alias("pos"), "text")
     )
-    return models.join(subs, "brand_id", "left")
 
 
 def first_success(matches, line=("doc_id", "sn", "tier")):
@@ -226,10 +223,12 @@ def _synonym_only(keys, catalog, synonyms):
         F.col("t_set"),
         lambda w: ~F.array_contains(F.col("p_set"), w) & F.arrays_overlap(F.try_element_at(table, w), F.col("p_set")),
     )
+    # A set of nouns meets the word sets that hold one of their synonyms.
+    reach = F.array_distinct(F.flatten(F.transform("t_set", lambda w: F.try_element_at(table, w))))
+    asked = wanted.select("brand_id", "t_set").distinct().withColumn("word", F.explode(reach))
+    meeting = asked.join(have.withColumn("word", F.explode("p_set")), ["brand_id", "word"]).drop("word").distinct()
     best = (
-        wanted.select("brand_id", "t_set").distinct()
-        .join(have, "brand_id")
-        .withColumn("score", F.size(helped) * 0.25)
+        meeting.withColumn("score", F.size(helped) * 0.25)
         .where("score >= 0.5")
         .groupBy("brand_id", "t_set", "main", "sub")
         .agg(F.min(F.struct((-F.col("score")).alias("neg"), "pos")).cast(_BEST).alias("best"))

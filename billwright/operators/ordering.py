@@ -2,9 +2,9 @@
 
 A plain window puts a whole partition key into one task. Every key is therefore cut into blocks by
 a coarse, order-preserving expression: each block is numbered on its own, and the block totals
-(one row per block) supply the offset. The input is written once in the shared folder, and the
-numbering reads that table; what computes the input runs once however often numbers are nested.
-Null keys and null blocks are keys and blocks like others (null first).
+(from a pass that reads only the keys, the block and the value) supply the offset. Only the offsets of blocks behind a first one are
+written, which most keys have none of; the wide rows are exchanged once, by key and block. An input that is costly to compute should be
+settled by the caller. Null keys and null blocks are keys and blocks like others (null first).
 """
 
 from pyspark.sql import Window
@@ -13,13 +13,9 @@ from pyspark.sql import functions as F
 from billwright.operators.settle import settle
 
 
-def _in_blocks(df, block):
-    return settle(df.withColumn("_block", block), "numbered")
-
-
-def _with_edges(rows, keys, edges, value):
-    """rows joined to ``value`` of their block; edges is one row per key and block."""
-    named = edges.select(*[F.col(k).alias(f"_nb_key{i}") for i, k in enumerate(keys)], F.col("_block").alias("_nb_block"), value)
+def with_edges(rows, keys, edges, value):
+    """rows joined to ``value`` of their block; edges is one row per key and block. Written, as it comes from a pass of its own."""
+    named = settle(edges.select(*keys, "_block", value), "edges").select(*[F.col(k).alias(f"_nb_key{i}") for i, k in enumerate(keys)], F.col("_block").alias("_nb_block"), value)
     match = F.col("_block").eqNullSafe(F.col("_nb_block"))
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_nb_key{i}"))
@@ -28,12 +24,13 @@ def _with_edges(rows, keys, edges, value):
 
 def running_sum(df, keys, order, value, out, block):
     """Sum of ``value`` over the rows of the key up to and including this one."""
-    rows = _in_blocks(df, block)
+    rows = df.withColumn("_block", block)
     local = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
-    offsets = totals.withColumn("_offset", F.sum("_total").over(before))
-    numbered = _with_edges(rows.withColumn("_local", F.sum(value).over(local)), keys, offsets, "_offset")
+    # First blocks, all there is of most keys, need no offset.
+    offsets = totals.withColumn("_offset", F.sum("_total").over(before)).where("_offset is not null")
+    numbered = with_edges(rows.withColumn("_local", F.sum(value).over(local)), keys, offsets, "_offset")
     return numbered.withColumn(out, F.col("_local") + F.coalesce(F.col("_offset"), F.lit(0))).drop("_local", "_offset", "_block")
 
 
@@ -44,11 +41,11 @@ def number_rows(df, keys, order, out, block):
 
 def previous(df, keys, order, value, out, block):
     """Value of the row before this one inside the key; needs a value that never falls in the order."""
-    rows = _in_blocks(df, block)
+    rows = df.withColumn("_block", block)
     local = Window.partitionBy(*keys, "_block").orderBy(*order)
     before = Window.partitionBy(*keys).orderBy("_block")
-    edges = rows.groupBy(*keys, "_block").agg(F.max(value).alias("_last")).withColumn("_edge", F.lag("_last").over(before))
-    looked = _with_edges(rows.withColumn("_local", F.lag(value).over(local)), keys, edges, "_edge")
+    edges = rows.groupBy(*keys, "_block").agg(F.max(value).alias("_last")).withColumn("_edge", F.lag("_last").over(before)).where("_edge is not null")
+    looked = with_edges(rows.withColumn("_local", F.lag(value).over(local)), keys, edges, "_edge")
     return looked.withColumn(out, F.coalesce("_local", "_edge")).drop("_local", "_edge", "_block")
 
 

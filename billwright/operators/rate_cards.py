@@ -13,6 +13,7 @@ from billwright.functions.tagging import categories_of
 from billwright.functions.text import model_key
 
 CARPET = "Carpet Tiles"
+SOURCE = "internal-fitout-db"
 
 
 def materials_of(text, materials=rules.FITOUT_MATERIALS):
@@ -27,12 +28,12 @@ def line_groups(text, taxonomy=rules.TAXONOMY):
     return F.when(F.lower(F.coalesce(text, F.lit(""))).contains("carpet"), F.array(F.lit(CARPET))).otherwise(subs)
 
 
-def match_rate_card(lines, card, taxonomy=rules.TAXONOMY, materials=rules.FITOUT_MATERIALS):
+def match_rate_card(lines, card, taxonomy=rules.TAXONOMY, materials=rules.FITOUT_MATERIALS, brand="Fit-out"):
     """One card item per distinct (tier, description), or no_match (M6).
 
     ``lines``: tier, description. ``card``: tier, pos, main_category, sub_category, family, model,
     description, price. A tier without a card uses the mid card. Returns tier, description, status,
-    match_* columns and match_score.
+    match_* columns, match_score, and for matches the name under which the card's items are sold, the source and the identified model.
     """
     present = card.groupBy("tier").agg(F.lit(True).alias("_has"))
     wanted = (
@@ -106,6 +107,9 @@ def match_rate_card(lines, card, taxonomy=rules.TAXONOMY, materials=rules.FITOUT
         "match_description",
         "match_price",
         "match_score",
+        F.when(F.col("match_pos").isNotNull(), F.lit(brand)).alias("match_brand"),
+        F.when(F.col("match_pos").isNotNull(), F.lit(SOURCE)).alias("source"),
+        F.when(F.col("match_pos").isNotNull(), F.col("match_model")).alias("identified_model"),
     )
 
 

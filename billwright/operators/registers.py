@@ -207,7 +207,7 @@ def result_name(brand_info_name="brand_info_name", brand_name="brand_name"):
 
 
 def harvest_inventory(results):
-    """Stored harvests: name, product count, completion time, logo; newest first."""
+    """Stored harvests: name, product count, completion time, logo (S10). To show the newest first, sort what is shown by completed_at."""
     counted = F.coalesce(
         F.when(F.col("product_count") > 0, F.col("product_count")), F.greatest(F.size("products"), F.lit(0))
     )
@@ -217,7 +217,7 @@ def harvest_inventory(results):
         counted.cast("bigint").alias("product_count"),
         "completed_at",
         F.coalesce("logo", F.lit("")).alias("logo"),
-    ).orderBy(F.desc_nulls_last("completed_at"), "filename")
+    )
 
 
 def latest_results(results):

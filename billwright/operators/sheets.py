@@ -65,12 +65,13 @@ def sheet_rows(cells, cell_images=None):
         .withColumn("hits", hits)
         .drop("_text")
         .withColumn("is_total", F.when(F.col("hits") > 0, total).otherwise(F.lit(False)))
+        .withColumn("text_col", F.array_min(F.map_keys(F.map_filter("cells", lambda k, v: v != ""))))
     )
     if cell_images is None:
-        return rows.withColumn(
-            "images", F.lit(None).cast("map<int,array<struct<url:string,extension:string>>>")
-        )
-    return rows.join(attach_images(cell_images), ["doc_id", "sheet_id", "row_no"], "left")
+        rows = rows.withColumn("images", F.lit(None).cast("map<int,array<struct<url:string,extension:string>>>"))
+    else:
+        rows = rows.join(attach_images(cell_images), ["doc_id", "sheet_id", "row_no"], "left")
+    return rows.withColumn("image_col", F.array_min(F.map_keys("images")))
 
 
 def header_rows(rows):
@@ -87,31 +88,27 @@ def header_rows(rows):
 
 
 def data_rows(rows, headers, drop_repeated=True):
-    """Rows below the header, cut to its width, without repeated headers and blank rows."""
+    """Rows below the header, cut to its width, without repeated headers and blank rows.
+
+    Which rows stay follows from their marks (first column with a text, with an image), so a pass that needs no cells reads none.
+    """
     in_width = lambda k: k <= F.col("header_width")
-    body = (
-        rows.join(headers, SHEET)
-        .where("row_no > header_row")
+    body = rows.join(headers.select(*SHEET, "header_row", "header_width"), SHEET).where("row_no > header_row")
+    if drop_repeated:
+        body = body.where((F.col("hits") < 3) | F.col("is_total"))
+    filled = F.coalesce(F.col("text_col") <= F.col("header_width"), F.lit(False)) | F.coalesce(F.col("image_col") <= F.col("header_width"), F.lit(False))
+    return (
+        body.where(filled)
         .withColumn("cells", F.map_filter("cells", lambda k, v: in_width(k)))
         .withColumn("images", F.map_filter("images", lambda k, v: in_width(k)))
+        .drop("header_row", "hits", "is_total", "width", "text_col", "image_col")
     )
-    if drop_repeated:
-        body = body.where((F.col("hits") < 3) | F.col("is_total"))
-    has_text = F.exists(F.map_values("cells"), lambda v: v != "")
-    has_image = F.coalesce(F.size("images") > 0, F.lit(False))
-    return body.where(has_text | has_image).drop("header", "header_row", "hits", "is_total", "width")
-
 
-def stitch(rows, headers, drop_repeated=True, keep_images=True):
-    """One table per document: header of its first sheet with data, rows of all sheets.
 
-    Returns (header, table). ``table`` numbers the rows 1, 2, … over (sheet order, row).
-    """
-    body = data_rows(rows, headers, drop_repeated)
-    if not keep_images:
-        body = body.withColumn("images", F.lit(None).cast(body.schema["images"].dataType))
+def document_header(headers, body):
+    """Header of the first sheet with data, and the size of each document."""
     filled = body.groupBy(*SHEET).agg(F.count(F.lit(1)).alias("sheet_rows"))
-    header = (
+    return (
         headers.join(filled, SHEET)
         .groupBy("doc_id")
         .agg(
@@ -121,9 +118,20 @@ def stitch(rows, headers, drop_repeated=True, keep_images=True):
             F.sum("sheet_rows").alias("row_count"),
         )
     )
+
+
+def stitch(rows, headers, drop_repeated=True, keep_images=True):
+    """One table per document: header of its first sheet with data, rows of all sheets.
+
+    Returns (header, table). ``table`` numbers the rows 1, 2, … over (sheet order, row). The numbering reads the marks of the rows
+    only; ``rows`` should therefore be a written table.
+    """
+    body = data_rows(rows, headers, drop_repeated)
+    if not keep_images:
+        body = body.withColumn("images", F.lit(None).cast(body.schema["images"].dataType))
     block = F.struct("sheet_order", F.floor(F.col("row_no") / ROW_BLOCK).alias("b"))
     table = number_rows(body, ["doc_id"], ["sheet_order", "row_no"], "row_idx", block)
-    return header, table.drop("header_width")
+    return document_header(headers, body), table.drop("header_width")
 
 
 def header_cells(header):
@@ -239,11 +247,11 @@ def positional_products(cells):
     return rows
 
 
-def drop_extracted_headers(rows):
-    """Short descriptions with two or more header words are headers."""
+def drop_extracted_headers(rows, shorter_than=rules.HEADER_TEXT_LENGTH):
+    """Descriptions with two or more header words are headers if they are shorter than this."""
     text = F.lower(F.coalesce(F.col("description"), F.lit("")))
     hits = count_words(text, rules.EXTRACTED_HEADER_WORDS)
-    return rows.where(~((hits >= 2) & (F.length(text) < 80)))
+    return rows.where(~((hits >= 2) & (F.length(text) < shorter_than)))
 
 
 def fill_serial_numbers(rows, block=None):

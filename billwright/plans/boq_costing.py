@@ -11,6 +11,14 @@ def structure(cells, cell_images=None, drop_repeated=True, keep_images=True):
     return sheets.stitch(rows, sheets.header_rows(rows), drop_repeated, keep_images)
 
 
+def summary_of_cells(cells):
+    """Summary of each original table (A1); its rows need no numbers."""
+    rows = settle(sheets.sheet_rows(cells), "rows")
+    headers = sheets.header_rows(rows)
+    body = sheets.data_rows(rows, headers)
+    return costing.extracted_summary(body, sheets.column_roles(sheets.document_header(headers, body), rules.VIEWER_ROLES))
+
+
 def cost_documents(cells, factors, cell_images=None):
     """Summary of the original table, costed line items and totals per document."""
     header, table = structure(cells, cell_images)

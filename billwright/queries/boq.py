@@ -6,7 +6,8 @@ from billwright import rules
 from billwright.functions.numbers import clean_quantity, display, money, parse_number
 from billwright.functions.text import enriched_description
 from billwright.operators import costing, plan_items, registers, sheets
-from billwright.plans.boq_costing import cost_documents, structure
+from billwright.operators.settle import settle
+from billwright.plans.boq_costing import cost_documents, structure, summary_of_cells
 from billwright.queries import views as V
 from billwright.queries.registry import query
 
@@ -205,9 +206,7 @@ SELECT doc_id, CAST(round(coalesce(r, 0), 2) AS DOUBLE) AS total_rate, CAST(roun
 FROM s WHERE coalesce(a, 0) > 0 OR coalesce(r, 0) > 0""",
 )
 def extracted_summary(spark, sf):
-    header, table = structure(V.cells(spark, sf))
-    summary = costing.extracted_summary(table, sheets.column_roles(header, rules.VIEWER_ROLES))
-    return summary.where("total_amount is not null")
+    return summary_of_cells(V.cells(spark, sf)).where("total_amount is not null")
 
 
 MONEY_SQL = f"(regexp_matches(title, '(?i)rate|price') OR {V.AMOUNT_OR_TOTAL})"
@@ -453,7 +452,7 @@ def baseline_boq(spark, sf):
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sn, af) AS INTEGER) AS sn, description, qty, unit, rate, amount FROM kept"""),
 )
 def row_edits(spark, sf):
-    rows = V.numbered_boq(spark, sf, ("a", "p_partkey % 6"))
+    rows = settle(V.numbered_boq(spark, sf, ("a", "p_partkey % 6")).select("doc_id", "sn", "description", "qty", "unit", "rate", "amount", "a"), "rows")
     action = F.when(F.col("a") == 1, "edit").when(F.col("a") == 2, "remove").when(F.col("a") == 3, "insert")
     edits = rows.select(
         "doc_id", "sn", action.alias("action"), F.lit("qty").alias("field"), F.lit("7").alias("value"), F.lit(1).alias("seq")

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from billwright import rules
 from billwright.functions import tagging, text, urls
-from billwright.operators import dedup, harvest, registers, tag
+from billwright.operators import dedup, harvest, registers, sheets, tag
+from billwright.operators.settle import step_path
 from billwright.queries import views as V
 from billwright.queries.registry import query
 from billwright.sources import brands as brand_store
-from billwright.sources import catalogs
+from billwright.sources import catalogs, documents
 
 TEXTS_SQL = V.sql_text(f"texts AS (SELECT DISTINCT {V.DESCRIPTION} AS t FROM part)")
 
@@ -298,32 +299,115 @@ def asset_totals(spark, sf):
 
 
 # ------------------------------------------------------------------ stores
+STORE = "CASE c_custkey % 3 WHEN 0 THEN 'remote' WHEN 1 THEN 'local' ELSE 'both' END"
+
+
 @query(
     "source_merge",
-    V.sql_text("""WITH r AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 5 = 0 THEN 'kept' ELSE '' END AS source FROM customer WHERE c_custkey % 3 = 0),
-l AS (SELECT c_custkey AS id, upper(c_name) AS name FROM customer WHERE c_custkey % 2 = 0)
-SELECT CAST(id AS VARCHAR) AS brand_id, name, CASE WHEN source <> '' THEN source ELSE 'Remote' END AS origin FROM r
-UNION ALL SELECT CAST(id AS VARCHAR), name, 'Local' FROM l WHERE id NOT IN (SELECT id FROM r)"""),
+    V.sql_text(f"""WITH s AS (SELECT *, {STORE} AS store FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS brand_id, CASE WHEN store = 'local' THEN upper(c_name) ELSE c_name END AS name,
+  CASE WHEN store = 'local' THEN 'Local' WHEN c_custkey % 5 = 0 THEN 'kept' ELSE 'Remote' END AS origin FROM s"""),
 )
 def source_merge(spark, sf):
-    customers = V.table(spark, sf, "customer").withColumn("brand_id", F.col("c_custkey").cast("string"))
-    remote = customers.where("c_custkey % 3 = 0").select("brand_id", F.col("c_name").alias("name"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'kept' ELSE '' END").alias("source"))
-    local = customers.where("c_custkey % 2 = 0").select("brand_id", F.upper("c_name").alias("name"))
+    """Every customer is a brand of the remote store, of the local one, or of both."""
+    customers = V.table(spark, sf, "customer").select(
+        F.col("c_custkey").cast("string").alias("brand_id"), "c_name", F.expr(STORE).alias("store"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN 'kept' ELSE '' END").alias("source")
+    )
+    remote = customers.where("store <> 'local'").select("brand_id", F.col("c_name").alias("name"), "source")
+    local = customers.where("store <> 'remote'").select("brand_id", F.upper("c_name").alias("name"))
     return brand_store.merge_sources([(remote, "Remote"), (local, "Local")]).select("brand_id", "name", "origin")
 
 
+CHANGE = "CASE c_custkey % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'changed' ELSE 'stored' END"
+
+
 @query(
     "catalog_upsert",
-    V.sql_text("""WITH u AS (SELECT c_custkey AS id, upper(c_name) AS name FROM customer WHERE c_custkey % 4 = 0), c AS (SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 6 <> 0)
-SELECT CAST(id AS VARCHAR) AS brand_id, name FROM u WHERE id % 10 <> 0 UNION ALL SELECT CAST(id AS VARCHAR), name FROM c WHERE id NOT IN (SELECT id FROM u) AND id % 10 <> 0"""),
+    V.sql_text(f"""WITH c AS (SELECT *, {CHANGE} AS state FROM customer)
+SELECT CAST(c_custkey AS VARCHAR) AS brand_id, CASE WHEN state = 'stored' THEN c_name ELSE upper(c_name) END AS name, state <> 'stored' AS stamped FROM c WHERE c_custkey % 10 <> 0"""),
 )
 def catalog_upsert(spark, sf):
-    customers = V.table(spark, sf, "customer").withColumn("brand_id", F.col("c_custkey").cast("string"))
-    current = customers.where("c_custkey % 6 <> 0").select("brand_id", F.col("c_name").alias("name"))
-    updates = customers.where("c_custkey % 4 = 0").select("brand_id", F.upper("c_name").alias("name"))
-    gone = customers.where("c_custkey % 10 = 0").select("brand_id")
+    """Every customer is a stored brand, a stored one that changes, or a new one; a tenth is deleted afterwards."""
+    customers = V.table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("brand_id"), "c_name", F.expr(CHANGE).alias("state"))
+    current = customers.where("state <> 'new'").select("brand_id", F.col("c_name").alias("name"))
+    updates = customers.where("state <> 'stored'").select("brand_id", F.upper("c_name").alias("name"))
     merged = brand_store.upsert_brands(current, updates, "2024-01-01 00:00:00")
-    return brand_store.delete_brands(merged, gone).select("brand_id", "name")
+    left = brand_store.delete_brands(merged, customers.where("c_custkey % 10 = 0").select("brand_id"))
+    return left.select("brand_id", "name", F.col("updated_at").isNotNull().alias("stamped"))
+
+
+DOCUMENT_SQL = V.sql_text(f"""{V.CATALOG_SQL}, docs AS (SELECT *, CAST(row_number() OVER (PARTITION BY brand_id ORDER BY pos) - 1 AS INTEGER) AS place FROM catalog)""")
+
+
+def brand_folder(spark, sf):
+    """One JSON document per brand, written line by line: no task or row holds a whole document."""
+    line = F.to_json(F.struct("model", F.col("main_category").alias("mainCategory"), "description", F.col("price").cast("string").alias("price")))
+    catalog, brands = V.catalog(spark, sf), V.brands(spark, sf)
+    first = catalog.groupBy("brand_id").agg(F.min("pos").alias("_first"))
+    lines = catalog.join(first, "brand_id").select(
+        "brand_id", F.lit(1).alias("part"), F.col("pos").cast("long").alias("pos"), F.concat(F.when(F.col("pos") > F.col("_first"), F.lit(",")).otherwise(F.lit("")), line).alias("text")
+    )
+    head = F.concat(F.lit('{"id": "'), "brand_id", F.lit('", "name": "'), "name", F.lit('", "budgetTier": "'), "tier", F.lit('", "products": ['))
+    ends = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"), head.alias("text")), F.struct(F.lit(2).alias("part"), F.lit(0).cast("long").alias("pos"), F.lit("]}").alias("text")))
+    every = lines.unionByName(brands.select("brand_id", F.explode(ends).alias("e")).select("brand_id", "e.*"))
+    path = step_path(spark, "brand-documents")
+    every.repartition("brand_id").sortWithinPartitions("brand_id", "part", "pos").select(F.col("brand_id").alias("_file"), "text").write.partitionBy("_file").text(path)
+    return path
+
+
+@query(
+    "brand_scan",
+    f"""WITH {DOCUMENT_SQL} SELECT brand_id, tier, place AS pos, model, main_category, description, CAST(price AS VARCHAR) AS price FROM docs
+UNION ALL SELECT 'none', 'mid', NULL, NULL, NULL, NULL, NULL""",
+)
+def brand_scan(spark, sf):
+    """Documents of all brands in one store; a second store has older ones of the same brands, a broken one, one without products and one without id."""
+    local = step_path(spark, "local-brands")
+    old = V.brands(spark, sf).select(F.col("brand_id").alias("_file"), F.concat(F.lit('{"id": "'), "brand_id", F.lit('", "products": [{"model": "old"}]}')).alias("text"))
+    more = spark.createDataFrame([("broken", '{"id": "b", "products": [{'), ("none", '{"id": "none", "budgetTier": "mid", "products": []}'), ("anonymous", '{"products": []}')], "_file string, text string")
+    old.unionByName(more).repartition("_file").write.partitionBy("_file").text(local)
+    found = documents.scan_brands(spark, [brand_folder(spark, sf), local], suffix=".txt")
+    return found.select("brand_id", "tier", "pos", "model", "main_category", "description", "price")
+
+
+@query("brand_scan_tier", f"WITH {DOCUMENT_SQL} SELECT brand_id, place AS pos, model FROM docs WHERE tier = 'high'")
+def brand_scan_tier(spark, sf):
+    """The tier is read from a document's header; documents of other tiers are not decoded."""
+    found = documents.scan_brands(spark, [brand_folder(spark, sf)], suffix=".txt")
+    return found.where("tier = 'high'").select("brand_id", "pos", "model")
+
+
+@query(
+    "catalog_write",
+    V.sql_text(f"""WITH {V.CATALOG_SQL} SELECT regexp_replace(lower(brand), '[^a-z0-9]', '_', 'g') AS brand_slug, tier AS tier_key, pos,
+  CASE WHEN tier = 'high' THEN upper(model) ELSE model END AS model FROM catalog"""),
+)
+def catalog_write(spark, sf):
+    """The whole catalog, then the high tier once more; only its partitions are replaced."""
+    path = step_path(spark, "catalog")
+    products = V.catalog(spark, sf).select("brand", "tier", "pos", "model")
+    brand_store.write_catalog(products, path)
+    brand_store.write_catalog(products.where("tier = 'high'").withColumn("model", F.upper("model")), path)
+    return spark.read.parquet(path).select(F.col("brand_slug").cast("string").alias("brand_slug"), "tier_key", "pos", "model")
+
+
+@query(
+    "cell_scan",
+    """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 5 WHEN 0 THEN l_returnflag || ' & ' || l_linestatus WHEN 1 THEN 'link ' || l_returnflag WHEN 2 THEN CAST(l_linenumber * 2 AS VARCHAR)
+  WHEN 3 THEN CASE WHEN l_linenumber = 1 THEN '' ELSE CAST(l_linenumber - 1 AS VARCHAR) END ELSE l_linestatus END AS text FROM lineitem""",
+)
+def cell_scan(spark, sf):
+    """Cells of all kinds: rich text, links, formulas, numbers (zero reads as blank) and plain text."""
+    kind = F.col("l_partkey") % 5
+    cells = V.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.when(kind == 0, F.array("l_returnflag", F.lit(" & "), "l_linestatus")).otherwise(F.array().cast("array<string>")).alias("rich"),
+        F.when(kind == 1, F.concat(F.lit("link "), "l_returnflag")).otherwise(F.lit("")).alias("link"),
+        F.when(kind == 2, (F.col("l_linenumber") * 2).cast("string")).alias("formula"),
+        F.when(kind == 3, (F.col("l_linenumber") - 1).cast("string")).otherwise(F.concat(F.lit("  "), "l_linestatus", F.lit(" "))).alias("value"),
+        (kind == 3).alias("numeric"),
+    )
+    return cells.select("l_orderkey", "l_linenumber", "l_partkey", sheets.cell_text("value", "rich", "link", "formula", "numeric").alias("text"))
 
 
 @query(
@@ -331,15 +415,8 @@ def catalog_upsert(spark, sf):
     f"WITH {V.CATALOG_SQL} SELECT brand_id, tier, CAST(row_number() OVER (PARTITION BY brand_id ORDER BY pos) - 1 AS INTEGER) AS pos, model, CAST(price AS DOUBLE) AS price FROM catalog",
 )
 def flatten_products(spark, sf):
-    # One document per brand, as the store keeps it, only to be flattened again.
-    documents = V.catalog(spark, sf).groupBy("brand_id", "tier").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("model", F.col("price").cast("string").alias("price")).alias("p")))), lambda x: x["p"])).alias("products")
-    )
-    docs = documents.select(
-        F.col("brand_id").alias("id"), F.col("brand_id").alias("name"), F.lit("").alias("logo"), F.lit("").alias("origin"), F.lit("").alias("source"),
-        F.lit("").alias("type"), F.lit("").alias("url"), F.col("tier").alias("budgetTier"), F.lit("2024-01-01").alias("createdAt"), "products",
-    )
-    return brand_store.flatten_products(brand_store.typed_brands(docs)).select("brand_id", "tier", "pos", "model", "price")
+    found = documents.scan_brands(spark, [brand_folder(spark, sf)], suffix=".txt")
+    return found.select("brand_id", "tier", "pos", "model", F.col("price").cast("double").alias("price"))
 
 
 @query(

@@ -4,62 +4,67 @@ from pyspark.sql import functions as F
 
 from billwright import rules
 from billwright.operators import layout
-from billwright.operators.settle import settle
+from billwright.operators.ordering import number_rows
+from billwright.operators.settle import settle, step_path
 from billwright.queries import views as V
 from billwright.queries.registry import query
 from billwright.streaming import jobs
 
-# Two words per line as separate items; the second stands a little lower. Every fifth line starts
-# with its number, the first line of every second page is a header.
-WORD = "CASE WHEN line_no = 0 AND doc_id % 2 = 0 THEN 'Item Description Qty' WHEN line_no % 5 = 1 THEN CAST(line_no AS STRING) || '.' ELSE split_part(str, ' ', 1) END"
+# Every word of every line is an item, and every third line sinks word by word into the lines below it; lines 2, 7, 12 …
+# come as one item. Numbers in the margin mark lines 1, 6, 11 …, and every second document has a header on each page.
+PER_LINE = 100_000
+WORD_ITEM = "named_struct('ord', CAST(line_no AS BIGINT) * {n} + 2 + i, 'str', w, 'x', 60 + 40 * i, 'y', line_no * 20 + CASE WHEN line_no % 3 = 2 THEN i * 3 % 60 ELSE i % 2 * 4 END)".format(n=PER_LINE)
 
 
 def text_items(spark, sf):
     lines = V.lined_documents(spark, sf)
-    both = F.array(
-        F.struct((F.col("line_no") * 2).alias("ord"), F.expr(WORD).alias("str"), F.lit(60).alias("x"), (F.col("line_no") * 20).alias("y")),
-        F.struct((F.col("line_no") * 2 + 1).alias("ord"), F.expr("split_part(str, ' ', 2)").alias("str"), F.lit(200).alias("x"), (F.col("line_no") * 20 + 4).alias("y")),
-    )
-    return lines.select("doc_id", "page", F.explode(both).alias("t")).select("doc_id", "page", "t.*", F.lit(50).alias("w"), F.lit(12).alias("h"))
+    words = F.expr(f"CASE WHEN line_no % 5 = 2 THEN array(named_struct('ord', CAST(line_no AS BIGINT) * {PER_LINE} + 2, 'str', str, 'x', 60, 'y', line_no * 20)) "
+                   f"ELSE transform(split(str, ' '), (w, i) -> {WORD_ITEM}) END")
+    margin = F.expr(f"CASE WHEN line_no % 5 = 1 THEN array(named_struct('ord', CAST(line_no AS BIGINT) * {PER_LINE}, 'str', CAST(line_no AS STRING) || '.', 'x', 20, 'y', line_no * 20 + 2)) "
+                    f"WHEN line_no = 0 AND doc_id % 2 = 0 THEN array(named_struct('ord', CAST(0 AS BIGINT), 'str', 'Item Description Qty', 'x', 130, 'y', 1)) ELSE array() END")
+    return lines.select("doc_id", "page", F.explode(F.concat(margin, words)).alias("t")).select("doc_id", "page", "t.*", F.lit(50).alias("w"), F.lit(12).alias("h"))
 
 
-ITEMS_SQL = V.sql_text(f"""{V.DOC_LINES_SQL}, items AS (
-  SELECT doc_id, page, line_no * 2 AS ord, {WORD} AS str, 60 AS x, line_no * 20 AS y, 50 AS w, 12 AS h FROM doc_lines
-  UNION ALL SELECT doc_id, page, line_no * 2 + 1, split_part(str, ' ', 2), 200, line_no * 20 + 4, 50, 12 FROM doc_lines)""")
+ITEMS_SQL = f"""{V.DOC_LINES_SQL}, items AS (
+  SELECT doc_id, page, line_no::BIGINT * {PER_LINE} + 2 + i - 1 AS ord, ws[i] AS str, 60 + 40 * (i - 1) AS x, line_no * 20 + CASE WHEN line_no % 3 = 2 THEN (i - 1) * 3 % 60 ELSE (i - 1) % 2 * 4 END AS y, 50 AS w, 12 AS h
+  FROM (SELECT doc_id, page, line_no, string_split(str, ' ') AS ws FROM doc_lines WHERE line_no % 5 <> 2), LATERAL (SELECT unnest(range(1, len(ws) + 1)) AS i)
+  UNION ALL SELECT doc_id, page, line_no::BIGINT * {PER_LINE} + 2, str, 60, line_no * 20, 50, 12 FROM doc_lines WHERE line_no % 5 = 2
+  UNION ALL SELECT doc_id, page, line_no::BIGINT * {PER_LINE}, CAST(line_no AS VARCHAR) || '.', 20, line_no * 20 + 2, 50, 12 FROM doc_lines WHERE line_no % 5 = 1
+  UNION ALL SELECT doc_id, page, 0, 'Item Description Qty', 130, 1, 50, 12 FROM doc_lines WHERE line_no = 0 AND doc_id % 2 = 0)"""
 
 
 def page_images(spark, sf):
-    """Every fourth line carries a picture; some are icons."""
-    return V.lined_documents(spark, sf).where("line_no % 4 = 1").select(
-        "doc_id", "page", F.floor(F.col("line_no") / 4).cast("int").alias("ord"), F.lit(300).alias("x"), (F.col("line_no") * 20 + 3).alias("y"),
-        F.expr("CASE WHEN line_no % 12 = 1 THEN 18 ELSE 60 END").alias("w"), F.lit(40).alias("h"),
+    """Every third document has a picture on each line, the others on every fourth; some are icons."""
+    return V.lined_documents(spark, sf).where("doc_id % 3 = 0 OR line_no % 4 = 1").select(
+        "doc_id", "page", F.col("line_no").alias("ord"), F.lit(300).alias("x"), (F.col("line_no") * 20 + 3).alias("y"),
+        F.expr("CASE WHEN line_no % 12 = 1 AND doc_id % 3 <> 0 THEN 18 ELSE 60 END").alias("w"), F.lit(40).alias("h"),
         F.expr("'img-' || CAST(doc_id AS STRING) || '-' || CAST(page AS STRING) || '-' || CAST(line_no AS STRING)").alias("path"),
     )
 
 
-IMAGES_SQL = """images AS (SELECT doc_id, page, CAST(line_no // 4 AS INTEGER) AS ord, 300 AS x, line_no * 20 + 3 AS y, CASE WHEN line_no % 12 = 1 THEN 18 ELSE 60 END AS w, 40 AS h,
-  'img-' || CAST(doc_id AS VARCHAR) || '-' || CAST(page AS VARCHAR) || '-' || CAST(line_no AS VARCHAR) AS path FROM doc_lines WHERE line_no % 4 = 1)"""
+IMAGES_SQL = """images AS (SELECT doc_id, page, line_no AS ord, 300 AS x, line_no * 20 + 3 AS y, CASE WHEN line_no % 12 = 1 AND doc_id % 3 <> 0 THEN 18 ELSE 60 END AS w, 40 AS h,
+  'img-' || CAST(doc_id AS VARCHAR) || '-' || CAST(page AS VARCHAR) || '-' || CAST(line_no AS VARCHAR) AS path FROM doc_lines WHERE doc_id % 3 = 0 OR line_no % 4 = 1)"""
 
 
 def page_rows(spark, sf):
-    """Extracted rows: one per fifth line, numbered like it; some numbers are missing."""
-    return V.lined_documents(spark, sf).where("line_no % 5 = 1").select(
-        "doc_id", "page", F.floor(F.col("line_no") / 5).cast("int").alias("row_idx"),
-        F.expr("CASE WHEN line_no % 15 = 11 THEN '' ELSE CAST(line_no AS STRING) END").alias("sn"),
-        F.expr("split_part(str, ' ', 2)").alias("description"), F.expr("line_no % 2 = 0").alias("has_image"),
+    """Every line is an extracted row, numbered like it; every fifth number is missing."""
+    return V.lined_documents(spark, sf).select(
+        "doc_id", "page", F.col("line_no").alias("row_idx"), F.expr("CASE WHEN line_no % 5 = 2 THEN '' ELSE CAST(line_no AS STRING) END").alias("sn"),
+        F.col("str").alias("description"), F.expr("line_no % 2 = 0").alias("has_image"),
     )
 
 
-ROWS_SQL = """page_rows AS (SELECT doc_id, page, CAST(line_no // 5 AS INTEGER) AS row_idx, CASE WHEN line_no % 15 = 11 THEN '' ELSE CAST(line_no AS VARCHAR) END AS sn, split_part(str, ' ', 2) AS description,
-  line_no % 2 = 0 AS has_image, line_no FROM doc_lines WHERE line_no % 5 = 1)"""
+ROWS_SQL = """page_rows AS (SELECT doc_id, page, line_no AS row_idx, CASE WHEN line_no % 5 = 2 THEN '' ELSE CAST(line_no AS VARCHAR) END AS sn, str AS description, line_no % 2 = 0 AS has_image FROM doc_lines)"""
 
+# The fold in order over the first items of every distinct y; a start keeps [y, ord] of its first item.
+CLUSTERS_SQL = f"""{ITEMS_SQL}, tops AS (SELECT doc_id, page, y, min(ord) AS f FROM items GROUP BY ALL),
+starts AS (SELECT doc_id, page, list_reduce(list_concat([[]::BIGINT[][]], list([[y, f]] ORDER BY f)),
+  lambda a, b: CASE WHEN len(list_filter(a, lambda s: abs(s[1] - b[1][1]) <= 10)) > 0 THEN a ELSE list_concat(a, b) END) AS s FROM tops GROUP BY ALL),
+c AS (SELECT i.*, (list_min(list_transform(list_filter(s, lambda v: abs(v[1] - y) <= 10 AND v[2] <= ord), lambda v: v[1]))) AS line FROM items i JOIN starts USING (doc_id, page)),
+clusters AS (SELECT doc_id, page, CAST(line AS INTEGER) AS y, trim(string_agg(str, ' ' ORDER BY x, ord), ' ') AS text FROM c GROUP BY doc_id, page, line HAVING trim(string_agg(str, ' ' ORDER BY x, ord), ' ') <> '')"""
 
-@query(
-    "line_clusters",
-    f"""WITH {ITEMS_SQL}, g AS (SELECT *, y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y, ord) AS gap FROM items),
-c AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page ORDER BY y, ord) AS line FROM g)
-SELECT doc_id, page, min(y) AS y, trim(string_agg(str, ' ' ORDER BY x, ord)) AS text FROM c GROUP BY doc_id, page, line HAVING trim(string_agg(str, ' ' ORDER BY x, ord)) <> ''""",
-)
+
+@query("line_clusters", f"WITH {CLUSTERS_SQL} SELECT doc_id, page, y, text FROM clusters")
 def line_clusters(spark, sf):
     return layout.text_lines(text_items(spark, sf)).select("doc_id", "page", "y", "text")
 
@@ -88,8 +93,7 @@ def header_by_item(spark, sf):
 
 @query(
     "header_by_line",
-    f"""WITH {ITEMS_SQL}, l AS (SELECT doc_id, page, y // 20 * 20 AS y, string_agg(str, ' ' ORDER BY x, ord) AS text FROM items GROUP BY doc_id, page, y // 20 * 20)
-SELECT doc_id, page, coalesce(min(CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in rules.PAGE_LINE_WORDS)} THEN y END), 9999) AS header_y FROM l WHERE trim(text) <> '' GROUP BY doc_id, page""",
+    f"""WITH {CLUSTERS_SQL} SELECT doc_id, page, coalesce(min(CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in rules.PAGE_LINE_WORDS)} THEN y END), 9999) AS header_y FROM clusters GROUP BY doc_id, page""",
 )
 def header_by_line(spark, sf):
     return layout.header_by_line(layout.text_lines(text_items(spark, sf)))
@@ -109,14 +113,12 @@ starts AS (SELECT i.doc_id, i.page, coalesce((SELECT min(top) FROM anchors a WHE
 
 
 def _images(spark, sf):
-    items = text_items(spark, sf)
-    starts = layout.table_start(items, layout.serial_anchors(items), layout.header_by_item(items))
-    return layout.product_images(page_images(spark, sf), starts, "start_y")
+    return layout.product_images(page_images(spark, sf), layout.page_starts(text_items(spark, sf)), "start_y")
 
 
 @query(
     "image_filter",
-    f"WITH {START_SQL}, {IMAGES_SQL} SELECT i.doc_id, i.page, i.ord, i.path FROM images i JOIN starts s USING (doc_id, page) WHERE w >= 30 AND h >= 30 AND (start_y = -1 OR y >= start_y - 10)",
+    f"WITH {START_SQL}, {IMAGES_SQL} SELECT doc_id, page, ord, path FROM images JOIN starts USING (doc_id, page) WHERE w >= 30 AND h >= 30 AND (start_y = -1 OR y >= start_y - 10)",
 )
 def image_filter(spark, sf):
     return _images(spark, sf).select("doc_id", "page", "ord", "path")
@@ -132,12 +134,33 @@ def image_pairs_rank(spark, sf):
     return layout.pair_by_rank(page_rows(spark, sf), page_images(spark, sf))
 
 
-@query("image_pairs")
+SQUEEZE = "lower(regexp_replace(coalesce({}, ''), '[^A-Za-z0-9]', '', 'g'))"
+ROW_ANCHORS_SQL = f"""{ROWS_SQL}, keyed AS (SELECT doc_id, page, ord, y, {SQUEEZE.format('str')} AS k FROM items WHERE {SQUEEZE.format('str')} <> ''),
+stems AS (SELECT *, substr({SQUEEZE.format("substr(description, 1, 20)")}, 1, 10) AS stem FROM page_rows),
+by_sn AS (SELECT r.doc_id, r.page, row_idx, arg_min(y, ord) AS y FROM stems r JOIN keyed k ON k.doc_id = r.doc_id AND k.page = r.page AND k.k = r.sn GROUP BY ALL),
+by_text AS (SELECT r.doc_id, r.page, row_idx, arg_min(y, ord) AS y FROM stems r JOIN keyed k ON k.doc_id = r.doc_id AND k.page = r.page AND contains(k.k, stem) WHERE length(stem) > 3 GROUP BY ALL),
+anchored AS (SELECT r.*, coalesce(s.y, t.y) AS anchor_y FROM page_rows r LEFT JOIN by_sn s USING (doc_id, page, row_idx) LEFT JOIN by_text t USING (doc_id, page, row_idx))"""
+
+
+@query(
+    "image_pairs",
+    f"""WITH RECURSIVE {START_SQL}, {IMAGES_SQL}, {ROW_ANCHORS_SQL},
+shown AS (SELECT doc_id, page, list({{'y': y, 'x': x, 'ord': ord, 'mid': y + h / 2, 'path': path}} ORDER BY y, x, ord) AS im FROM images JOIN starts USING (doc_id, page)
+  WHERE w >= 30 AND h >= 30 AND (start_y = -1 OR y >= start_y - 10) GROUP BY doc_id, page),
+todo AS (SELECT doc_id, page, im, list({{'row_idx': row_idx, 'a': anchor_y}} ORDER BY row_idx) AS rw FROM shown JOIN anchored USING (doc_id, page) GROUP BY ALL),
+fold(doc_id, page, im, rw, k, used, pick) AS (
+  SELECT doc_id, page, im, rw, 0, []::BIGINT[], -1::BIGINT FROM todo
+  UNION ALL
+  SELECT doc_id, page, im, rw, k + 1, CASE WHEN p >= 0 THEN list_append(used, p) ELSE used END, p FROM (
+    SELECT *, CASE WHEN len(im) = len(rw) THEN k WHEN best[1] < 300 THEN CAST(best[2] AS BIGINT) WHEN k < len(im) AND NOT list_contains(used, k) THEN k ELSE -1 END AS p FROM (
+      SELECT *, list_min(list_transform(list_filter(range(0, len(im)), lambda n: NOT list_contains(used, n)),
+        lambda n: [CASE WHEN rw[k + 1].a IS NULL THEN CAST(abs(n - k) * 200 AS DOUBLE) ELSE abs(im[n + 1].mid - rw[k + 1].a) END, CAST(n AS DOUBLE)])) AS best FROM fold WHERE k < len(rw))))
+SELECT doc_id, page, rw[k].row_idx AS row_idx, im[pick + 1].ord AS image_ord, im[pick + 1].path AS path FROM fold WHERE k > 0 AND pick >= 0""",
+)
 def image_pairs(spark, sf):
-    items, images = settle(text_items(spark, sf), "items"), settle(page_images(spark, sf), "images")
-    starts = layout.table_start(items, layout.serial_anchors(items), layout.header_by_item(items))
-    shown = settle(layout.product_images(images, starts, "start_y"), "shown")
-    return layout.pair_images(settle(page_rows(spark, sf), "rows"), items, shown)
+    items, rows = settle(text_items(spark, sf), "items"), settle(page_rows(spark, sf), "rows")
+    shown = layout.product_images(page_images(spark, sf), layout.page_starts(items), "start_y")
+    return layout.pair_images(rows, items, shown)
 
 
 @query(
@@ -154,30 +177,38 @@ def image_nearest(spark, sf):
 @query(
     "image_cursor",
     f"""WITH {V.DOC_LINES_SQL}, {IMAGES_SQL}, {ROWS_SQL}, s AS (SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord) AS k FROM images),
-w AS (SELECT doc_id, page * 100 + row_idx AS idx, row_number() OVER (PARTITION BY doc_id ORDER BY page * 100 + row_idx) AS k FROM page_rows WHERE has_image AND line_no % 3 <> 0)
+w AS (SELECT doc_id, page * 100 + row_idx AS idx, row_number() OVER (PARTITION BY doc_id ORDER BY page * 100 + row_idx) AS k FROM page_rows WHERE has_image AND row_idx % 3 <> 0)
 SELECT w.doc_id, w.idx AS row_idx, CAST(w.k AS BIGINT) AS cursor, s.path FROM w JOIN s USING (doc_id, k)""",
 )
 def image_cursor(spark, sf):
-    rows = page_rows(spark, sf).select("doc_id", (F.col("page") * 100 + F.col("row_idx")).alias("row_idx"), "has_image", (F.col("row_idx") * 5 + 1).alias("line_no"))
-    matched = rows.where("line_no % 3 = 0")
-    from billwright.operators.ordering import number_rows
-
-    block = F.floor(F.col("page") / 1000)
-    images = number_rows(page_images(spark, sf), ["doc_id"], ["page", "ord"], "seq", block)
+    rows = settle(page_rows(spark, sf).select("doc_id", (F.col("page") * 100 + F.col("row_idx")).alias("row_idx"), "has_image", (F.col("row_idx") % 3).alias("third")), "rows")
+    matched = rows.where("third = 0")
+    images = number_rows(page_images(spark, sf), ["doc_id"], ["page", "ord"], "seq", F.floor(F.col("page") / 1000))
     return layout.image_cursor(rows, images, matched, F.floor(F.col("row_idx") / 100000)).select("doc_id", "row_idx", "cursor", "path")
 
 
+@query(
+    "image_by_line",
+    f"""WITH {CLUSTERS_SQL}, {IMAGES_SQL}, {ROWS_SQL}, keyed AS (SELECT doc_id, page, line, {SQUEEZE.format('str')} AS k FROM c WHERE {SQUEEZE.format('str')} <> ''),
+lined AS (SELECT doc_id, page, row_idx, max(line) AS line_y FROM page_rows JOIN keyed USING (doc_id, page) WHERE sn <> '' AND starts_with(sn, k) GROUP BY ALL),
+near AS (SELECT l.doc_id, l.page, row_idx, min(i.ord) AS near_ord FROM lined l JOIN images i ON i.doc_id = l.doc_id AND i.page = l.page AND abs(i.y - line_y) < 40 GROUP BY ALL)
+SELECT r.doc_id, r.page, r.row_idx, coalesce(near_ord, a.ord, b.ord) AS image_ord FROM page_rows r LEFT JOIN near USING (doc_id, page, row_idx)
+LEFT JOIN images a ON a.doc_id = r.doc_id AND a.page = r.page AND a.ord = r.row_idx // 2 LEFT JOIN images b ON b.doc_id = r.doc_id AND b.page = r.page AND b.ord = r.row_idx""",
+)
+def image_by_line(spark, sf):
+    rows = page_rows(spark, sf).withColumn("image_ref", F.expr("row_idx div 2").cast("int"))
+    return layout.image_by_line(rows, layout.text_lines(text_items(spark, sf)), page_images(spark, sf))
+
+
 @query(
     "crop_bands",
-    f"""WITH {ITEMS_SQL}, {ROWS_SQL}, keyed AS (SELECT doc_id, page, ord, y, lower(regexp_replace(str, '[^A-Za-z0-9]', '', 'g')) AS k FROM items),
-a AS (SELECT r.*, (SELECT arg_min(y, ord) FROM keyed k WHERE k.doc_id = r.doc_id AND k.page = r.page AND k.k = r.sn AND r.sn <> '') AS sn_y FROM page_rows r),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY row_idx) - 1 AS i, lead(sn_y) OVER (PARTITION BY doc_id, page ORDER BY row_idx) AS nx FROM a)
-SELECT doc_id, page, row_idx, CAST(coalesce(sn_y, 400 + i * 160) AS DOUBLE) AS top, CAST(CASE WHEN nx > coalesce(sn_y, 400 + i * 160) THEN least(300, nx - coalesce(sn_y, 400 + i * 160) + 30) ELSE 160 END AS DOUBLE) AS height FROM o""",
+    f"""WITH {ITEMS_SQL}, {ROW_ANCHORS_SQL},
+o AS (SELECT a.*, s.y AS sn_y, row_number() OVER (PARTITION BY a.doc_id, a.page ORDER BY a.row_idx) - 1 AS i, lead(s.y) OVER (PARTITION BY a.doc_id, a.page ORDER BY a.row_idx) AS nx
+  FROM anchored a LEFT JOIN by_sn s USING (doc_id, page, row_idx))
+SELECT doc_id, page, row_idx, CAST(coalesce(anchor_y, 400 + i * 160) AS DOUBLE) AS top, CAST(CASE WHEN nx > coalesce(anchor_y, 400 + i * 160) THEN least(300, nx - coalesce(anchor_y, 400 + i * 160) + 30) ELSE 160 END AS DOUBLE) AS height FROM o""",
 )
 def crop_bands(spark, sf):
-    rows = page_rows(spark, sf).withColumn("description", F.lit(""))
-    anchored = layout.row_anchors(rows, text_items(spark, sf)).withColumn("sn_y", F.col("anchor_y"))
-    return layout.crop_bands(anchored)
+    return layout.crop_bands(layout.row_anchors(page_rows(spark, sf), text_items(spark, sf)))
 
 
 # ------------------------------------------------------------------ events
@@ -224,3 +255,45 @@ def task_latest(spark, sf):
         F.lit("").alias("stage"), F.col("ts").cast("timestamp").alias("ts"), "event_id",
     )
     return jobs.latest_tasks(events).select("task_id", "status", "progress", _stamp("ts"))
+
+
+def _stream(spark, sf):
+    """The events as a stream of one micro-batch per start. A stream reads folders or patterns, and the table may be one file."""
+    return spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parque[t]")
+
+
+def _drained(spark, stream, name):
+    """All that a stream gives until its input ends, from its Parquet sink."""
+    path = step_path(spark, name)
+    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", step_path(spark, "checkpoint")).outputMode("append")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query(
+    "session_expiry_stream",
+    f"""WITH {SESSIONS_SQL}, e AS (SELECT session_id, n, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events FROM s GROUP BY ALL
+  HAVING max(ts) + INTERVAL 2 HOURS <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 2 HOURS FROM events))
+SELECT DISTINCT session_id, {_stamp_sql('first_ts')} AS first_ts, {_stamp_sql('last_ts')} AS last_ts, CAST(events AS BIGINT) AS events, kind, ref FROM e JOIN s USING (session_id, n)""",
+)
+def session_expiry_stream(spark, sf):
+    """Sessions that the stream has expired by its end, with their files and blobs from the state."""
+    found = _drained(spark, jobs.expiring_sessions(V.activity_of(_stream(spark, sf))), "expired")
+    return found.where("not late").select("session_id", _stamp("first_ts"), _stamp("last_ts"), "events", "kind", "ref")
+
+
+DISCOVERY = {"brand": "CASE WHEN event_id % 2 = 0 THEN ' ' || upper(event_type) ELSE event_type END", "tier": "CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN '' ELSE 'MID' END", "model": "'Model ' || CAST(user_id % 40 AS STRING)"}
+
+
+@query(
+    "first_discoveries_stream",
+    V.sql_text(f"""WITH d AS (SELECT {', '.join(f"{x} AS {c}" for c, x in DISCOVERY.items())}, 1000003 * event_id % 999983 AS seq, event_id, ts FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY lower(trim(brand)), CASE WHEN tier = '' THEN 'mid' ELSE lower(tier) END, model ORDER BY seq, ts) AS rn FROM d)
+SELECT brand, tier, model, CAST(seq AS BIGINT) AS seq, event_id FROM r WHERE rn = 1 AND ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"""),
+)
+def first_discoveries_stream(spark, sf):
+    """Of all discoveries of a product the one with the least arrival number, as far as the watermark has come."""
+    found = _stream(spark, sf).select(
+        *[F.expr(x).alias(c) for c, x in DISCOVERY.items()], F.expr("1000003 * event_id % 999983").alias("seq"), "event_id", F.col("ts").cast("timestamp").alias("ts")
+    )
+    return _drained(spark, jobs.first_discoveries(found), "discovered").select("brand", "tier", "model", "seq", "event_id")

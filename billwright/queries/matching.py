@@ -108,13 +108,22 @@ def brand_resolution(spark, sf):
 
 @query(
     "candidate_context",
-    f"""WITH {V.CATALOG_SQL}, m AS (SELECT brand_id, model, pos, row_number() OVER (PARTITION BY brand_id ORDER BY pos) AS rn FROM catalog)
-SELECT c.brand_id, (SELECT string_agg(s, '|' ORDER BY s) FROM (SELECT DISTINCT sub_category AS s FROM catalog x WHERE x.brand_id = c.brand_id AND sub_category <> '')) AS subs,
-  (SELECT string_agg(model, '|' ORDER BY pos) FROM m WHERE m.brand_id = c.brand_id) AS models FROM (SELECT DISTINCT brand_id FROM catalog) c""",
+    f"""WITH {V.CATALOG_SQL} SELECT brand_id, 'model' AS kind, CAST(pos AS BIGINT) AS pos, model AS text FROM catalog
+UNION ALL SELECT DISTINCT brand_id, 'sub_category', NULL, sub_category FROM catalog WHERE trim(sub_category) <> ''""",
 )
 def candidate_context(spark, sf):
-    found = matching.candidate_context(V.catalog(spark, sf))
-    return found.select("brand_id", F.array_join("known_sub_categories", "|").alias("subs"), F.array_join("models", "|").alias("models"))
+    return matching.candidate_context(V.catalog(spark, sf))
+
+
+@query(
+    "candidate_context_500",
+    f"""WITH {V.CATALOG_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY brand_id ORDER BY pos) AS rn FROM catalog)
+SELECT brand_id, 'model' AS kind, CAST(pos AS BIGINT) AS pos, model AS text FROM r WHERE rn <= 500
+UNION ALL SELECT DISTINCT brand_id, 'sub_category', NULL, sub_category FROM catalog WHERE trim(sub_category) <> ''""",
+)
+def candidate_context_500(spark, sf):
+    """The first 500 models of each brand, as many as a prompt takes."""
+    return matching.candidate_context(V.catalog(spark, sf), rules.CONTEXT_MODELS)
 
 
 def _flow(spark, sf):
@@ -320,7 +329,7 @@ def _card(spark, sf):
     parts = V.table(spark, sf, "part").select(
         F.expr(V.FURNISH).alias("description"), "p_brand", "p_type", F.col("p_partkey").alias("pos"), F.expr(V.TIER).alias("tier"),
         F.col("p_retailprice").cast("decimal(18,4)").alias("price"),
-    ).where("tier <> 'high' and p_type <> 'SMALL'")
+    ).where("tier <> 'high'")
     return parts.groupBy("tier", F.expr("concat(description, ' by ', p_brand)").alias("description"), F.expr(GROUP_OF).alias("sub_category")).agg(
         F.min("pos").alias("pos"), F.min("price").alias("price")
     ).select(
@@ -341,10 +350,16 @@ def _groups_sql(x):
 
 CARD_SQL = V.sql_text(f"""card AS (SELECT tier, description || ' by ' || p_brand AS description, {GROUP_OF} AS sub_category, min(p_partkey) AS pos, min(price) AS price
   FROM (SELECT {V.FURNISH} AS description, p_brand, p_partkey, {V.TIER} AS tier, CAST(p_retailprice AS DECIMAL(18,4)) AS price, p_type FROM part)
-  WHERE tier <> 'high' AND p_type <> 'SMALL' GROUP BY tier, description || ' by ' || p_brand, {GROUP_OF})""")
+  WHERE tier <> 'high' GROUP BY tier, description || ' by ' || p_brand, {GROUP_OF})""")
 FITLINE = ("fit_text", "CASE p_partkey % 5 WHEN 0 THEN upper(" + V.FURNISH + ") || ' by ' || p_brand WHEN 1 THEN 'Floor finish (carpet)' WHEN 2 THEN 'toughened glass ' || p_type WHEN 3 THEN 'survey works' ELSE " + V.FURNISH + " END")
 
 
+def _fit_lines(spark, sf, blank="false"):
+    """The fit-out lines of every tier; some may have no text."""
+    text = F.when(F.expr(blank), F.lit(" ")).otherwise(V.on_parts(FITLINE[1]))
+    return V.parts(spark, sf).select(text.alias("description"), F.explode(F.array(*[F.lit(t) for t in rules.TIERS])).alias("tier"))
+
+
 @query(
     "rate_card_match",
     V.sql_text(f"""WITH {CARD_SQL}, lines AS (SELECT DISTINCT {FITLINE[1]} AS description, x.tier FROM part, (VALUES ('budgetary'), ('mid'), ('high')) x(tier)),
@@ -355,19 +370,37 @@ s AS (SELECT l.description, l.tier, i.pos, i.description AS item, i.price,
    CASE WHEN list_contains(g, i.sub_category) THEN 2 ELSE 0 END + len(list_filter(m, lambda x: list_contains(im, x))) AS score, len(m) AS nm FROM l JOIN i ON i.tier = l.ct),
 r AS (SELECT *, row_number() OVER (PARTITION BY description, tier ORDER BY CASE WHEN same THEN 0 ELSE 1 END, CASE WHEN same THEN 0 ELSE -score END, pos) AS rn FROM s WHERE same OR score > 0)
 SELECT l.tier, l.description, CASE WHEN r.pos IS NULL THEN 'no_match' ELSE 'success' END AS status, coalesce(r.pos, -1) AS match_pos, coalesce(r.item, '') AS match_description,
-  coalesce(CAST(r.price AS DOUBLE), -1) AS match_price, coalesce(CASE WHEN same THEN 1.0 ELSE round(CAST(score AS DOUBLE) / (2.0 + greatest(nm, 1)), 6) END, -1) AS match_score
+  coalesce(CAST(r.price AS DOUBLE), -1) AS match_price, coalesce(CASE WHEN same THEN 1.0 ELSE round(CAST(score AS DOUBLE) / (2.0 + greatest(nm, 1)), 6) END, -1) AS match_score,
+  CASE WHEN r.pos IS NULL THEN '' ELSE 'Fit-out' END AS match_brand, CASE WHEN r.pos IS NULL THEN '' ELSE 'FO-' || CAST(r.pos AS VARCHAR) END AS identified_model
 FROM l LEFT JOIN r ON r.description = l.description AND r.tier = l.tier AND rn = 1"""),
 )
 def rate_card_match(spark, sf):
-    lines = V.parts(spark, sf).select(V.on_parts(FITLINE[1]).alias("description"), F.explode(F.array(*[F.lit(t) for t in rules.TIERS])).alias("tier"))
-    found = rate_cards.match_batch(lines.distinct(), _card(spark, sf))
+    found = rate_cards.match_batch(_fit_lines(spark, sf).distinct(), _card(spark, sf))
     return found.select(
         "tier", "description", "status", F.coalesce("match_pos", F.lit(-1)).alias("match_pos"),
         F.coalesce("match_description", F.lit("")).alias("match_description"),
         F.coalesce(F.col("match_price").cast("double"), F.lit(-1.0)).alias("match_price"), F.coalesce("match_score", F.lit(-1.0)).alias("match_score"),
+        F.coalesce("match_brand", F.lit("")).alias("match_brand"), F.coalesce("identified_model", F.lit("")).alias("identified_model"),
     )
 
 
+@query(
+    "fitout_outcome",
+    V.sql_text(f"""WITH {CARD_SQL}, lines AS (SELECT {FITLINE[1]} AS description, x.tier, p_partkey % 13 = 0 AS blank FROM part, (VALUES ('budgetary'), ('mid'), ('high')) x(tier)),
+d AS (SELECT description, tier, blank, count(*) AS n FROM lines GROUP BY ALL),
+l AS (SELECT *, CASE WHEN tier = 'high' THEN 'mid' ELSE tier END AS ct, {_groups_sql('description')} AS g, {_parts_sql('description')} AS m FROM d),
+i AS (SELECT *, {_parts_sql("description || ' ' || sub_category")} AS im FROM card),
+ok AS (SELECT DISTINCT l.description, l.tier FROM l JOIN i ON i.tier = l.ct WHERE {V.key_sql('l.description')} = {V.key_sql('i.description')} OR list_contains(g, i.sub_category) OR list_has_any(m, im))
+SELECT l.tier, CAST(sum(CASE WHEN NOT blank AND ok.tier IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS success, CAST(sum(CASE WHEN blank OR ok.tier IS NULL THEN n ELSE 0 END) AS BIGINT) AS error,
+  CAST(sum(CASE WHEN blank THEN n ELSE 0 END) AS BIGINT) AS plain_error FROM l LEFT JOIN ok ON ok.tier = l.tier AND ok.description = l.description GROUP BY l.tier"""),
+)
+def fitout_outcome(spark, sf):
+    """Every line of every tier; a line without a match is an error in this flow, only one without a text in the others."""
+    found = rate_cards.match_batch(_fit_lines(spark, sf, "p_partkey % 13 = 0"), _card(spark, sf))
+    strict, plain = (hardening.outcome_counts(found, no_match_is_error=rule) for rule in (True, False))
+    return strict.select("tier", "success", "error").join(plain.select("tier", F.col("error").alias("plain_error")), "tier")
+
+
 def _attributes_sql(x):
     """Attributes of a text: size, rank, feature tags, naming words."""
     pattern = "(?i)([0-9]{2,4})\\s*[x*]\\s*([0-9]{2,4})"
@@ -377,7 +410,7 @@ def _attributes_sql(x):
       CAST(CASE WHEN {d} > {w} AND {d} * {scale} > 500 THEN {w} * {scale} ELSE {d} * {scale} END AS VARCHAR)"""
     rank = f"CASE {' '.join(f"WHEN regexp_matches({x}, '(?i){p}') THEN {r}" for r, p in rules.RANKS)} END"
     tags = ", ".join(f"CASE WHEN regexp_matches({x}, '(?i){p}') THEN '{t}' END" for _, t, p in rules.FEATURES)
-    words = "[" + ", ".join(f"'{w}'" for w in attributes.naming_words()) + "]"
+    words = "ws"
     return f"""CASE WHEN regexp_matches({x}, '{pattern}') THEN {size} END AS size, {rank} AS rank, list_filter([{tags}], lambda t: t IS NOT NULL) AS tags,
       list_filter(list_distinct(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' ')), lambda w: list_contains({words}, w)) AS words"""
 
@@ -393,12 +426,14 @@ _SHARED = "list_filter(l.words, lambda w: list_contains(p.words, w))"
 
 @query(
     "attribute_match",
-    V.sql_text(f"""WITH texts AS (SELECT DISTINCT upper({V.DESCRIPTION}) AS t FROM part),
+    V.sql_text(f"""WITH vocabulary AS (SELECT list_filter(list_distinct(regexp_extract_all(regexp_replace(p, '\\\\b|\\(\\?!.*?\\)', ' ', 'g'), '[a-z]+')), lambda w: length(w) > 2) AS ws
+  FROM (SELECT '{' '.join(p for _, _, p in rules.TAXONOMY)}' AS p)),
+texts AS (SELECT DISTINCT upper({V.DESCRIPTION}) AS t FROM part),
 l AS (SELECT t, {_attributes_sql('t')}, list_distinct(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{m}' END" for m, _, p in _RULES)}], lambda g: g IS NOT NULL)) AS mains,
-  list_distinct(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{s}' END" for _, s, p in _RULES)}], lambda g: g IS NOT NULL)) AS subs FROM texts),
+  list_distinct(list_filter([{', '.join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{s}' END" for _, s, p in _RULES)}], lambda g: g IS NOT NULL)) AS subs FROM texts, vocabulary),
 items AS (SELECT p_partkey, {V.FURNISH} || ' ' || {V.DESCRIPTION} AS t, {V.DESCRIPTION} AS d FROM part),
 p AS (SELECT p_partkey, {_attributes_sql('t')}, CASE {' '.join(f"WHEN regexp_matches(d, '(?i){p}') THEN '{m}'" for m, _, p in _RULES)} END AS main,
-  CASE {' '.join(f"WHEN regexp_matches(d, '(?i){p}') THEN '{s}'" for _, s, p in _RULES)} END AS sub FROM items),
+  CASE {' '.join(f"WHEN regexp_matches(d, '(?i){p}') THEN '{s}'" for _, s, p in _RULES)} END AS sub FROM items, vocabulary),
 s AS (SELECT l.t, p.p_partkey, round(1.0::DOUBLE + CASE WHEN list_contains(l.subs, p.sub) THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN l.size = p.size THEN 2.0::DOUBLE ELSE 0 END
    + CASE WHEN len(l.words) > 0 THEN {_worth(_SHARED)} * 4.0::DOUBLE / {_worth('l.words')} ELSE 0 END
    + greatest(coalesce(abs(l.rank - p.rank), 0) - 1, 0) * -0.1::DOUBLE + len(list_filter(l.tags, lambda x: list_contains(p.tags, x))) * 0.25::DOUBLE, 6) AS score

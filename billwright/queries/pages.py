@@ -79,7 +79,7 @@ def page_brand_info(spark, sf):
 SELECT page_id, link, label FROM m WHERE rn = 1""",
 )
 def hierarchy_links(spark, sf):
-    return harvest.hierarchy_links(harvest.links(_elements(spark, sf))).select("page_id", "link", "label")
+    return harvest.hierarchy_links(harvest.links(_elements(spark, sf)), rules.LABEL_LENGTH).select("page_id", "link", "label")
 
 
 # ------------------------------------------------------------------ shop pages from parts
@@ -130,7 +130,7 @@ PARTS_SQL = V.sql_text(f"shop AS (SELECT *, p_partkey // {PER_PAGE} AS page_id,
 SELECT page_id, s AS selector, CAST(n AS BIGINT) AS elements, round(t * 30 + 40 + t * 30, 6) AS score FROM f, (VALUES ('.product'), ('li.product')) v(s) WHERE n >= 2 AND t * 60 + 40 > 50""",
 )
 def container_scores(spark, sf):
-    return harvest.container_scores(shop_elements(spark, sf)).select("page_id", "selector", "elements", "score")
+    return harvest.container_scores(page_elements(shop_pages(spark, sf))).select("page_id", "selector", "elements", "score")
 
 
 CARDS_SQL = V.sql_text(f"""{PARTS_SQL}, big AS (SELECT page_id FROM sites GROUP BY page_id HAVING count(*) >= 2),
@@ -140,7 +140,7 @@ cards AS (SELECT page_id, p_partkey, title, site || {CARD_IMAGE} AS image_url, s
 
 @query("page_cards", f"WITH {CARDS_SQL} SELECT page_id, title AS model, image_url, product_url FROM cards WHERE rn = 1")
 def page_cards(spark, sf):
-    return harvest.page_cards(shop_elements(spark, sf)).select("page_id", "model", "image_url", "product_url")
+    return harvest.page_cards(page_elements(shop_pages(spark, sf)), title_length=rules.CARD_TITLE_LENGTH).select("page_id", "model", "image_url", "product_url")
 
 
 @query(
@@ -150,7 +150,7 @@ def page_cards(spark, sf):
 SELECT page_id, title AS model, image_url, product_url FROM b WHERE rn = 1"""),
 )
 def page_blocks(spark, sf):
-    return harvest.page_blocks(shop_elements(spark, sf)).select("page_id", "model", "image_url", "product_url")
+    return harvest.page_blocks(page_elements(shop_pages(spark, sf)), title_least=rules.BLOCK_TITLE_LEAST).select("page_id", "model", "image_url", "product_url")
 
 
 @query(
@@ -260,7 +260,7 @@ def detail_enrichment(spark, sf):
         F.col("p_partkey").alias("product_id"), F.col("fname").alias("model"), F.col("fname").alias("description"),
         F.expr("'https://shop.example.com/p/item-' || CAST(p_partkey AS STRING)").alias("product_url"),
     )
-    return harvest.enrich_descriptions(products, texts, pages).select("product_id", "description", "enriched", "failed")
+    return harvest.enrich_descriptions(products, texts, pages, rules.TEXT_LENGTH, rules.META_LENGTH).select("product_id", "description", "enriched", "failed")
 
 
 @query(

@@ -91,7 +91,7 @@ def boq(spark, sf, *extra):
 
 def numbered_boq(spark, sf, *extra):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    block = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 1024).alias("b"))
+    block = F.floor(F.col("l_linenumber") / 65536)
     return number_rows(boq(spark, sf, *extra), ["doc_id"], order, "sn", block)
 
 
@@ -217,7 +217,7 @@ def cells(spark, sf):
     body = ", ".join(entry("10 + sn", i + 1, c) for i, c in enumerate(_columns()))
     rows = rows.withColumn("sheet_id", F.expr(_SHEET))
     items = rows.select("doc_id", "sheet_id", F.explode(F.expr(f"array({body})")).alias("c"))
-    sheets = rows.groupBy("doc_id", "sheet_id").agg(F.sum("amount").alias("total"))
+    sheets = boq(spark, sf).groupBy("doc_id", F.expr(_SHEET).alias("sheet_id")).agg(F.sum("amount").alias("total"))
     fixed = [entry(1, 1, "'Schedule of works'")]
     fixed += [entry(3, c + 1, _header(c)) for c in range(7)]
     fixed += [entry(4, c, "''") for c in (1, 2, 3)]
@@ -334,7 +334,11 @@ def number_sql(x):
 # ------------------------------------------------------------------ events
 def activity(spark, sf):
     """Session activity: each event touches a file or a blob."""
-    return table(spark, sf, "events").select(
+    return activity_of(table(spark, sf, "events"))
+
+
+def activity_of(events):
+    return events.select(
         F.col("user_id").cast("string").alias("session_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         "event_id",

@@ -479,6 +479,19 @@ LOGO_SRC_SCORES = [
 ]
 LOGO_BRAND_IN_ALT = 20
 
+# Lengths (least, most) of card titles, link labels, descriptions and meta descriptions; least length of block titles;
+# pages with fewer cards than this are read block by block; extracted headers are shorter than this.
+CARD_TITLE_LENGTH = (3, 199)
+LABEL_LENGTH = (3, 49)
+TEXT_LENGTH = (16, 799)
+META_LENGTH = (16, 499)
+BLOCK_TITLE_LEAST = 3
+FEW_CARDS = 5
+HEADER_TEXT_LENGTH = 80
+
+# Models of a brand that an identification step is told.
+CONTEXT_MODELS = 500
+
 # Link caps per page.
 LINK_CAPS = {"product": 50, "category": 20, "pagination": 5}
 

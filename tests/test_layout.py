@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from billwright.operators import layout, plan_items
 
 
@@ -9,6 +13,32 @@ def test_text_lines_join_first_cluster(spark):
     assert got == [(100, "a b"), (117, "c"), (300, "d")]
 
 
+def folded(items, reach=10):
+    """Lines by the literal rule: every item in order joins the lowest line near enough, or starts one."""
+    lines = {}
+    for order, y, x, text in items:
+        near = [line for line in lines if abs(line - y) <= reach]
+        lines.setdefault(min(near) if near else y, []).append((x, order, text))
+    return sorted((y, " ".join(t for *_, t in sorted(ws)).strip()) for y, ws in lines.items())
+
+
+def test_text_lines_that_drift(spark):
+    r = random.Random(5)
+    pages = [[(i, i * r.randrange(1, 4) % 400, r.randrange(300), f"w{i}") for i in range(300)], [(i, r.randrange(120), i, f"w{i}") for i in range(200)], [(i, -i, 0, "x") for i in range(90)]]
+    rows = [("d", p, i, t, x, float(y), 1, 1) for p, items in enumerate(pages) for i, y, x, t in items]
+    items = spark.createDataFrame(rows, "doc_id string, page int, ord int, str string, x int, y double, w int, h int").repartition(7)
+    got = layout.text_lines(items).collect()
+    for p, page in enumerate(pages):
+        assert sorted((l["y"], l["text"]) for l in got if l["page"] == p) == folded(page)
+
+
+def test_long_page_of_lines(spark):
+    """A page of 100,000 items: the fold runs over its distinct heights."""
+    items = spark.range(100_000).selectExpr("'d' doc_id", "1 page", "id ord", "concat('w', id) str", "id x", "(id * 7919) % 900 y")
+    lines = layout.text_lines(items).select("y", F.size("words").alias("n")).collect()
+    assert sum(r["n"] for r in lines) == 100_000 and 40 <= len(lines) <= 82
+
+
 def test_images_are_claimed_once(spark):
     images = spark.createDataFrame(
         [("d", 1, 0, 300, 100, 60, 40, "i0"), ("d", 1, 1, 300, 220, 60, 40, "i1")],
@@ -50,7 +80,5 @@ def test_edits(spark):
         [("d", 1, "edit", "qty", "5", 1), ("d", 1, "edit", "qty", "3", 2), ("d", 2, "remove", None, None, 3), ("d", 3, "insert", None, None, 4)],
         "doc_id string, sn int, action string, field string, value string, seq int",
     )
-    from pyspark.sql import functions as F
-
     got = plan_items.apply_edits(rows, edits, F.floor(F.col("sn") / 65536)).orderBy("sn").collect()
     assert [(r["sn"], r["description"], r["amount"]) for r in got] == [(1, "r1", "30.00"), (2, "r3", "20.00"), (3, "", "")]

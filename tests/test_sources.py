@@ -3,7 +3,8 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from billwright.sources import brands, catalogs
+from billwright.operators.bloom import bloom_filter, may_hold
+from billwright.sources import brands, catalogs, documents, pages
 from billwright.sources.pages import page_elements
 from billwright.sources.responses import parse_responses
 from billwright.operators import harvest
@@ -31,6 +32,77 @@ def test_brand_documents(spark):
     assert float(flat[0]["price"]) == 12.5
 
 
+def test_documents_as_products(spark):
+    """A document is walked product by product, whatever its layout and the size of the pieces read."""
+    big = {"name": "B", "products": [{"model": f"M{i}", "price": i, "description": "é" * 40} for i in range(4000)], "budgetTier": "high", "id": "7"}
+    first = folder({"a.json": json.dumps(big, indent=2), "b.json": '{"id": "8", "products": [{"model": "x"}', "c.json": '{"id": "9", "products": "none"}', "d.json": "[1]", "e.json": ""})
+    second = folder({"x.json": json.dumps({"id": "7", "products": [{"model": "old"}]}), "y.json": '{"id":"10","budgetTier":"mid","products":[{"model":"one"},5]}', "z.txt": "{}"})
+    rows = documents.scan_brands(spark, [first, second], partitionBytes="1")
+    got = {(r["brand_id"], r["pos"]): (r["tier"], r["model"], r["price"]) for r in rows.collect()}
+    assert len(got) == 4000 + 3 and got["7", 3999] == ("high", "M3999", "3999") and got["9", None] == (None, None, None)
+    assert got["10", 0] == ("mid", "one", None) and got["10", 1] == ("mid", None, None)
+    high = rows.where("tier = 'high'")
+    assert high.count() == 4000 and rows.where("tier = 'none'").count() == 0
+
+
+def test_header_filter_skips_documents():
+    path = folder({"a.json": '{"id": "1", "budgetTier": "high", "products": [{"model": "m"}]}', "b.json": '{"id": "2", "budgetTier": "mid", "products": [{"model": "m"}]}'})
+    reader = documents.BrandReader({"path": path})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    other = GreaterThan(("pos",), 0)
+    assert other in list(reader.pushFilters([EqualTo(("tier",), "high"), other]))
+    assert [row[2] for part in reader.partitions() for row in reader.read(part)] == ["1"]
+
+
+def test_pages_are_read_in_pieces():
+    html = "<html><title>T &amp; é</title><body><script>if (a < b) { x('</div>') }</script><div class='content'> a <p>one<p>two <b>deep</b> &lt;x&gt;" + "".join(
+        f"<ul><li>item {i}<li><a href='/{i}'>link&nbsp;{i}</a></ul>" for i in range(300)
+    ) + "</div></body>"
+    whole = sorted((e for part in pages._read(html, 1 << 30) for e in part), key=lambda e: e.node)
+    seen = lambda es: [(e.node, e.last, e.parent, e.tag, e.attrs, e.ancestors, e.flags, "".join(e.parts) if e.parts is not None else None, e.size) for e in es]
+    for piece in (1, 7, 100):
+        assert seen(sorted((e for part in pages._read(html, piece) for e in part), key=lambda e: e.node)) == seen(whole)
+    for e in whole:
+        assert e.last == max([x.node for x in whole if e.node in x.ancestors], default=e.node)
+        if e.parts is not None:
+            assert e.size == len("".join(e.parts).strip())
+
+
+def test_long_page_in_bounded_frames():
+    """A page of 40 MB leaves in frames; only one frame and the open elements are held."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    body = "".join(f'<div class="card"><h2>Chair {i}</h2><img src="/{i}.jpg"><a href="/p/{i}">more about it</a></div>' for i in range(1000))
+    html = "<html><body>" + body * 400 + "</body></html>"
+    batch = pa.RecordBatch.from_pydict({"page_id": [1, 2], "url": ["u", "v"], "html": [html, "<p>x"]})
+    tracemalloc.start()
+    rows = largest = 0
+    for frame in pages._parse_batches([batch]):
+        rows, largest = rows + frame.num_rows, max(largest, frame.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 400 * 4000 + 2 + 1 and largest <= pages.FRAME_ROWS and peak < len(html) + 40e6
+
+
+def test_frontier_is_exact(spark):
+    found = spark.createDataFrame([(f"https://x/{i % 700}",) for i in range(2000)] + [(None,)], "link string")
+    visited = spark.createDataFrame([(f"https://x/{i}",) for i in range(350, 3000)] + [(None,)], "url string")
+    got = [r["link"] for r in harvest.frontier(found, visited).collect()]
+    assert sorted(got, key=str) == sorted([f"https://x/{i}" for i in range(350)] + [None], key=str)
+    assert harvest.frontier(found, visited.limit(0)).count() == 701
+
+
+def test_bloom_filter_passes_few_others(spark):
+    keys = spark.range(5000).select(F.col("id").cast("string").alias("key"))
+    tested = may_hold(spark.range(20000).select(F.col("id").cast("string").alias("key")), bloom_filter(keys))
+    held = tested.groupBy((F.col("key").cast("int") < 5000).alias("in")).agg(F.sum(F.col("_maybe").cast("int")).alias("n")).collect()
+    counts = {r["in"]: r["n"] for r in held}
+    assert counts[True] == 5000 and counts[False] < 600
+
+
 def test_hierarchy(spark):
     kind = "brand_id string, brand string, tier string, categories array<struct<name:string,subCategories:array<struct<name:string,families:array<struct<name:string,products:array<struct<model:string,price:string>>>>>>>>"
     df = spark.createDataFrame([("1", "B", "mid", [("Seating", [("Chairs", [("F", [("M1", "3"), ("M2", "4")])])])])], kind)

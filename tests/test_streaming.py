@@ -1,5 +1,7 @@
+import random
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from billwright.streaming import jobs
@@ -42,6 +44,79 @@ def test_session_stream_equals_batch(spark):
     assert sorted(map(tuple, refs)) == [("blob", "b"), ("file", "a")]
 
 
+def in_files(spark, rows, schema, per_file):
+    """A folder whose files a stream reads one by one, in this order."""
+    path = tempfile.mkdtemp(prefix="spark-") + "/in"
+    for i in range(0, len(rows), per_file):
+        spark.createDataFrame(rows[i : i + per_file], schema).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def one_by_one(spark, path, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_rows(spark, frame, name):
+    run(frame.writeStream.format("memory").queryName(name).outputMode("append"))
+    return spark.table(name).collect()
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "23"])
+def test_eager_expiry_equals_batch(spark, partitions):
+    r, rows = random.Random(3), []
+    for i in range(400):
+        minute = i * 5 + r.randrange(-40, 40)  # out of order by less than the delay
+        rows.append((f"s{r.randrange(5)}" if r.random() < 0.9 else None, f"2024-01-01 00:00:00.{r.randrange(1000):03d}", i, r.choice(["file", "blob"]), r.choice([None, "a", "b", "c"]), minute))
+    df = spark.createDataFrame(rows, "session_id string, t string, event_id long, kind string, ref string, m int").select(
+        "session_id", (F.col("t").cast("timestamp") + F.make_interval(mins="m")).alias("ts"), "event_id", "kind", "ref"
+    )
+    end = [("end", "2024-02-01 00:00:00", 9, "file", "z")]
+    parts = [*(tuple(x) for x in df.orderBy("event_id").collect())]
+    path = in_files(spark, parts, SCHEMA, 90)
+    spark.createDataFrame(end, "session_id string, t string, event_id long, kind string, ref string").select("session_id", F.col("t").cast("timestamp").alias("ts"), "event_id", "kind", "ref").coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = stream_rows(spark, jobs.expiring_sessions(one_by_one(spark, path, SCHEMA), 1200), f"expiring{partitions}")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    got = sorted(((x["session_id"], x["first_ts"], x["last_ts"], x["expires_at"], x["events"], x["kind"], x["ref"]) for x in found if not x["late"]), key=str)
+    both = jobs.expired_sessions(df, 1200).alias("s").join(jobs.expired_refs(df, 1200).alias("r"), F.expr("s.session_id <=> r.session_id and s.session_no = r.session_no"))
+    want = sorted(map(tuple, both.select("s.session_id", "first_ts", "last_ts", "expires_at", "events", "r.kind", "r.ref").collect()), key=str)
+    assert got == want and len({x[:2] for x in got}) > 20
+
+
+def test_late_rows_come_out_on_their_own(spark):
+    rows = [("a", "2024-01-01 00:00:00"), ("b", "2024-01-02 00:00:00"), ("a", "2024-01-01 00:30:00"), ("c", "2024-01-01 05:00:00"), ("d", "2024-01-03 00:00:00")]
+    frame = spark.createDataFrame([(s, t, i, "file", "x") for i, (s, t) in enumerate(rows)], "session_id string, t string, event_id long, kind string, ref string").select("session_id", F.col("t").cast("timestamp").alias("ts"), "event_id", "kind", "ref")
+    path = in_files(spark, [tuple(x) for x in frame.orderBy("event_id").collect()], SCHEMA, 1)
+    found = stream_rows(spark, jobs.expiring_sessions(one_by_one(spark, path, SCHEMA)), "late")
+    assert sorted((x["session_id"], x["events"], x["late"]) for x in found) == [("a", 1, False), ("a", 1, True), ("b", 1, False), ("c", 1, True)]
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "23"])
+def test_first_discovery_by_arrival_number(spark, partitions):
+    """The least number wins although its row comes in a later micro-batch; repeats of released products stay away."""
+    schema = "brand string, tier string, model string, seq int, price double, ts timestamp"
+    rows = [("Arper", "high", f"M{i % 7}", 100 - i, float(i), f"2024-01-01 00:{i:02d}:00") for i in range(40)]
+    rows += [("Arper", "", "M0", 1, -1.0, "2024-01-01 00:45:00"), ("arper ", "MID", "m0", 2, -2.0, "2024-01-01 00:45:00"), ("z", "high", "end", 9, 0.0, "2024-01-02 00:00:00")]
+    rows += [("z", "high", "end", 10, 0.0, "2024-01-02 00:05:00")] * 24  # batches between the release and the repeat
+    rows += [("Arper", "high", "M1", 0, -3.0, "2024-01-02 00:10:00"), ("z", "high", "last", 9, 0.0, "2024-01-02 10:00:00")]
+    frame = spark.createDataFrame([(*x[:5], i, x[5]) for i, x in enumerate(rows)], "brand string, tier string, model string, seq int, price double, i int, t string")
+    typed = frame.orderBy("i").select("brand", "tier", "model", "seq", "price", F.col("t").cast("timestamp").alias("ts")).collect()
+    path = in_files(spark, [tuple(x) for x in typed], schema, 11)
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = stream_rows(spark, jobs.first_discoveries(one_by_one(spark, path, schema)), f"first{partitions}")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    best = {}
+    for b, t, m, seq, price, _ in rows[:-2]:
+        k = (b.strip().lower(), t.lower() or "mid", m.strip().lower())
+        best[k] = min(best.get(k, (seq, price)), (seq, price))
+    assert {(x["brand"].strip().lower(), x["tier"].lower() or "mid", x["model"].lower()): (x["seq"], x["price"]) for x in found} == best
+    assert len(found) == len(best)
+
+
 def test_latest_task_batch_and_stream(spark):
     rows = [("t", "2024-01-01 00:00:00", "pending", 0), ("t", "2024-01-01 00:00:05", "cancelled", 10), ("t", "2024-01-01 00:00:09", "processing", 20)]
     df = spark.createDataFrame(rows, "task_id string, t string, status string, progress int").select(
@@ -53,7 +128,16 @@ def test_latest_task_batch_and_stream(spark):
     assert [r["status"] for r in spark.table("tasks").collect()] == ["processing"]
 
 
-def test_continuous_hardening(spark):
+@pytest.mark.parametrize("partitions", ["1", "4", "211"])
+def test_continuous_hardening(spark, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        check_continuous_hardening(spark)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def check_continuous_hardening(spark):
     catalog = tempfile.mkdtemp(prefix="spark-") + "/catalog"
     spark.createDataFrame([("Arper", "high", "Sky", 1.0, -1)], "brand string, tier string, model string, price double, batch_id long").write.partitionBy("tier", "batch_id").parquet(catalog)
     found = spark.createDataFrame(
