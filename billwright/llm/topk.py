@@ -10,7 +10,8 @@ above its bound. Queries pass through a shard in batches, so neither side is hel
 Scores are inner products of whole numbers, ties go to the smaller id. Defined cases: a vector
 that is null or holds a null or a non-finite component, or has no id, takes no part; vectors of
 different lengths are not compared; rows that repeat an id are candidates each, but never for a
-query with that id; queries that repeat an id are answered once; empty tables give no rows.
+query with that id; of several rows with a query's id the shortest vector, then the least, asks; empty vectors score 0 with
+each other; empty tables give no rows.
 """
 
 import numpy as np
@@ -118,7 +119,7 @@ def whole_vectors(embeddings, id_col="vec_id", vector_col="embedding", scale=64)
 
 
 def _matrix(column, dim):
-    return np.asarray(column.flatten(), dtype=np.int64).reshape(-1, dim)
+    return np.asarray(column.flatten(), dtype=np.int64).reshape(len(column), dim)
 
 
 def shards(vectors, shard_rows=SHARD_ROWS, pivots=PIVOTS):
@@ -196,7 +197,8 @@ def top_k(embeddings, every=20, k=20, id_col="vec_id", vector_col="embedding", s
     placed, spans = shards(whole_vectors(embeddings, id_col, vector_col, scale), shard_rows)
     total = sum(n for _, _, n in spans)
     placed = settle(placed, "shards")
-    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"])
+    asking = placed.where(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = asking.groupBy("vec_id").agg(F.min(F.struct("dim", "v", "shard")).alias("q")).select("q.shard", "q.dim", "vec_id", "q.v")
     data = placed.select("shard", F.lit(0).alias("kind"), "dim", "vec_id", "v", F.lit(None).cast("double").alias("bound"))
     home = queries.select("shard", F.lit(1).alias("kind"), "dim", "vec_id", "v", F.lit(None).cast("double").alias("bound"))
     n = max(1, min(total, 4096))
