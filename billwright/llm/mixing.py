@@ -11,10 +11,10 @@ documents; a document's rate is a fold over the rounds' short history of steps,
 table is rewritten. Steps are scaled by the inverse of the domains' second moments, which makes
 the first step exact where no rate is cut off at zero.
 
-Domains and the vocabulary are bounded parameters; training uses a bounded sample of labelled
-rows. Defined cases: null and empty texts have no tokens, the prior as posterior, and rate one;
+The vocabulary is a bounded parameter; training uses a bounded sample of labelled rows, and every domain in
+it is a domain. Defined cases: null and empty texts have no tokens, the prior as posterior, and rate one;
 repeated rows are documents each; an empty labelled table gives one domain named "unknown";
-a target for a domain that no document can serve is missed, and the others are met.
+a target for a domain that no document can serve is missed, and the others are met; a target that names no labelled domain is an error.
 """
 
 import math
@@ -25,7 +25,6 @@ from billwright.llm.arrow import packed, unpacked
 
 #: Labelled rows that train the classifier at most, and the number of words it looks at.
 SAMPLE, WORDS = 5_000, 200
-DOMAINS = 64
 ROUNDS = 40
 TOLERANCE = 1e-6
 
@@ -40,17 +39,17 @@ def classifier(docs, labelled, id_col="doc_id", text_col="text", domain_col="dom
     chosen = marked.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
     rows = rows.select("_id", "_domain", F.array_distinct(_words("_text")).alias("_w"))
-    sizes = rows.groupBy("_domain").count().orderBy(F.desc("count"), "_domain").limit(DOMAINS).collect()
+    sizes = rows.groupBy("_domain").count().orderBy(F.desc("count"), "_domain").collect()  # at most one row per sampled label
     if not sizes:
         return {"domains": ["unknown"], "prior": [0.0], "words": {}}
     names, total = [r["_domain"] for r in sizes], sum(r["count"] for r in sizes)
+    place = {name: i for i, name in enumerate(names)}
     seen = rows.select("_domain", F.explode("_w").alias("w")).where("w <> ''")
     frequent = seen.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
     counts = seen.join(F.broadcast(frequent.select("w")), "w").groupBy("w", "_domain").count().collect()
     table = {}
     for r in counts:
-        if r["_domain"] in names:
-            table.setdefault(r["w"], [0] * len(names))[names.index(r["_domain"])] = r["count"]
+        table.setdefault(r["w"], [0] * len(names))[place[r["_domain"]]] = r["count"]
     smooth = lambda k, n: math.log((k + 0.5) / (n + 1))
     return {
         "domains": names, "prior": [math.log(r["count"] / total) for r in sizes],
@@ -156,6 +155,8 @@ def with_rates(members, domains, there, steps):
 def _fitted(docs, labelled, targets, settle, id_col, text_col, domain_col, options):
     model = classifier(docs, labelled, id_col, text_col, domain_col)
     names = model["domains"]
+    if unknown := sorted(set(targets or {}) - set(names)):
+        raise ValueError(f"targets name domains without labelled documents: {unknown}")
     members = settle(memberships(docs, model, id_col, text_col), "members")
     there, steps = fit_rates(members, targets or {d: 1 / len(names) for d in names}, names, **options)
     return model, members, there, steps
