@@ -19,6 +19,8 @@ from billwright.functions.tagging import categories_of, features_of, seniority,
 # per step of rank distance beyond the first, per shared feature tag.
 WEIGHTS = {"sub": 3.0, "main": 1.0, "size": 2.0, "words": 4.0, "rank": -0.1, "tags": 0.25}
 LEAST = 2.0
+#: Hooks of a line that one round looks up.
+AT_ONCE = 3
 
 
 def naming_words(taxonomy=rules.TAXONOMY):
@@ -85,7 +87,7 @@ def _hooks(w):
 
 
 def _by_threshold(shapes, frames, w, least):
-    """Best frame per shape, whatever the sizes: the hooks of a shape are looked up one after the other, the heaviest first.
+    """Best frame per shape, whatever the sizes: the hooks of a shape are looked up a few at a time, the heaviest first.
 
     A frame that shares none of the hooks seen so far scores at most the main category and the hooks to come, so a shape is done
     once that bound falls below its best, or below ``least``. A line has as many hooks as it has words and tags of the
@@ -116,10 +118,10 @@ def _by_threshold(shapes, frames, w, least):
         open_shapes = state.where("going").drop("going")
         if open_shapes.isEmpty():
             return found.groupBy("_s").agg(F.min("best").alias("best"))
-        asked = open_shapes.withColumn("hook", F.get("hooks", F.col("k"))["hook"])
+        asked = open_shapes.withColumn("hook", F.explode(F.transform(F.slice("hooks", F.col("k") + 1, F.lit(AT_ONCE)), lambda h: h["hook"])))
         hit = _best(asked.drop("best").join(postings, ["main", "hook"]), ["_s", "main"], w, sized=False).withColumnRenamed("best", "hit")
         better = F.least("best", "hit")  # least() passes over nulls
-        state = open_shapes.join(hit, ["_s", "main"], "left").withColumns({"best": better, "k": F.col("k") + 1}).drop("hit")
+        state = open_shapes.join(hit, ["_s", "main"], "left").withColumns({"best": better, "k": F.col("k") + AT_ONCE}).drop("hit")
 
 
 def match_by_attributes(lines, products, taxonomy=rules.TAXONOMY, weights=None, least=LEAST):

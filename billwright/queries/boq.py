@@ -194,6 +194,22 @@ def boq_pivot(spark, sf):
     return sheets.boq_rows(table, roles).select("doc_id", "sn", "description", "qty", "unit", "rate", "amount")
 
 
+VE_COND = V.ROLE_COND | {"description": ["regexp_matches(title, '(?i)description|desc|disc|item|product')"]}
+
+
+@query(
+    "ve_boq_rows",
+    f"""WITH {V.STITCH_SQL}, {V.roles_sql(VE_COND)}, {V.role_values_sql(['description', 'qty', 'unit', 'rate', 'amount'])}
+SELECT doc_id, row_idx AS sn, trim(description) AS description, trim(qty) AS qty, trim(unit) AS unit, trim(rate) AS rate, trim(amount) AS amount FROM vals WHERE row_idx % 5 <> 4""",
+)
+def ve_boq_rows(spark, sf):
+    """The value-engineering variant: more names for descriptions, trimmed cells, no rows marked as headers or summaries."""
+    header, table = structure(V.cells(spark, sf))
+    marked = table.withColumns({"is_header": F.col("row_idx") % 5 == 4, "is_summary": F.lit(None).cast("boolean")})
+    rows = sheets.boq_rows(marked, sheets.column_roles(header, rules.VALUE_ENGINEERING_ROLES), trim=True, drop_special=True)
+    return rows.select("doc_id", "sn", "description", "qty", "unit", "rate", "amount")
+
+
 @query(
     "extracted_summary",
     f"""WITH {V.STITCH_SQL}, {V.roles_sql(V.VIEWER_COND)}, {V.role_values_sql(['qty', 'rate', 'unit', 'amount'])}, s AS (

@@ -6,7 +6,7 @@ from billwright import rules
 from billwright.functions.text import title_words
 from billwright.operators import harvest
 from billwright.operators.settle import settle
-from billwright.plans.harvest import harvest_pages
+from billwright.plans.harvest import harvest_pages, harvest_sites
 from billwright.queries import views as V
 from billwright.queries.registry import query
 from billwright.sources.pages import page_elements, read_pages
@@ -221,17 +221,16 @@ def harvest_all(spark, sf):
 
 
 # ------------------------------------------------------------------ product pages from parts
-def product_pages(spark, sf):
-    """One detail page per part."""
-    parts = V.parts(spark, sf)
-    html = F.expr(
-        """'<html><head>' || CASE WHEN p_partkey % 3 = 0 THEN '<meta name="description" content="' || fname || ' with a longer text that goes on for more than fifty characters">' ELSE '<meta name="description" content="short">' END
+DETAIL = """'<html><head>' || CASE WHEN p_partkey % 3 = 0 THEN '<meta name="description" content="' || fname || ' with a longer text that goes on for more than fifty characters">' ELSE '<meta name="description" content="short">' END
         || '</head><body><h1>' || fname || '</h1>' || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '<img src="/x/logo.png"><img src="/product/' || CAST(p_partkey AS STRING) || '.jpg">' END
         || CASE p_partkey % 4 WHEN 0 THEN '<div class="product-description">Made for ' || fname || ' rooms,\n  built to last</div>'
            WHEN 1 THEN '<div class="description"><ul><li>first of ' || fname || '</li><li>second point</li></ul></div>'
            WHEN 2 THEN '<article><p>Lead of ' || fname || ' that is told here</p><p>more</p></article>' ELSE '<p>nothing</p>' END || '</body></html>'"""
-    )
-    return parts.select(F.col("p_partkey").alias("page_id"), F.expr("'https://shop.example.com/p/item-' || CAST(p_partkey AS STRING)").alias("url"), html.alias("html"))
+
+
+def product_pages(spark, sf):
+    """One detail page per part."""
+    return V.parts(spark, sf).select(F.col("p_partkey").alias("page_id"), F.expr("'https://shop.example.com/p/item-' || CAST(p_partkey AS STRING)").alias("url"), F.expr(DETAIL).alias("html"))
 
 
 PRODUCT_SQL = V.sql_text(f"""pp AS (SELECT p_partkey, {V.FURNISH} AS fname FROM part)""")
@@ -297,3 +296,49 @@ def response_rows(spark, sf):
 def response_rejects(spark, sf):
     responses = V.parts(spark, sf).select(F.col("p_partkey").alias("response_id"), F.expr(RESPONSE).alias("raw"))
     return parse_responses(responses)[1]
+
+
+# ------------------------------------------------------------------ whole harvest: shop pages and the detail pages they link to
+def site_pages(spark, sf):
+    details = V.parts(spark, sf).withColumn("page_id", F.floor(F.col("p_partkey") / PER_PAGE)).select(
+        (F.col("p_partkey") + 1_000_000_000).alias("page_id"), F.expr(f"{SITE} || '/p/item-' || CAST(p_partkey AS STRING)").alias("url"), F.expr(DETAIL).alias("html")
+    )
+    return shop_pages(spark, sf).unionByName(details)
+
+
+HARVEST_SQL = V.sql_text(f"""{CARDS_SQL}, enough AS (SELECT page_id FROM cards WHERE rn = 1 GROUP BY page_id HAVING count(*) >= 5),
+blocks AS (SELECT *, row_number() OVER (PARTITION BY page_id, title ORDER BY p_partkey) AS rn, CASE p_partkey % 4 WHEN 2 THEN site || '/s.jpg' ELSE site || {CARD_IMAGE} END AS image_url
+  FROM sites WHERE p_partkey % 5 <> 0 AND p_partkey % 4 <> 3 AND page_id NOT IN (SELECT page_id FROM enough)),
+listed AS (SELECT page_id, p_partkey, title AS model, image_url, title AS own, 0 AS part FROM cards WHERE rn = 1
+  UNION ALL SELECT page_id, p_partkey, title, image_url, title, 0 FROM blocks WHERE rn = 1
+  UNION ALL SELECT page_id, p_partkey, fname, site || '/ld/' || CAST(p_partkey AS VARCHAR) || '.jpg', fname, 1 FROM sites WHERE page_id % 3 <> 0
+  UNION ALL SELECT page_id, p_partkey, fname || ' #' || CAST(p_partkey AS VARCHAR), site || '/product/' || CAST(p_partkey AS VARCHAR) || '.jpg', CASE WHEN p_partkey % 3 = 0 THEN {META} ELSE 'short' END, 2 FROM sites WHERE p_partkey % 7 <> 0),
+once AS (SELECT l.*, s.site, s.fname, row_number() OVER (PARTITION BY s.site, lower(l.model), l.image_url ORDER BY l.part, l.page_id, l.p_partkey) AS rn FROM listed l JOIN sites s USING (p_partkey)),
+told AS (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'Made for ' || fname || ' rooms, built to last' WHEN 1 THEN 'first of ' || fname || '. second point' WHEN 2 THEN 'Lead of ' || fname || ' that is told here'
+  ELSE CASE WHEN p_partkey % 3 = 0 AND part < 2 THEN {META} END END AS better FROM once WHERE rn = 1),
+named AS (SELECT site, 'Shop ' || CAST(min(page_id) AS VARCHAR) AS brand FROM sites GROUP BY site)""")
+
+
+@query(
+    "harvest_site_products",
+    f"""WITH {HARVEST_SQL} SELECT site AS harvest_id, brand, model, image_url, site || '/p/item-' || CAST(p_partkey AS VARCHAR) AS product_url, coalesce(better, own) AS description, better IS NOT NULL AS enriched
+FROM told JOIN named USING (site)""",
+)
+def harvest_site_products(spark, sf):
+    found = harvest_sites(settle(site_pages(spark, sf), "pages"), "2024-01-01 00:00:00")["products"]
+    return found.select("harvest_id", "brand", "model", "image_url", "product_url", "description", "enriched")
+
+
+@query(
+    "harvest_site_records",
+    f"""WITH {HARVEST_SQL}, n AS (SELECT site, count(*) AS n, count(better) AS e FROM told GROUP BY site)
+SELECT site AS harvest_id, lower(replace(brand, ' ', '-')) AS brand_id, brand AS name, site || '/brand-logo.png' AS logo, CASE WHEN site = 'https://shop1.example.com' THEN 'high' ELSE 'mid' END AS tier,
+  CAST(n AS BIGINT) AS product_count, CAST(n AS BIGINT) AS total_found, CAST(e AS BIGINT) AS enriched, CAST(0 AS BIGINT) AS failed_enrichment FROM n JOIN named USING (site)""",
+)
+def harvest_site_records(spark, sf):
+    """Brand record and summary of every site."""
+    tiers = spark.createDataFrame([("https://shop1.example.com", "high")], "harvest_id string, tier string")
+    parts = harvest_sites(settle(site_pages(spark, sf), "pages"), "2024-01-01 00:00:00", tiers)
+    names = parts["products"].select("harvest_id", F.col("brand").alias("name")).distinct()
+    records = parts["brands"].join(names, "name").join(parts["summary"], "harvest_id")
+    return records.select("harvest_id", "brand_id", "name", "logo", "tier", "product_count", "total_found", "enriched", "failed_enrichment")
