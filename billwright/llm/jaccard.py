@@ -14,9 +14,10 @@ Signatures travel as sorted byte strings, a few bytes each. A set whose shared s
 than e has no partner and leaves; of the others, the rarest signatures that must hold a common one
 make candidate groups, and only sets that share three quarters of their shingles with other candidates
 stay in them. Groups are settled by stars: every member is verified against one pivot
-on whole texts, components are formed, and only groups that still hold several components go on to the next pivot;
-what is left after the stars is compared pair by pair across components, unless the distances to a
-common pivot differ by more than a link allows (Jaccard distance is a metric). No link between
+on whole texts, components are formed, and only groups that still hold several components go on to the next pivot.
+The sets left after the stars get further signatures, their rarest shingles: of the shingles that occur in several
+components, two linked sets share one among those that remain of a quarter of each set, counted from the rarest, so a set whose quarter
+is its own alone is done, and only sets that meet in a rare shingle are compared. No link between
 components is lost, and a group of copies or near copies costs as many comparisons as it has members.
 
 Identical sets are one node (64-bit fingerprint) throughout. Defined cases: null and empty texts,
@@ -32,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from billwright.llm.arrow import packed, pieces, unpacked
 from billwright.llm.components import components
@@ -44,7 +46,12 @@ SMALL = 16
 RAW = 7
 #: Partitions of a band that begins at size b: PARTS * b; shared signatures asked for: SHARED * b.
 PARTS, SHARED = 1.1, 0.12
-STARS = 2
+#: Rounds of stars: at least, and at most as long as each leaves a quarter less to do.
+STARS, MOST_STARS = 2, 10
+#: Rows that a group of signatures or shingles holds on average, at most; text bytes that a task takes at once.
+GROUP_ROWS, TEXT_BYTES = 2_000_000, 4 << 20
+#: Characters of text in a block of compared sets, and pairs between two blocks, on average at most.
+BLOCK_CHARS, BLOCK_PAIRS = 4_000_000, 100_000
 #: Candidate documents up to this count are picked from the corpus by a broadcast list of ids; more by shuffle.
 BROADCAST_ROWS = 1_000_000
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -83,6 +90,11 @@ def node_of(keys):
     return int(mix(mix(keys ^ _C[1]).sum(keepdims=True) + np.uint64(len(keys))).view(np.int64)[0])
 
 
+@F.pandas_udf(LongType())
+def _fingerprint(texts: pd.Series) -> pd.Series:
+    return pd.Series([node_of(s) if len(s) else None for s in shingle_sets(texts)], dtype="Int64")
+
+
 def bands_of(n):
     """Bands in which a set of n shingles meets its possible partners; band 0 is for small sets."""
     own = 0 if n < SMALL else n.bit_length() - 1
@@ -150,7 +162,7 @@ def document_sets(docs, id_col="doc_id", text_col="text"):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("thin", pa.int64())])
 
     def count(batches):
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, size=TEXT_BYTES):
             sets = shingle_sets(batch.column(text_col).to_pylist())
             yield _tables(schema, [batch.column(id_col).to_pylist(), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [thin_bands(s) for s in sets]])
 
@@ -162,7 +174,7 @@ def _signature_blobs(docs, text_col, bits):
 
     def emit(batches):
         seen = set()
-        for batch in pieces(batches, text_col):
+        for batch in pieces(batches, text_col, size=TEXT_BYTES):
             nodes, sizes, owner, tags, keys = [], [], [], [], []
             for found in shingle_sets(batch.column(text_col).to_pylist()):
                 node = node_of(found) if len(found) else None
@@ -182,7 +194,7 @@ def _signature_blobs(docs, text_col, bits):
                 continue
             key, tag, owned = np.concatenate(keys), np.concatenate(tags), np.concatenate(owner)
             node, size = np.array(nodes, dtype=np.int64), np.array(sizes, dtype=np.int32)
-            part = (key >> np.uint64(64 - bits)).astype(np.uint16)
+            part = (key >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             key, tag, owned, part = (key << np.uint64(bits)) [order], tag[order], owned[order], part[order]
             edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
@@ -196,9 +208,14 @@ def _signature_blobs(docs, text_col, bits):
     return docs.select(text_col).mapInArrow(emit, "part int, nodes binary, sizes binary, counts binary, tags binary, keys binary")
 
 
-def shared_signatures(docs, text_col="text"):
-    """(node, n, tag, sig, g): the signatures that g >= 2 different sets hold."""
-    bits = min(16, math.ceil(math.log2(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+def _bits(rows, least, group_rows=GROUP_ROWS):
+    """Bits of a key that deal so many rows to at least so many groups of bounded size."""
+    return min(20, max(1, math.ceil(math.log2(max(least, rows / group_rows)))))
+
+
+def shared_signatures(docs, shingles, text_col="text"):
+    """(node, n, tag, sig, g): the signatures that g >= 2 different sets hold. ``shingles``: in all sets together."""
+    bits = _bits(shingles, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tag", pa.int8()), ("sig", pa.int64()), ("g", pa.int32())])
 
     def meet(table):
@@ -232,7 +249,7 @@ def thin_signatures(docs, bands, text_col="text"):
 
     def emitted(only_thin):
         def emit(batches):
-            for batch in pieces(batches, text_col):
+            for batch in pieces(batches, text_col, size=TEXT_BYTES):
                 for found in shingle_sets(batch.column(text_col).to_pylist()):
                     for band in set(bands_of(len(found))) & set(bands) if len(found) else ():
                         if only_thin and not thin_bands(found) >> band & 1:
@@ -268,7 +285,7 @@ def _texts_of(docs, sets, nodes, id_col, text_col):
     def key(batches):
         schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
         seen = set()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", size=TEXT_BYTES):
             texts = batch.column("text").to_pylist()
             rows = [(node_of(s), t) for s, t in zip(shingle_sets(texts), texts, strict=True) if len(s)]
             rows = [(k, t) for k, t in rows if not (k in seen or seen.add(k))]
@@ -279,17 +296,18 @@ def _texts_of(docs, sets, nodes, id_col, text_col):
     return settle(keyed.dropDuplicates(["node"]), "candidate-texts")
 
 
-def well_covered(texts, bits=6):
-    """(node, h): sets of which three quarters of the shingles, h of them, occur in other candidates too."""
+def well_covered(texts, shingles):
+    """(node, h): sets of which three quarters of the shingles, h of them, occur in other candidates too. ``shingles``: in all of them."""
+    bits = _bits(shingles, 64, 8 * GROUP_ROWS)  # a set has a row in every group it touches
     blob = pa.schema([("part", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
     hit = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("hits", pa.int32())])
 
     def emit(batches):
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", size=TEXT_BYTES):
             sets = shingle_sets(batch.column("text").to_pylist())
             node = np.array(batch.column("node").to_pylist(), dtype=np.int64)
             key, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-            part = (key >> np.uint64(64 - bits)).astype(np.uint16)
+            part = (key >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(part, kind="stable")
             part, owner, key = part[order], owner[order], key[order]
             edges = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
@@ -327,36 +345,70 @@ def distinct_groups(groups):
     return groups.join(kept.select("sig"), "sig")
 
 
-def compared(pairs, texts, numerator=75, denominator=100, spread=500):
+def rare_pairs(named, texts):
+    """(a, b) of different components that share one of their rarest shingles; named: (node, n, label).
+
+    A link takes three quarters of either set, so of a set's shingles in ascending order of frequency the first n - ceil(3n/4) + 1
+    hold one of the link's. Those that only one component has can't be it; what is left of that beginning is the signature. Where two sets
+    first meet, what follows in either must still suffice for a link: 3/7 of both sizes.
+    """
+    schema = pa.schema([("node", pa.int64()), ("key", pa.int64())])
+
+    def emit(batches):
+        for batch in pieces(batches, "text", size=TEXT_BYTES):
+            for node, keys in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True):
+                yield _tables(schema, [np.full(len(keys), node, dtype=np.int64), keys.view(np.int64)])
+
+    own = texts.join(named.select("node"), "node", "left_semi").mapInArrow(emit, "node long, key long")
+    keyed = settle(own.join(named, "node"), "keyed")
+    met = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("g")).where("_low < _high").select("key", "g")
+    per_set = Window.partitionBy("node")
+    ranked = keyed.join(met, "key").withColumns({"_hits": F.count(F.lit(1)).over(per_set), "_rank": F.row_number().over(per_set.orderBy("g", "key"))})
+    rare = ranked.where("_rank <= _hits - ceil(3 * n / 4) + 1").select("key", "node", "n", "label", (F.col("_hits") - F.col("_rank") + 1).alias("rest"))
+    rare = settle(rare, "rare")
+    other = rare.withColumnsRenamed({c: f"{c}_b" for c in ("node", "n", "label", "rest")})
+    both = rare.withColumnsRenamed({c: f"{c}_a" for c in ("node", "n", "label", "rest")}).join(other, "key")
+    fits = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) and 7 * least(rest_a, rest_b) >= 3 * (n_a + n_b)"
+    return both.where(f"node_a < node_b and label_a <> label_b and {fits}").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
+def compared(pairs, texts, numerator=75, denominator=100):
     """(a, b, near, d): Jaccard distance of the pairs on whole texts, and whether they link.
 
-    A pivot with many partners is spread over several tasks, one per ``spread`` partners."""
-    per_pivot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / spread).cast("int").alias("_shares"))
-    pairs = settle(pairs.join(per_pivot, "a").withColumn("salt", F.expr("pmod(hash(b), _shares)")).drop("_shares"), "pairs")
-    heads = pairs.select("a", "salt").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    members = pairs.join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", "text")
+    Nodes are dealt to blocks, and the pairs between two blocks are one group that gets each of its texts once: a node with
+    many partners travels once per block and not once per pair. A block holds about BLOCK_CHARS of text.
+    """
+    pairs = settle(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    size = texts.join(ends, "node", "left_semi").agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_CHARS), math.ceil(math.sqrt(2 * pairs.count() / BLOCK_PAIRS)))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).alias(f"block_{c}")
+    dealt = pairs.select("a", "b", block("a"), block("b"))
+    place = ["block_a", "block_b"]
+    needed = dealt.select(*place, F.explode(F.array("a", "b")).alias("a")).distinct().join(texts.withColumnRenamed("node", "a"), "a")
+    heads = needed.select(*place, "a", F.lit(None).cast("long").alias("b"), "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("d", pa.float64())])
 
     def compare(batches):
-        pivot, keys = None, None
-        for batch in pieces(batches, "text"):
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            rows = []
-            for left, right, own in zip(a, b, shingle_sets(batch.column("text").to_pylist()), strict=True):
+        group, held = None, {}
+        for batch in pieces(batches, "text", size=TEXT_BYTES):
+            rows, columns = [], [batch.column(c).to_pylist() for c in (*place, "a", "b")]
+            sets = shingle_sets(batch.column("text").to_pylist())
+            for block_a, block_b, left, right, own in zip(*columns, sets, strict=True):
+                if (block_a, block_b) != group:
+                    group, held = (block_a, block_b), {}
                 if right is None:
-                    pivot, keys = left, own
+                    held[left] = own
                     continue
-                if left != pivot:
-                    raise ValueError("a pivot is missing")
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                both = int((keys[at] == own).sum())
-                union = len(keys) + len(own) - both
+                small, large = sorted((held[left], held[right]), key=len)
+                both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+                union = len(small) + len(large) - both
                 rows.append((left, right, denominator * both >= numerator * union, 1 - both / union))
             if rows:
                 yield _tables(schema, zip(*rows, strict=True))
 
-    lined = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return lined.mapInArrow(compare, "a long, b long, near boolean, d double")
+    lined = heads.unionByName(dealt.withColumn("text", F.lit(None).cast("string"))).repartition(*place)
+    return lined.sortWithinPartitions(*place, F.col("b").asc_nulls_first()).mapInArrow(compare, "a long, b long, near boolean, d double")
 
 
 def _open(groups, labels):
@@ -372,43 +424,63 @@ _FIT = "4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b) and 7 * least(h_a, h_b) >=
 _FAR = "exists(zip_with(ds_a, ds_b, (x, y) -> abs(x - y) > 0.2500001D), far -> coalesce(far, false))"
 
 
-def node_components(docs, sets, id_col="doc_id", text_col="text", stars=STARS):
+def _pivots(left, turn):
+    """One member of the largest component of each group, the one with the fewest shingles of its own: most others can then join at
+    once. A member is taken again only when all others have been."""
+    sizes = left.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.groupBy("sig").agg(F.max_by("label", F.struct("_n", "label")).alias("label"))
+    me = F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("h").alias("h_a"), F.col("label").alias("label_a"), F.col("ds").alias("ds_a"))
+    central = F.struct(F.array_contains("ds", F.lit(0.0)), F.col("n") - F.col("h"), F.xxhash64("node", F.lit(turn)))
+    return left.join(largest, ["sig", "label"]).groupBy("sig").agg(F.min_by(me, central).alias("_p")).select("sig", "_p.*")
+
+
+def _joined(labels, links):
+    """Labels after new links: only the components that the links touch are joined anew."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = settle(labels.unionByName(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "labels")
+    of = lambda c: known.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    merged = components(links.join(of("a"), "a").join(of("b"), "b").select("label_a", "label_b").distinct(), "label_a", "label_b")
+    moved = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("_to")), "label", "left")
+    return settle(moved.select("node", F.coalesce("_to", "label").alias("label")), "labels")
+
+
+def node_components(docs, sets, id_col="doc_id", text_col="text", stars=STARS, most_stars=MOST_STARS):
     """(node, label): component label of every set with a partner."""
     spark = docs.sparkSession
-    shared = shared_signatures(docs, text_col)
-    thin = sets.agg(F.bit_or("thin")).first()[0] or 0
+    known = sets.agg(F.bit_or("thin").alias("thin"), F.sum("n_shingles").alias("shingles")).first()
+    thin, shingles = known["thin"] or 0, known["shingles"] or 0
+    shared = shared_signatures(docs, shingles, text_col)
     if thin:
         shared = shared.unionByName(thin_signatures(docs, [band for band in range(64) if thin >> band & 1], text_col))
     groups = settle(candidate_groups(shared), "groups")
     texts = _texts_of(docs, sets, groups.select("node").distinct(), id_col, text_col)
-    groups = settle(distinct_groups(groups.join(settle(well_covered(texts), "covered"), "node")), "groups").withColumn("ds", F.array().cast("array<double>"))
+    groups = settle(distinct_groups(groups.join(settle(well_covered(texts, shingles), "covered"), "node")), "groups").withColumn("ds", F.array().cast("array<double>"))
     labels = spark.createDataFrame([], "node long, label long")
-    links = done = None
-    for turn in range(stars + 1):
+    done = None
+    for turn in range(most_stars + 1):
         left = settle(_open(groups.select("sig", "node", "n", "h", "ds"), labels), "open")
-        if left.isEmpty():
+        todo = left.count()
+        if not todo:
             break
-        if turn < stars:
-            me = F.struct(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("h").alias("h_a"), F.col("label").alias("label_a"), F.col("ds").alias("ds_a"))
-            pivots = left.groupBy("sig").agg(F.min_by(me, F.xxhash64("node", F.lit(turn))).alias("_p")).select("sig", "_p.*")
-            met = left.join(pivots, "sig").withColumnsRenamed({"node": "b", "n": "n_b", "h": "h_b", "ds": "ds_b", "label": "label_b"})
+        star = turn < stars or turn < most_stars and todo < 0.75 * before
+        before = todo
+        if star:
+            met = left.join(_pivots(left, turn), "sig").withColumnsRenamed({"node": "b", "n": "n_b", "h": "h_b", "ds": "ds_b", "label": "label_b"})
+            pairs = met.where(f"label_a <> label_b and {_FIT} and not {_FAR}").select("a", "b")
         else:
-            other = left.select("sig", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("ds").alias("ds_b"), F.col("label").alias("label_b"))
-            met = left.withColumnsRenamed({"node": "a", "n": "n_a", "h": "h_a", "label": "label_a", "ds": "ds_a"}).join(other, "sig").where("a < b")
-        pairs = met.where(f"label_a <> label_b and {_FIT} and not {_FAR}").select("a", "b")
+            pairs = rare_pairs(left.select("node", "n", "label").distinct(), texts)
         pairs = pairs.withColumns({"low": F.least("a", "b"), "high": F.greatest("a", "b")}).dropDuplicates(["low", "high"])
         if done is not None:
             pairs = pairs.join(done, ["low", "high"], "left_anti")
         measured = settle(compared(pairs.select("a", "b"), texts), "measured")
         names = measured.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
         done = names if done is None else done.unionByName(names)
-        found = measured.where("near").select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        if turn < stars:
-            distance = measured.select("a", "b", "d")
-            told = met.select("sig", "a", "b", "n_b", "h_b", "ds_b").join(distance, ["a", "b"], "left")
-            groups = told.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("h_b").alias("h"), F.concat("ds_b", F.array(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))).alias("ds"))
+        labels = _joined(labels, measured.where("near").select("a", "b"))
+        if not star:
+            break
+        distance = measured.select("a", "b", "d")
+        told = met.select("sig", "a", "b", "n_b", "h_b", "ds_b").join(distance, ["a", "b"], "left")
+        groups = told.select("sig", F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("h_b").alias("h"), F.concat("ds_b", F.array(F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")))).alias("ds"))
     return labels
 
 
@@ -424,16 +496,26 @@ def jaccard_components(docs, id_col="doc_id", text_col="text"):
 
 
 def deduplicate(docs, id_col="doc_id", text_col="text"):
-    """One document of each component: the row with its smallest id, the longest of several rows with that id.
+    """One row of each component: the one with its smallest id, the longest of several rows with that id.
 
-    Rows without an id can't be named by a component; one row of each such text stays."""
-    found = settle(jaccard_components(docs, id_col, text_col), "components")
-    by_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.max(F.col("doc_id") != F.col("component_id")).alias("_goes"))
-    changed = settle(by_id.where("_rows > 1 or _goes").withColumnRenamed("doc_id", "_id"), "changed")
+    Every row is judged by its own text: of rows that share an id only those whose component has another row go. Rows without an id
+    stay where no row of their component has one, one of each component. Rows without words all stay.
+    """
+    sets = settle(document_sets(docs, id_col, text_col), "sets")
+    labels = node_components(docs, sets, id_col, text_col)
+    named = sets.where("node is not null").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
+    crowds = named.groupBy("label").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
+    crowded = settle(named.join(crowds, "label"), "crowded")
+    repeated = sets.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(True).alias("_again"))
+    goes = crowded.where("doc_id <> keep_id").select("doc_id", F.lit(False).alias("_again"))
+    changed = repeated.unionByName(goes).groupBy(F.col("doc_id").alias("_id")).agg(F.max("_again").alias("_again"))
+    changed = settle(changed, "changed")
     near = F.broadcast(changed) if changed.count() <= BROADCAST_ROWS else changed
-    named = packed(docs, text_col).withColumn("_own", F.col(f"row.`{id_col}`").cast("long"))
-    once = named.where("_own is not null").join(near, F.col("_own") == F.col("_id"), "left_anti")
-    again = named.join(near.where("not _goes").select("_id"), F.col("_own") == F.col("_id"), "left_semi").unionByName(named.where("_own is null"))
-    same = Window.partitionBy("_own", F.when(F.col("_own").isNull(), F.col("text")))
-    first = F.row_number().over(same.orderBy(F.length("text").desc(), "text"))
-    return unpacked(once.unionByName(again.withColumn("_once", first).where("_once = 1").drop("_once")), docs, text_col)
+    rows = packed(docs, text_col).withColumn("_own", F.col(f"row.`{id_col}`").cast("long"))
+    once = rows.where("_own is not null").join(near, F.col("_own") == F.col("_id"), "left_anti")
+    again = rows.join(near.where("_again").select("_id"), F.col("_own") == F.col("_id"), "left_semi").unionByName(rows.where("_own is null"))
+    judged = again.withColumn("_node", _fingerprint(F.col("text"))).join(crowded.select(F.col("node").alias("_node"), "label", "keep_id").distinct(), "_node", "left")
+    first = F.row_number().over(Window.partitionBy("label").orderBy(F.length("text").desc(), "text"))
+    kept = judged.where("label is not null and _own <=> keep_id").withColumn("_once", first).where("_once = 1")
+    kept = kept.unionByName(judged.where("label is null").withColumn("_once", F.lit(1)))
+    return unpacked(once.select("row", "text").unionByName(kept.select("row", "text")), docs, text_col)

@@ -47,13 +47,64 @@ def test_jaccard_components(spark, rows):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)
 
 
-def test_deduplicate_keeps_one_of_each_component(spark):
-    docs = document_frame(spark)
+def test_rare_shingles_keep_every_link(spark):
+    """Every link between sets of different components meets in a rare shingle where enough follows; few others do."""
+    rows = [near(prose(3, 90), i, 1 + i % 4) for i in range(80)] + [prose(3, 90)[: 200 + 5 * i] for i in range(30)] + [near(prose(4, 300), i, i % 9) for i in range(40)]
+    sets = jaccard.shingle_sets(rows)
+    texts = {jaccard.node_of(s): (t, s) for t, s in zip(rows, sets, strict=True)}
+    named = spark.createDataFrame([(k, len(s), k if i % 5 else 7) for i, (k, (_, s)) in enumerate(texts.items())], "node long, n int, label long")
+    label = {r["node"]: r["label"] for r in named.collect()}
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "node long, text string")
+    got = {tuple(sorted(map(int, r))) for r in jaccard.rare_pairs(named, frame).collect()}
+    close = lambda a, b: 4 * len(np.intersect1d(texts[a][1], texts[b][1])) >= 3 * len(np.union1d(texts[a][1], texts[b][1]))
+    links = {tuple(sorted((a, b))) for a, b in combinations(texts, 2) if label[a] != label[b] and close(a, b)}
+    assert links <= got and len(links) > 100 and all(label[a] != label[b] for a, b in got)
+
+
+def test_pairs_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_CHARS", 3000)
+    rows = [near(prose(3, 60), i, i % 6) for i in range(40)]
+    sets = {jaccard.node_of(s): (t, s) for t, s in zip(rows, jaccard.shingle_sets(rows), strict=True)}
+    asked = list(combinations(sets, 2))
+    texts = spark.createDataFrame([(k, t) for k, (t, _) in sets.items()], "node long, text string")
+    got = {(r["a"], r["b"]): (r["near"], r["d"]) for r in jaccard.compared(spark.createDataFrame(asked, "a long, b long"), texts).collect()}
+    for a, b in asked:
+        both, union = len(np.intersect1d(sets[a][1], sets[b][1])), len(np.union1d(sets[a][1], sets[b][1]))
+        assert got[a, b] == (100 * both >= 75 * union, 1 - both / union)
+    assert len(got) == len(asked)
+
+
+def brute_kept(rows):
+    """Rows that stay: of each component the least id and there the longest text; rows without words."""
+    sets, groups, kept = [shingles(t) for _, t in rows], {}, []
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+            parent[root(a)] = root(b)
+    for i in range(len(rows)):
+        if sets[i]:
+            groups.setdefault(root(i), []).append(rows[i])
+        else:
+            kept.append(rows[i])
+    return Counter(kept + [min(g, key=lambda r: (r[0] is None, r[0] or 0, -len(r[1]), r[1])) for g in groups.values()])
+
+
+MIXED = [(1, prose(5, 80)), (2, prose(5, 80)), (2, prose(6, 80)), (3, prose(7, 80)), (3, near(prose(7, 80), 1, 2)), (None, prose(8, 80)), (None, near(prose(8, 80), 1, 1)), (None, prose(5, 80)), (None, prose(9, 30)), (4, ""), (4, ""), (4, prose(6, 80))]
+
+
+@pytest.mark.parametrize("rows", [documents(), MIXED, family(30, 3)])
+def test_deduplicate_keeps_one_of_each_component(spark, rows):
+    docs = document_frame(spark, rows)
     out = jaccard.deduplicate(docs)
     assert out.columns == docs.columns
-    want = {c for (d, n, c), k in brute_components(documents()).items() if d is not None and d == c}
-    ids = [r["doc_id"] for r in out.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == brute_kept(rows)
 
 
 def test_jaccard_empty(spark):
