@@ -397,20 +397,16 @@ def fill_from_snap(snapped, products):
 def fill_prices(rows, products, brands):
     """Rows with a chosen product but no rate take its price; text only where there is none."""
     first = brands.groupBy(F.col("name").alias("selected_brand")).agg(F.min_by("brand_id", "brand_order").alias("brand_id"))
-    by_url = products.where(~blank("product_url")).groupBy("brand_id", F.col("product_url").alias("selected_model_url")).agg(
-        F.min("pos").alias("_pos_url")
-    )
-    by_model = products.groupBy("brand_id", F.col("model").alias("selected_model")).agg(F.min("pos").alias("_pos_model"))
+    # The first product of an address or a model brings its price and text along, so the catalog is met twice, not three times.
+    product = F.struct("pos", parse_number("price").alias("price"), F.col("description").alias("text"))
+    by_url = products.where(~blank("product_url")).groupBy("brand_id", F.col("product_url").alias("selected_model_url")).agg(F.min(product).alias("_by_url"))
+    by_model = products.groupBy("brand_id", F.col("model").alias("selected_model")).agg(F.min(product).alias("_by_model"))
     found = (
         rows.join(first, "selected_brand", "left")
         .join(by_url, ["brand_id", "selected_model_url"], "left")
         .join(by_model, ["brand_id", "selected_model"], "left")
-        .withColumn("pos", F.least("_pos_url", "_pos_model"))
-        .join(
-            products.select("brand_id", "pos", parse_number("price").alias("_price"), F.col("description").alias("_text")),
-            ["brand_id", "pos"],
-            "left",
-        )
+        .withColumn("_p", F.least("_by_url", "_by_model"))
+        .withColumns({"_price": F.col("_p.price"), "_text": F.col("_p.text")})
     )
     current = F.when(blank(F.col("rate").cast("string")), F.lit(0).cast("decimal(18,4)")).otherwise(parse_number("rate"))
     chosen = ~blank("selected_brand") & ~blank("selected_model")

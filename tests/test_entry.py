@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
 NAMES = ["costed_totals", "boq_pivot", "fuzzy_model_match", "dedup_priority", "session_expiry", "page_links", "tier_comparison", "link_caps", "hardening_upsert", "dedupe_match_broadcast", "row_edits",
          "line_clusters", "image_pairs", "image_by_line", "crop_bands", "source_merge", "catalog_upsert", "fitout_outcome", "rate_card_match", "brand_scan", "brand_scan_tier", "catalog_write", "cell_scan",
-         "page_cards", "page_blocks", "harvest_site_products", "harvest_site_records", "extracted_summary", "sheet_stitch", "session_expiry_stream", "first_discoveries_stream"]
+         "page_cards", "page_blocks", "harvest_site_products", "extracted_summary", "sheet_stitch", "session_expiry_stream", "first_discoveries_stream"]
 
 
 @pytest.mark.parametrize("name", NAMES)
