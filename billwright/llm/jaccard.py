@@ -215,7 +215,8 @@ def _bits(rows, least, group_rows=GROUP_ROWS):
 
 def shared_signatures(docs, shingles, text_col="text"):
     """(node, n, tag, sig, g): the signatures that g >= 2 different sets hold. ``shingles``: in all sets together."""
-    bits = _bits(shingles, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Few parts: a set's fingerprint and size travel once with its signatures of a part.
+    bits = _bits(shingles, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) / 2)
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tag", pa.int8()), ("sig", pa.int64()), ("g", pa.int32())])
 
     def meet(table):
