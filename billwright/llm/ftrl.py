@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from billwright.llm.arrow import pieces
 from billwright.llm.decontamination import words
 from billwright.llm.jaccard import mix
 
@@ -151,7 +152,7 @@ def score(docs, weights, features, text_col="text", out="score"):
 
     def rate(batches):
         w = shared.value
-        for batch in batches:
+        for batch in pieces(batches, text_col, rows=500, size=1 << 20):  # features are many times their text
             found = [features(t) for t in batch.column(text_col).to_pylist()]
             p = sigmoid(np.array([w[i] @ v + w[-1] for i, v in found], dtype=np.float64).reshape(-1))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, out])
