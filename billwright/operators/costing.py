@@ -44,13 +44,14 @@ def _multiplier(f):
     return F.lit(f["multiplier"]).cast(FACTOR)
 
 
-def extracted_summary(table, roles):
+def extracted_summary(table, roles=None):
     """Totals of rate, amount and quantity and count of readable amounts per document (A1).
 
-    Rows with neither quantity, rate nor unit are skipped; null when there is no money.
+    Rows with neither quantity, rate nor unit are skipped; null when there is no money. Without ``roles`` the table carries them.
     """
     text = {r: F.trim(role_value(r)) for r in ("qty", "rate", "unit", "amount")}
-    rows = table.join(roles, "doc_id").select(
+    joined = table if roles is None else table.join(roles, "doc_id")
+    rows = joined.select(
         "doc_id",
         ((text["qty"] != "") | (text["rate"] != "") | (text["unit"] != "")).alias("_item"),
         *[parse_number(text[r]).alias(r) for r in ("qty", "rate", "amount")],
@@ -90,14 +91,15 @@ def row_markup(rows, f, recompute_amount=True):
 
 
 def cost_table(table, money_cols, f):
-    """Every readable number in a money column times the multiplier, two decimals (A3)."""
+    """Every readable number in a money column times the multiplier, two decimals (A3). Without ``money_cols`` the table carries them."""
     def costed(k, v):
         value = parse_number(v)
         hit = F.array_contains(F.col("money_cols"), k) & value.isNotNull()
         return F.when(hit, money(value * _multiplier(f)).cast("string")).otherwise(v)
 
+    joined = table if money_cols is None else table.join(money_cols, "doc_id", "left")
     return (
-        table.join(money_cols, "doc_id", "left")
+        joined
         .withColumn("money_cols", F.coalesce("money_cols", F.array().cast("array<int>")))
         .withColumn("cells", F.transform_values("cells", costed))
         .drop("money_cols")

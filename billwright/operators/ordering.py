@@ -5,6 +5,9 @@ a coarse, order-preserving expression: each block is numbered on its own, and th
 (from a pass that reads only the keys, the block and the value) supply the offset. Only the offsets of blocks behind a first one are
 written, which most keys have none of; the wide rows are exchanged once, by key and block. An input that is costly to compute should be
 settled by the caller. Null keys and null blocks are keys and blocks like others (null first).
+
+Where every key is known to be small (``large_keys`` finds the others), blocks only cost exchanges:
+with ``block=None`` a plain window numbers each key, and rows that already lie together by key stay where they are.
 """
 
 from pyspark.sql import Window
@@ -22,8 +25,16 @@ def with_edges(rows, keys, edges, value):
     return rows.join(named, match, "left").drop("_nb_block", *[f"_nb_key{i}" for i in range(len(keys))])
 
 
+def large_keys(rows, keys, most):
+    """Keys with more than ``most`` rows, written: there are few, as each stands for many rows."""
+    return settle(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most).select(*keys), "large-keys")
+
+
 def running_sum(df, keys, order, value, out, block):
-    """Sum of ``value`` over the rows of the key up to and including this one."""
+    """Sum of ``value`` over the rows of the key up to and including this one; without blocks, each key is one task's."""
+    if block is None:
+        whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum(value).over(whole))
     rows = df.withColumn("_block", block)
     local = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)

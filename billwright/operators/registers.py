@@ -13,6 +13,11 @@ def _has_text():
     return F.exists(F.map_values("cells"), lambda v: v != "")
 
 
+def _with_text(table, roles):
+    rows = table.where(_has_text())
+    return rows if roles is None else rows.join(roles, "doc_id")
+
+
 def _plain_rows(table):
     for flag in ("is_header", "is_summary"):
         if flag in table.columns:
@@ -20,21 +25,19 @@ def _plain_rows(table):
     return table
 
 
-def _row_block():
-    return F.floor(F.col("row_idx") / ROW_BLOCK)
+def _numbered(rows, whole):
+    block = None if whole else F.floor(F.col("row_idx") / ROW_BLOCK)
+    return number_rows(rows, ["doc_id"], ["row_idx"], "item_no", block)
 
 
-def delivery_register(table, roles):
-    """Delivered items: rows with a quantity above 0, numbered per document."""
+def delivery_register(table, roles=None, whole=False):
+    """Delivered items: rows with a quantity above 0, numbered per document.
+
+    Here and below, ``whole`` says that every document fits a task; without ``roles`` the table carries them.
+    """
     qty = parse_number(role_value("qty"))
-    rows = (
-        _plain_rows(table)
-        .where(_has_text())
-        .join(roles, "doc_id")
-        .withColumn("_qty", qty)
-        .where("_qty > 0")
-    )
-    numbered = number_rows(rows, ["doc_id"], ["row_idx"], "item_no", _row_block())
+    rows = _with_text(_plain_rows(table), roles).withColumn("_qty", qty).where("_qty > 0")
+    numbered = _numbered(rows, whole)
 
     def text(role, default):
         return F.when(F.col(f"{role}_col").isNull(), F.lit(default)).otherwise(role_value(role))
@@ -49,10 +52,10 @@ def delivery_register(table, roles):
     )
 
 
-def inspection_register(table, roles, reference):
+def inspection_register(table, roles, reference, whole=False):
     """Material or works inspection: running item number, title from code, number or count."""
-    rows = table.where(_has_text()).join(roles, "doc_id")
-    numbered = number_rows(rows, ["doc_id"], ["row_idx"], "item_no", _row_block())
+    rows = _with_text(table, roles)
+    numbered = _numbered(rows, whole)
     padded = F.lpad(F.col("item_no").cast("string"), 3, "0")
     label = F.when(F.col("item_no") > 999, F.col("item_no").cast("string")).otherwise(padded)
     title = or_else(F.trim(role_value("code")), F.trim(role_value("sn")), label)
@@ -68,10 +71,10 @@ def inspection_register(table, roles, reference):
     )
 
 
-def approval_register(table, roles):
+def approval_register(table, roles=None, whole=False):
     """Material approval: running item number padded to three, description, brand, quantity."""
-    rows = table.where(_has_text()).join(roles, "doc_id")
-    numbered = number_rows(rows, ["doc_id"], ["row_idx"], "item_no", _row_block())
+    rows = _with_text(table, roles)
+    numbered = _numbered(rows, whole)
     padded = F.lpad(F.col("item_no").cast("string"), 3, "0")
     return numbered.select(
         "doc_id",

@@ -1,10 +1,12 @@
 """From raw sheet cells to one table per document.
 
-``cells``: doc_id, sheet_id, sheet_order, row_no, col_no, value. One shuffle gathers each sheet
-row into a map from column number to text (a row is as wide as the sheet, never more); header
-detection, filtering and typing are then row-level expressions.
+``cells``: doc_id, sheet_id, sheet_order, row_no, col_no, value, or pieces of rows with ``entries``, a list of
+(col_no, value), in place of the last two. One shuffle gathers each sheet row into a map from column number to text (a row
+is as wide as the sheet, never more); header detection, filtering and typing are then row-level expressions. Cells that
+lie together by document are gathered where they are.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from billwright import rules
@@ -47,10 +49,10 @@ def attach_images(cell_images):
 
 def sheet_rows(cells, cell_images=None):
     """One record per sheet row: its cells, the header patterns it hits, whether it is a total."""
-    value = F.coalesce(F.col("value"), F.lit(""))
-    gathered = cells.groupBy(*SHEET, "row_no").agg(
-        F.array_sort(F.collect_list(F.struct("col_no", value.alias("value")))).alias("_all")
-    )
+    if "entries" not in cells.columns:
+        cells = cells.select(*SHEET, "row_no", F.array(F.struct("col_no", "value")).alias("entries"))
+    texts = F.transform(F.flatten(F.collect_list("entries")), lambda e: F.struct(e["col_no"].alias("col_no"), F.coalesce(e["value"], F.lit("")).alias("value")))
+    gathered = cells.groupBy(*SHEET, "row_no").agg(F.array_sort(texts).alias("_all")).where(F.size("_all") > 0)
     # Of several cells at one address the greatest text stays.
     last = F.filter("_all", lambda x, i: F.coalesce(F.get("_all", i + 1)["col_no"] != x["col_no"], F.lit(True)))
     gathered = gathered.withColumn("cells", F.map_from_entries(last)).drop("_all")
@@ -92,8 +94,12 @@ def data_rows(rows, headers, drop_repeated=True):
 
     Which rows stay follows from their marks (first column with a text, with an image), so a pass that needs no cells reads none.
     """
+    return _below_header(rows.join(headers.select(*SHEET, "header_row", "header_width"), SHEET), drop_repeated)
+
+
+def _below_header(body, drop_repeated):
     in_width = lambda k: k <= F.col("header_width")
-    body = rows.join(headers.select(*SHEET, "header_row", "header_width"), SHEET).where("row_no > header_row")
+    body = body.where("row_no > header_row")
     if drop_repeated:
         body = body.where((F.col("hits") < 3) | F.col("is_total"))
     filled = F.coalesce(F.col("text_col") <= F.col("header_width"), F.lit(False)) | F.coalesce(F.col("image_col") <= F.col("header_width"), F.lit(False))
@@ -129,36 +135,69 @@ def stitch(rows, headers, drop_repeated=True, keep_images=True):
     body = data_rows(rows, headers, drop_repeated)
     if not keep_images:
         body = body.withColumn("images", F.lit(None).cast(body.schema["images"].dataType))
-    block = F.struct("sheet_order", F.floor(F.col("row_no") / ROW_BLOCK).alias("b"))
-    table = number_rows(body, ["doc_id"], ["sheet_order", "row_no"], "row_idx", block)
+    block = F.struct("sheet_order", "sheet_id", F.floor(F.col("row_no") / ROW_BLOCK).alias("b"))
+    table = number_rows(body, ["doc_id"], ["sheet_order", "sheet_id", "row_no"], "row_idx", block)
     return document_header(headers, body), table.drop("header_width")
 
 
-def header_cells(header):
-    """Header in long form: doc_id, col_no, title."""
-    return header.select("doc_id", F.explode("header").alias("col_no", "title"))
+def stitch_whole(rows, drop_repeated=True, keep_images=True):
+    """``stitch`` for documents that each fit a task: windows over a document give header, numbers and sizes.
 
+    Nothing is written, and rows that lie together by document are not exchanged.
+    """
+    sheet = Window.partitionBy("doc_id", "sheet_order", "sheet_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = lambda c: F.first(F.when(F.col("hits") >= 2, F.col(c)), ignorenulls=True).over(sheet)
+    headed = rows.withColumns({"header_row": first("row_no"), "header_width": first("width"), "header": first("cells")})
+    body = _below_header(headed, drop_repeated)
+    if not keep_images:
+        body = body.withColumn("images", F.lit(None).cast(body.schema["images"].dataType))
+    table = number_rows(body, ["doc_id"], ["sheet_order", "sheet_id", "row_no"], "row_idx", None)
+    every = _document().rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = table.withColumns({"sheets": F.size(F.collect_set("sheet_id").over(every)).cast("bigint"), "row_count": F.count(F.lit(1)).over(every)})
+    header = sized.where("row_idx = 1").select("doc_id", "header", F.col("header_width").alias("column_count"), "sheets", "row_count")
+    return header, table.withColumn("header", F.when(F.col("row_idx") == 1, F.col("header"))).drop("header_width")
 
-def column_roles(header, role_table=rules.OFFER_ROLES, default_description=None):
-    """First matching column of each role; patterns of a role are tried in order."""
-    titles = header_cells(header)
+
+def _document():
+    return Window.partitionBy("doc_id").orderBy("sheet_order")
+
+
+def with_roles(table, header, role_table, default_description=None, money=False):
+    """The table with the role columns of its document, and its money columns if wanted.
+
+    A table of ``stitch_whole`` has the header beside its first row, from which all rows of the document take them; others are joined.
+    """
+    if "header" not in table.columns:
+        joined = table.join(column_roles(header, role_table, default_description), "doc_id")
+        return joined.join(money_columns(header), "doc_id", "left") if money else joined
+    found = F.struct(*role_columns(role_table, default_description), *([money_column().alias("money_cols")] if money else []))
+    spread = F.first(F.when(F.col("header").isNotNull(), found), ignorenulls=True).over(_document().rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return table.withColumn("_found", spread).select(*[c for c in table.columns if c != "header"], "_found.*")
+
+
+def role_columns(role_table=rules.OFFER_ROLES, default_description=None):
+    """First matching column of each role in ``header``; patterns of a role are tried in order."""
     columns = []
     for role, patterns in role_table.items():
-        tries = [F.min(F.when(F.col("title").rlike(p), F.col("col_no"))) for p in patterns]
+        tries = [F.array_min(F.map_keys(F.map_filter("header", lambda k, v: v.rlike(p)))) for p in patterns]
         if role == "description" and default_description is not None:
             tries.append(F.lit(default_description))
         columns.append(F.coalesce(*tries).cast("int").alias(f"{role}_col"))
-    return titles.groupBy("doc_id").agg(*columns)
+    return columns
+
+
+def column_roles(header, role_table=rules.OFFER_ROLES, default_description=None):
+    """Columns of each document's roles."""
+    return header.where(F.size("header") > 0).select("doc_id", *role_columns(role_table, default_description))
+
+
+def money_column():
+    return F.array_sort(F.map_keys(F.map_filter("header", lambda k, v: v.rlike(rules.MONEY_COLUMN))))
 
 
 def money_columns(header):
     """Columns that hold money (A3)."""
-    return header.select(
-        "doc_id",
-        F.array_sort(
-            F.map_keys(F.map_filter("header", lambda k, v: v.rlike(rules.MONEY_COLUMN)))
-        ).alias("money_cols"),
-    )
+    return header.select("doc_id", money_column().alias("money_cols"))
 
 
 def role_value(role):
@@ -174,15 +213,15 @@ def row_image(images="images"):
     return F.when(url.startswith("http") | url.startswith("/"), url).otherwise(F.concat(F.lit("/"), url))
 
 
-def boq_rows(table, roles, trim=False, drop_special=False):
-    """Typed line items: sn, description, qty, unit, rate, amount, image.
+def boq_rows(table, roles=None, trim=False, drop_special=False):
+    """Typed line items: sn, description, qty, unit, rate, amount, image (B7). Without ``roles`` the table carries them.
 
     ``trim`` and ``drop_special`` give the value-engineering variant.
     """
     def get(role):
         return F.trim(role_value(role)) if trim else role_value(role)
 
-    joined = table.join(roles, "doc_id")
+    joined = table if roles is None else table.join(roles, "doc_id")
     if drop_special:
         for flag in ("is_header", "is_summary"):
             if flag in table.columns:

@@ -139,11 +139,16 @@ SELECT h.doc_id, h.sheet_id, CAST(h.row_no AS INTEGER) AS header_row, CAST(h.wid
 FROM headers h JOIN cells c USING (doc_id, sheet_id, row_no) GROUP BY ALL""",
 )
 def header_detect(spark, sf):
-    found = sheets.header_rows(sheets.sheet_rows(V.cells(spark, sf)))
+    found = V.by_document_size(spark, sf, lambda lines, whole: sheets.header_rows(sheets.sheet_rows(V.row_pieces(spark, sf, lines, whole))))
     text = F.array_join(F.transform(F.array_sort(F.map_entries("header")), lambda e: e["value"]), "|")
     return found.select("doc_id", "sheet_id", "header_row", "header_width", text.alias("header"))
 
 
+def _from_sheets(spark, sf, build, **how):
+    """``build(header, table, whole)`` over the structured sheets, apart for documents too large for a task."""
+    return V.by_document_size(spark, sf, lambda lines, whole: build(*structure(V.row_pieces(spark, sf, lines, whole), whole=whole, **how), whole))
+
+
 def _row_text():
     return F.array_join(F.transform(F.array_sort(F.map_entries("cells")), lambda e: e["value"]), "|")
 
@@ -156,14 +161,13 @@ FROM numbered n JOIN body b USING (doc_id, sheet_id, row_no) GROUP BY ALL"""
 
 @query("sheet_stitch", _stitched_sql(True))
 def sheet_stitch(spark, sf):
-    _, table = structure(V.cells(spark, sf))
-    return table.select("doc_id", "row_idx", "sheet_order", "row_no", _row_text().alias("row_text"))
+    return _from_sheets(spark, sf, lambda _, table, whole: table.select("doc_id", "row_idx", "sheet_order", "row_no", _row_text().alias("row_text")))
 
 
 @query("legacy_stitch", _stitched_sql(False))
 def legacy_stitch(spark, sf):
-    _, table = structure(V.cells(spark, sf), drop_repeated=False, keep_images=False)
-    return table.select("doc_id", "row_idx", "sheet_order", "row_no", _row_text().alias("row_text"))
+    texts = lambda _, table, whole: table.select("doc_id", "row_idx", "sheet_order", "row_no", _row_text().alias("row_text"))
+    return _from_sheets(spark, sf, texts, drop_repeated=False, keep_images=False)
 
 
 @query(
@@ -175,11 +179,13 @@ SELECT doc_id, coalesce(r.description_col, -1) AS description_col, coalesce(r.qt
   coalesce(v.image_col, -1) AS viewer_image_col FROM roles r JOIN viewer v USING (doc_id)""",
 )
 def column_roles(spark, sf):
-    header, _ = structure(V.cells(spark, sf))
-    offer = sheets.column_roles(header, rules.OFFER_ROLES, default_description=2)
-    viewer = sheets.column_roles(header, rules.VIEWER_ROLES)
-    viewer = viewer.select("doc_id", *[F.col(c).alias(f"viewer_{c}") for c in ("rate_col", "amount_col", "description_col", "image_col")])
-    joined = offer.join(viewer, "doc_id")
+    return _from_sheets(spark, sf, _both_roles)
+
+
+def _both_roles(header, table, whole):
+    viewer = ("rate_col", "amount_col", "description_col", "image_col")
+    every = header.where(F.size("header") > 0).select("doc_id", F.struct(*sheets.role_columns(rules.OFFER_ROLES, 2)).alias("o"), F.struct(*sheets.role_columns(rules.VIEWER_ROLES)).alias("v"))
+    joined = every.select("doc_id", "o.*", *[F.col(f"v.{c}").alias(f"viewer_{c}") for c in viewer])
     return joined.select("doc_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in joined.columns if c != "doc_id"])
 
 
@@ -189,9 +195,11 @@ def column_roles(spark, sf):
 SELECT doc_id, row_idx AS sn, description, qty, unit, rate, amount FROM vals""",
 )
 def boq_pivot(spark, sf):
-    header, table = structure(V.cells(spark, sf))
-    roles = sheets.column_roles(header, rules.OFFER_ROLES, default_description=2)
-    return sheets.boq_rows(table, roles).select("doc_id", "sn", "description", "qty", "unit", "rate", "amount")
+    def build(header, table, whole):
+        rows = sheets.boq_rows(sheets.with_roles(table, header, rules.OFFER_ROLES, default_description=2))
+        return rows.select("doc_id", "sn", "description", "qty", "unit", "rate", "amount")
+
+    return _from_sheets(spark, sf, build)
 
 
 VE_COND = V.ROLE_COND | {"description": ["regexp_matches(title, '(?i)description|desc|disc|item|product')"]}
@@ -204,10 +212,12 @@ SELECT doc_id, row_idx AS sn, trim(description) AS description, trim(qty) AS qty
 )
 def ve_boq_rows(spark, sf):
     """The value-engineering variant: more names for descriptions, trimmed cells, no rows marked as headers or summaries."""
-    header, table = structure(V.cells(spark, sf))
-    marked = table.withColumns({"is_header": F.col("row_idx") % 5 == 4, "is_summary": F.lit(None).cast("boolean")})
-    rows = sheets.boq_rows(marked, sheets.column_roles(header, rules.VALUE_ENGINEERING_ROLES), trim=True, drop_special=True)
-    return rows.select("doc_id", "sn", "description", "qty", "unit", "rate", "amount")
+    def build(header, table, whole):
+        marked = table.withColumns({"is_header": F.col("row_idx") % 5 == 4, "is_summary": F.lit(None).cast("boolean")})
+        rows = sheets.boq_rows(sheets.with_roles(marked, header, rules.VALUE_ENGINEERING_ROLES), trim=True, drop_special=True)
+        return rows.select("doc_id", "sn", "description", "qty", "unit", "rate", "amount")
+
+    return _from_sheets(spark, sf, build)
 
 
 @query(
@@ -222,7 +232,8 @@ SELECT doc_id, CAST(round(coalesce(r, 0), 2) AS DOUBLE) AS total_rate, CAST(roun
 FROM s WHERE coalesce(a, 0) > 0 OR coalesce(r, 0) > 0""",
 )
 def extracted_summary(spark, sf):
-    return summary_of_cells(V.cells(spark, sf)).where("total_amount is not null")
+    summed = V.by_document_size(spark, sf, lambda lines, whole: summary_of_cells(V.row_pieces(spark, sf, lines, whole), whole))
+    return summed.where("total_amount is not null")
 
 
 MONEY_SQL = f"(regexp_matches(title, '(?i)rate|price') OR {V.AMOUNT_OR_TOTAL})"
@@ -240,7 +251,7 @@ SELECT doc_id, CAST(n AS BIGINT) AS lines, CAST(round(s, 2) AS DOUBLE) AS subtot
   CAST(round(s + s * CAST('0.05' AS DECIMAL(8,6)), 2) AS DOUBLE) AS grand_total, 'OMR' AS currency FROM t""",
 )
 def table_costing(spark, sf):
-    return cost_documents(V.cells(spark, sf), FACTORS)["totals"]
+    return V.by_document_size(spark, sf, lambda lines, whole: cost_documents(V.row_pieces(spark, sf, lines, whole), FACTORS, whole=whole)["totals"])
 
 
 @query(
@@ -519,8 +530,7 @@ SELECT v.doc_id, CAST(row_number() OVER (PARTITION BY v.doc_id ORDER BY row_idx)
 FROM vals v JOIN roles r ON r.doc_id = v.doc_id WHERE {V.number_sql('qty')} > 0""",
 )
 def delivery_register(spark, sf):
-    header, table = structure(V.cells(spark, sf))
-    return registers.delivery_register(table, sheets.column_roles(header, rules.DELIVERY_ROLES))
+    return _from_sheets(spark, sf, lambda header, table, whole: registers.delivery_register(sheets.with_roles(table, header, rules.DELIVERY_ROLES), whole=whole))
 
 
 @query(
@@ -530,8 +540,7 @@ SELECT doc_id, row_idx AS item_no, CASE WHEN trim(code) <> '' THEN trim(code) WH
   'MIR-7-' || lpad(CAST(row_idx AS VARCHAR), 3, '0') AS reference, description, qty, unit FROM vals""",
 )
 def inspection_register(spark, sf):
-    header, table = structure(V.cells(spark, sf))
-    found = registers.inspection_register(table, sheets.column_roles(header, rules.REGISTER_ROLES), "MIR-7")
+    found = _from_sheets(spark, sf, lambda header, table, whole: registers.inspection_register(sheets.with_roles(table, header, rules.REGISTER_ROLES), None, "MIR-7", whole))
     return found.select("doc_id", "item_no", "title", "reference", "description", "qty", "unit")
 
 
@@ -541,8 +550,8 @@ def inspection_register(spark, sf):
 SELECT doc_id, lpad(CAST(row_idx AS VARCHAR), 3, '0') AS item, description, qty FROM vals""",
 )
 def approval_register(spark, sf):
-    header, table = structure(V.cells(spark, sf))
-    return registers.approval_register(table, sheets.column_roles(header, rules.APPROVAL_ROLES)).select("doc_id", "item", "description", "qty")
+    found = _from_sheets(spark, sf, lambda header, table, whole: registers.approval_register(sheets.with_roles(table, header, rules.APPROVAL_ROLES), whole=whole))
+    return found.select("doc_id", "item", "description", "qty")
 
 
 @query(

@@ -4,10 +4,11 @@ Each view exists twice: as a DataFrame for the operators and as SQL for the orac
 the whole table.
 """
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from billwright import rules
-from billwright.operators.ordering import number_rows
+from billwright.operators.ordering import large_keys, number_rows
 
 # ------------------------------------------------------------------ shared expressions (both engines)
 FURNISH = """(CASE split_part(p_name, ' ', 1)
@@ -64,12 +65,14 @@ def on_parts(expr):
 
 
 # ------------------------------------------------------------------ bills of quantities
+#: Lines of a document that one task takes at once.
+LARGE_DOCUMENT = 65536
 _RATE_E4 = "(CAST(round(l_extendedprice * 100) AS BIGINT) * 200 + CAST(l_quantity AS BIGINT)) {div} (2 * CAST(l_quantity AS BIGINT))"
 
 
-def boq(spark, sf, *extra):
+def boq(spark, sf, *extra, lines=None):
     """Line items: doc_id, sn, description, qty, unit, rate, amount and a few attributes."""
-    lines = table(spark, sf, "lineitem")
+    lines = table(spark, sf, "lineitem") if lines is None else lines
     parts = table(spark, sf, "part")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("l_orderkey").alias("doc_id"),
@@ -89,10 +92,21 @@ def boq(spark, sf, *extra):
     return joined
 
 
-def numbered_boq(spark, sf, *extra):
+def numbered_boq(spark, sf, *extra, lines=None, whole=False):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    block = F.floor(F.col("l_linenumber") / 65536)
-    return number_rows(boq(spark, sf, *extra), ["doc_id"], order, "sn", block)
+    block = None if whole else F.floor(F.col("l_linenumber") / 65536)
+    return number_rows(boq(spark, sf, *extra, lines=lines), ["doc_id"], order, "sn", block)
+
+
+def by_document_size(spark, sf, build):
+    """``build(lines, whole)`` over the lines of documents that fit a task, and apart from them over those of larger ones, if any."""
+    lines = table(spark, sf, "lineitem")
+    large = large_keys(lines, ["l_orderkey"], LARGE_DOCUMENT)
+    if large.isEmpty():
+        return build(lines, True)
+    is_large = F.col("l_orderkey").eqNullSafe(F.col("_large"))
+    names = large.select(F.col("l_orderkey").alias("_large"))
+    return build(lines.join(names, is_large, "left_anti"), True).unionByName(build(lines.join(names, is_large, "left_semi"), False))
 
 
 BOQ_SQL = sql_text(f"""boq AS (
@@ -208,32 +222,51 @@ _TEXTS = [
 ]
 
 
-def cells(spark, sf):
-    """Two sheets per document: title, header, blank row, items, repeated header, total."""
-    rows = numbered_boq(spark, sf)
+def _piece(row, entries):
+    listed = ", ".join(f"struct({col} AS col_no, {value} AS value)" for col, value in entries)
+    return f"struct({row} AS row_no, filter(array({listed}), e -> e.value IS NOT NULL) AS entries)"
+
+
+def _fixed_pieces():
+    """Title, header, blank row, repeated header and total of a sheet."""
+    total = "CAST(CAST(total AS DECIMAL(18,4)) AS STRING)"
+    return [
+        _piece(1, [(1, "'Schedule of works'")]),
+        _piece(3, [(c + 1, _header(c)) for c in range(7)]),
+        _piece(4, [(c, "''") for c in (1, 2, 3)]),
+        _piece(5000000, [(c + 1, f"CASE WHEN doc_id % 4 = 0 THEN {_header(c)} END") for c in range(7)]),
+        _piece(6000000, [
+            (3, "CASE WHEN doc_id % 2 = 0 THEN 'TOTAL AMOUNT' END"),
+            (5, "CASE WHEN doc_id % 8 = 0 THEN 'unit rate' END"),
+            (7, f"CASE WHEN doc_id % 2 = 0 THEN {total} END"),
+        ]),
+    ]
+
+
+def row_pieces(spark, sf, lines=None, whole=False):
+    """Two sheets per document, row by row: title, header, blank row, items, repeated header, total."""
+    rows = numbered_boq(spark, sf, lines=lines, whole=whole)
     for name, expr in _TEXTS:
         rows = rows.withColumn(name, F.expr(expr))
-    entry = lambda row, col, value: f"struct({row} AS row_no, {col} AS col_no, {value} AS value)"
-    body = ", ".join(entry("10 + sn", i + 1, c) for i, c in enumerate(_columns()))
     rows = rows.withColumn("sheet_id", F.expr(_SHEET))
-    items = rows.select("doc_id", "sheet_id", F.explode(F.expr(f"array({body})")).alias("c"))
-    sheets = boq(spark, sf).groupBy("doc_id", F.expr(_SHEET).alias("sheet_id")).agg(F.sum("amount").alias("total"))
-    fixed = [entry(1, 1, "'Schedule of works'")]
-    fixed += [entry(3, c + 1, _header(c)) for c in range(7)]
-    fixed += [entry(4, c, "''") for c in (1, 2, 3)]
-    fixed += [entry(5000000, c + 1, f"CASE WHEN doc_id % 4 = 0 THEN {_header(c)} END") for c in range(7)]
-    total = "CAST(CAST(total AS DECIMAL(18,4)) AS STRING)"
-    fixed += [
-        entry(6000000, 3, "CASE WHEN doc_id % 2 = 0 THEN 'TOTAL AMOUNT' END"),
-        entry(6000000, 5, "CASE WHEN doc_id % 8 = 0 THEN 'unit rate' END"),
-        entry(6000000, 7, f"CASE WHEN doc_id % 2 = 0 THEN {total} END"),
-    ]
-    extra = sheets.select("doc_id", "sheet_id", F.explode(F.expr(f"array({', '.join(fixed)})")).alias("c"))
-    return (
-        items.unionByName(extra)
-        .select("doc_id", "sheet_id", F.col("sheet_id").alias("sheet_order"), "c.row_no", "c.col_no", "c.value")
-        .where("value is not null")
-    )
+    item = _piece("10 + sn", [(i + 1, c) for i, c in enumerate(_columns())])
+    fixed = ", ".join(_fixed_pieces())
+    if whole:
+        # The first line of a sheet brings what the sheet holds besides its lines.
+        document = Window.partitionBy("doc_id")
+        of_sheet = lambda f, c: F.coalesce(*[F.when(F.col("sheet_id") == s, f(F.when(F.col("sheet_id") == s, F.col(c))).over(document)) for s in (1, 2)])
+        rows = rows.withColumns({"total": of_sheet(F.sum, "amount"), "_first": of_sheet(F.min, "sn")})
+        pieces = rows.select("doc_id", "sheet_id", F.explode(F.expr(f"IF(sn = _first, array({item}, {fixed}), array({item}))")).alias("p"))
+    else:
+        sheets = boq(spark, sf, lines=lines).groupBy("doc_id", F.expr(_SHEET).alias("sheet_id")).agg(F.sum("amount").alias("total"))
+        pieces = rows.select("doc_id", "sheet_id", F.expr(item).alias("p")).unionByName(sheets.select("doc_id", "sheet_id", F.explode(F.expr(f"array({fixed})")).alias("p")))
+    return pieces.select("doc_id", "sheet_id", F.col("sheet_id").alias("sheet_order"), "p.row_no", "p.entries").where("size(entries) > 0")
+
+
+def cells(spark, sf):
+    """The cells of ``row_pieces``, one by one."""
+    pieces = row_pieces(spark, sf)
+    return pieces.select("doc_id", "sheet_id", "sheet_order", "row_no", F.explode("entries").alias("e")).select("doc_id", "sheet_id", "sheet_order", "row_no", "e.*")
 
 
 def _cells_sql():

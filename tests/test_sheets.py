@@ -1,6 +1,10 @@
+from pyspark.sql import functions as F
+
 from billwright import rules
-from billwright.operators import costing, sheets
+from billwright.operators import costing, registers, sheets
 from billwright.plans.boq_costing import cost_documents, structure
+from billwright.queries import boq, views  # noqa: F401
+from billwright.queries.registry import QUERIES
 
 SHEET1 = {
     1: ["Tender 7"],
@@ -88,3 +92,40 @@ def test_two_cells_at_one_address(spark):
     )
     row = sheets.sheet_rows(cells).first()
     assert row["cells"] == {1: "Item", 2: "Qty"} and row["width"] == 2
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_whole_documents_are_structured_alike(spark):
+    many = cells(spark).unionByName(cells(spark).withColumn("doc_id", F.lit("e"))).repartition(3, "doc_id")
+    for how in ({}, {"drop_repeated": False, "keep_images": False}):
+        plain, whole = structure(many, **how), structure(many, whole=True, **how)
+        for columns, i in ((["doc_id", "header", "column_count", "sheets", "row_count"], 0), (["doc_id", "sheet_id", "row_no", "row_idx", "cells"], 1)):
+            a, b = ([tuple(map(str, r)) for r in x[i].select(*columns).collect()] for x in (plain, whole))
+            assert sorted(a) == sorted(b) and a
+    header, table = structure(many, whole=True)
+    joined = sheets.with_roles(structure(many)[1], header, rules.REGISTER_ROLES)
+    spread = sheets.with_roles(table, header, rules.REGISTER_ROLES)
+    both = [sorted(map(str, registers.inspection_register(t, None, "R", w).collect())) for t, w in ((joined, False), (spread, True))]
+    assert both[0] == both[1] and len(both[0]) == 8
+
+
+def test_rows_of_whole_documents_stay_where_they_are(spark):
+    """Cells dealt by document are gathered, stitched and numbered without a further exchange."""
+    header, table = structure(cells(spark).repartition("doc_id"), whole=True)
+    found = registers.inspection_register(sheets.with_roles(table, header, rules.REGISTER_ROLES), None, "R", True)
+    assert _exchanges(found) == 1
+
+
+def test_large_documents_are_built_apart(spark, tmp_path, monkeypatch):
+    lines = [(d, n, 1 + n % 2, 1, 10.0 * n, 2.0, "R", "F") for d in range(1, 9) for n in range(1, 3 + d)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "blue bolt", "Brand#1", "SMALL", 3, 9.0), (2, "cold ring", "Brand#2", "PROMO", 4, 8.0)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    names = ["header_detect", "table_costing", "inspection_register"]
+    got = {}
+    for most in (65536, 6):
+        monkeypatch.setattr(views, "LARGE_DOCUMENT", most)
+        got[most] = {n: sorted(map(str, QUERIES[n](spark, str(tmp_path)).collect())) for n in names}
+    assert got[65536] == got[6] and all(got[6].values())
