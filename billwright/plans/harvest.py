@@ -34,18 +34,19 @@ def found_products(elements, pages):
         "product_url",
         F.lit(0).cast("decimal(18,4)").alias("price"),
     )
-    placed = F.struct(F.lit(0).alias("part"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
-    found = cards.unionByName(blocks).withColumn("pos", placed).unionByName(declared)
+    # A card and a block may be the same element, so the last number tells them apart.
+    placed = lambda kind: F.struct(F.lit(0).alias("part"), F.col("pos").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(kind).cast("long").alias("c"))
+    found = cards.withColumn("pos", placed(0)).unionByName(blocks.withColumn("pos", placed(1))).unionByName(declared)
     brand = harvest.brand_info(elements).select("page_id", F.col("name").alias("brand"), F.col("url").alias("page_url"))
     joined = found.join(brand, "page_id").withColumn("family", F.col("brand")).withColumn("harvest_id", origin("page_url"))
     return joined.withColumn("pos", F.struct("page_id", "pos.*"))
 
 
-def harvest_sites(pages, stamped_at, tiers=None):
+def harvest_sites(pages, stamped_at, tiers=None, by_address=True):
     """Stored pages to what a harvest delivers per site: products with enriched descriptions, brand records, summary.
 
     Listed products and those of detail pages are made unique, take the better description of their own page where
-    it is stored, and are made unique once more by model and address. The brand of a site is the one its first page names; its
+    it is stored, and are made unique once more by model and address; with ``by_address=False`` a product listed with two images stays twice. The brand of a site is the one its first page names; its
     logo is the best-scored of any page. ``tiers`` (harvest_id, tier) names the tier of a site.
     """
     elements = settle(page_elements(pages), "elements")
@@ -59,7 +60,7 @@ def harvest_sites(pages, stamped_at, tiers=None):
     unique = settle(dedup.unique_products(found, "model_image").withColumn("product_id", F.col("pos")), "unique")
     texts = harvest.page_texts(elements)
     better = settle(harvest.enrich_descriptions(unique, texts, pages, rules.TEXT_LENGTH, rules.META_LENGTH), "enriched")
-    products = dedup.unique_products(better, "model_url").drop("product_id")
+    products = (dedup.unique_products(better, "model_url") if by_address else better).drop("product_id")
     logos = harvest.logo_of(elements, names).join(urls, "page_id")
     best = logos.groupBy("harvest_id").agg(F.max_by("logo", F.struct("score", -F.col("page_id"))).alias("logo"))
     known = brands.join(best, "harvest_id", "left")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from billwright.operators.bloom import bloom_filter, may_hold
 from billwright.sources import brands, catalogs, documents, pages
+from billwright.queries import pages as page_queries
 from billwright.sources.pages import page_elements
 from billwright.sources.responses import parse_responses
 from billwright.operators import harvest
@@ -183,3 +184,20 @@ def test_cut_references_stay_text(spark):
     assert rows["a"]["attrs"] == {"href": "/q?a=1&copy=2&b"} and rows["a"]["text"] == 'A &#65 "'
     assert rows["script"]["text"] == '{"n": "x &amp y"}'
     assert {r["tag"]: r["text"] for r in page_elements(pages).collect()}["title"] == "A & B &x; C&"
+
+
+def test_shop_and_detail_pages_never_share_a_number(spark, tmp_path):
+    keys = [k + shift for shift in (0, 12_000_000_000) for k in range(24)]
+    spark.createDataFrame([(k, "blue bolt", "Brand#1", "SMALL", 3) for k in keys], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    pages = page_queries.site_pages(spark, str(tmp_path)).select("page_id", "url").collect()
+    assert len({r["page_id"] for r in pages}) == len(pages) == len(keys) + 4
+    shops = [r["page_id"] for r in pages if "/product-category/" in r["url"]]
+    assert max(shops) < min(r["page_id"] for r in pages if "/p/" in r["url"])
+
+
+def test_a_product_listed_with_two_images_stays_twice(spark, tmp_path):
+    """A page of few cards lists part 2 as a card and as a block, with another image."""
+    spark.createDataFrame([(k, "blue bolt", "Brand#1", "SMALL", k) for k in (1, 2)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = page_queries.harvest_site_products(spark, str(tmp_path)).collect()
+    images = [r["image_url"].rsplit(".com", 1)[1] for r in rows if r["model"] == "ergonomic chair 2"]
+    assert sorted(images) == ["/big/2.jpg", "/s.jpg"]
