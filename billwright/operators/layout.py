@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from billwright import rules
 from billwright.functions.text import contains_any, count_words
-from billwright.operators.containment import cut
 from billwright.operators.ordering import running_sum
 
 PAGE = ["doc_id", "page"]
@@ -23,61 +22,84 @@ def squeeze(x):
     return F.lower(F.regexp_replace(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")), "[^A-Za-z0-9]", ""))
 
 
-def _line_starts(tolerance):
-    """Per page the lines that each y can join: (y, first item) of at most two lines, whose starts differ by more than the tolerance.
-
-    The rows come page by page in the order of their first items. A strip of tolerance + 1 units holds at most one
-    start, so every row looks at three strips: linear in the distinct y of a page."""
+def _gathered(tolerance, words):
+    """Lines of whole pages. The rows come page by page in their order; pages of any number of rows are put together from the batches."""
+    import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def near(starts, y):
+        # A strip of tolerance + 1 units holds at most one start, so three strips hold all that are near: two at most.
         strips = range((y - tolerance) // (tolerance + 1), (y + tolerance) // (tolerance + 1) + 1)
         return sorted(starts[k] for k in strips if k in starts and abs(starts[k][0] - y) <= tolerance)
 
-    def table(page, kinds, ys, starts):
-        lines = [[{"y": y, "first": first} for y, first in near(starts, y)] for y in ys]
-        line = pa.list_(pa.struct([("y", pa.int32()), ("first", pa.int64())]))
-        return pa.RecordBatch.from_arrays(
-            [*[pa.array([v] * len(ys), t) for v, t in zip(page, kinds, strict=True)], pa.array(ys, pa.int32()), pa.array(lines, line)], names=[*PAGE, "y", "lines"]
-        )
+    def turns(batch):
+        """Where a row begins another page than the row before it."""
+        changes = [pc.not_equal(batch.column(c).slice(1), batch.column(c).slice(0, batch.num_rows - 1)) for c in PAGE]
+        return np.flatnonzero(pc.or_(*changes).to_numpy(zero_copy_only=False)) + 1
 
-    def fold(batches):
-        page, kinds, ys, starts = None, None, [], {}
+    def whole_pages(batches):
+        held, page = [], None
         for batch in batches:
-            kinds = [batch.schema.field(c).type for c in PAGE]
-            for *own, y, first in zip(*[batch.column(c).to_pylist() for c in (*PAGE, "y", "first")], strict=True):
-                if own != page:
-                    if ys:
-                        yield table(page, kinds, ys, starts)
-                    page, ys, starts = own, [], {}
-                ys.append(y)
-                if not near(starts, y):
-                    starts[y // (tolerance + 1)] = (y, first)
-        if ys:
-            yield table(page, kinds, ys, starts)
+            if not batch.num_rows:
+                continue
+            cuts, first = turns(batch), [batch.column(c)[0].as_py() for c in PAGE]
+            cut = int(cuts[-1]) if len(cuts) else 0
+            if held and (cut or first != page):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
+                held = []
+            elif cut:
+                yield batch.slice(0, cut)
+            held.append(batch.slice(cut))
+            page = [batch.column(c)[batch.num_rows - 1].as_py() for c in PAGE]
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def placed(ys):
+        """The line of every item of a page. Only the first item of every distinct y can start one, so the fold runs over those."""
+        kinds, first, kind = np.unique(ys, return_index=True, return_inverse=True)
+        heights, starts = kinds.tolist(), {}
+        for k in np.argsort(first).tolist():
+            if not near(starts, heights[k]):
+                starts[heights[k] // (tolerance + 1)] = (heights[k], int(first[k]))
+        lines = [near(starts, y) for y in heights]
+        low, opened, high = (np.array(v)[kind] for v in ([x[0][0] for x in lines], [x[0][1] for x in lines], [x[-1][0] for x in lines]))
+        return np.where(opened <= np.arange(len(ys)), low, high)
+
+    def fold(batches):
+        for rows in whole_pages(batches):
+            cuts, ys = turns(rows), rows.column("y").to_numpy()
+            page = np.zeros(len(ys), int)
+            page[cuts] = 1
+            line = np.concatenate([placed(part) for part in np.split(ys, cuts)])
+            x = pc.fill_null(rows.column("x").cast(pa.float64()), -np.inf).to_numpy()
+            order = np.lexsort((x, line, np.cumsum(page)))
+            rows, line, page = rows.take(pa.array(order)), line[order], np.cumsum(page)[order]
+            begins = np.flatnonzero(np.r_[True, (line[1:] != line[:-1]) | (page[1:] != page[:-1])])
+            ends = np.r_[begins, len(line)]
+            told = rows.column("str").is_valid().to_numpy(zero_copy_only=False)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(told)][ends], pa.int32()), rows.column("str").drop_null().cast(pa.string())), " ")
+            heads = rows.take(pa.array(begins))
+            out = {**{c: heads.column(c) for c in PAGE}, "y": pa.array(line[begins], pa.int32()), "text": pc.utf8_trim(joined, " ")}
+            if words:
+                out["words"] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows.column("str"))
+            yield pa.RecordBatch.from_pydict(out)
 
     return fold
 
 
-def text_lines(items, tolerance=10):
-    """Text items gathered to lines.
+def text_lines(items, tolerance=10, words=True):
+    """Text items gathered to lines (B20): y, text and, unless they are not asked for, the words from left to right.
 
     Items are taken in their given order. Each joins the lowest-y line whose first item lies within the tolerance,
-    or starts a line; lines may drift into each other. Only the first item of every distinct y can start
-    a line, so the fold in order runs over those, page by page, and the items look their line up.
+    or starts a line; lines may drift into each other. The items travel once, by page, and every page is one fold in order.
     """
     y = F.round("y", 0).cast("int")
-    rounded = items.select(*PAGE, F.col("ord").cast("long").alias("ord"), y.alias("y"), "x", "str")
-    heights = rounded.groupBy(*PAGE, "y").agg(F.min("ord").alias("first"))
-    fields = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in PAGE)
-    starts = heights.repartition(*PAGE).sortWithinPartitions(*PAGE, "first").mapInArrow(
-        _line_starts(tolerance), f"{fields}, y int, lines array<struct<y:int,first:bigint>>"
-    )
-    open_lines = F.filter("lines", lambda line: line["first"] <= F.col("ord"))
-    placed = rounded.join(starts, [*PAGE, "y"]).withColumn("_line", F.array_min(F.transform(open_lines, lambda line: line["y"])))
-    words = placed.groupBy(*PAGE, F.col("_line").alias("y")).agg(F.array_sort(F.collect_list(F.struct("x", "ord", "str"))).alias("words"))
-    text = F.trim(F.array_join(F.transform("words", lambda w: w["str"]), " "))
-    return words.withColumn("text", text).where("text <> ''").select(*PAGE, "y", "text", "words")
+    rounded = items.select(*PAGE, F.col("ord").cast("long").alias("ord"), y.alias("y"), "x", "str").dropna(subset=[*PAGE, "y"])
+    kind = lambda c: items.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"{c} {kind(c)}" for c in PAGE], "y int", "text string", *(["words array<string>"] if words else [])])
+    in_order = rounded.repartition(*PAGE).sortWithinPartitions(*PAGE, "ord", "str", "y")
+    return in_order.mapInArrow(_gathered(tolerance, words), schema).where("text <> ''")
 
 
 def header_by_votes(items, reach=15, words=rules.PAGE_HEADER_WORDS):
@@ -176,24 +198,51 @@ def pair_by_rank(rows, images):
     )
 
 
+def _found_on_pages(batches):
+    """y of the first text of the page in which each search of its rows ends; rows of one number share the first that any of them finds."""
+    import pyarrow as pa
+
+    for batch in batches:
+        kept, numbers, places = [], [], ([], [])
+        ys = batch.column("_ys")
+        texts, rows, offsets = batch.column("_page").to_pylist(), batch.column("_asked").to_pylist(), ys.offsets.to_pylist()
+        for i, (text, asked) in enumerate(zip(texts, rows, strict=True)):
+            least = {}
+            for row in asked:
+                best = least.setdefault(row["row_idx"], [None, None])
+                for k, sought in enumerate((row["_sn"], row["_start"])):
+                    at = -1 if sought is None else text.find(sought)
+                    if at >= 0 and (best[k] is None or at < best[k]):
+                        best[k] = at
+            for number, best in least.items():
+                kept.append(i)
+                numbers.append(number)
+                for place, at in zip(places, best, strict=True):
+                    place.append(None if at is None else offsets[i] + text.count("\n", 0, at + 1) - 1)
+        pages = batch.take(pa.array(kept, pa.int64()))
+        row_idx = pa.array(numbers, batch.schema.field("_asked").type.value_type.field("row_idx").type)
+        found = [ys.values.take(pa.array(place, pa.int64())) for place in places]
+        yield pa.RecordBatch.from_arrays([*[pages.column(c) for c in PAGE], row_idx, *found], [*PAGE, "row_idx", "sn_y", "text_y"])
+
+
 def row_anchors(rows, items, prefix=10, stem=20):
     """anchor_y of the text that belongs to a row, and sn_y of its number alone: exact serial number, else the start of the description inside a text.
 
-    A text holds a start when it equals one of its pieces of that length, so both lookups are one equality
-    join; texts are cut only to the lengths that occur on their page.
+    The texts of a page become one, in order, each on a line of its own, so a row asks with two plain searches for the first text
+    that equals its number or holds its start: linear in the page for each of its rows, however long a text is.
     """
     start = F.substring(squeeze(F.substring(F.coalesce("description", F.lit("")), 1, stem)), 1, prefix)
     wanted = rows.select(*PAGE, "row_idx", squeeze("sn").alias("_sn"), start.alias("_start"))
-    wanted = wanted.withColumn("_start", F.when(F.length("_start") > 3, F.col("_start")))
-    sizes = wanted.groupBy(*PAGE).agg(F.sort_array(F.collect_set(F.length("_start"))).alias("_lengths"))
-    looked = F.array(F.struct(F.lit(0).alias("kind"), F.col("_sn").alias("k")), F.struct(F.lit(1).alias("kind"), F.col("_start").alias("k")))
-    targets = wanted.select(*PAGE, "row_idx", F.explode(looked).alias("t")).select(*PAGE, "row_idx", "t.*").where("k <> ''")
-    keyed = items.select(*PAGE, squeeze("str").alias("_k"), "ord", "y").where("_k <> ''").join(sizes, PAGE)
-    whole = F.array(F.struct(F.lit(0).alias("kind"), F.col("_k").alias("k")))
-    pieces = F.transform(cut("_k", "_lengths"), lambda k: F.struct(F.lit(1).alias("kind"), k.alias("k")))
-    texts = keyed.select(*PAGE, "ord", "y", F.explode(F.concat(whole, pieces)).alias("t")).select(*PAGE, "t.*", "ord", "y")
-    first = lambda kind: F.min_by("y", F.when(F.col("kind") == kind, F.col("ord")))
-    found = targets.join(texts, [*PAGE, "kind", "k"]).groupBy(*PAGE, "row_idx").agg(first(0).alias("sn_y"), first(1).alias("text_y"))
+    wanted = wanted.select(*PAGE, "row_idx", F.when(F.col("_sn") != "", F.concat(F.lit("\n"), "_sn", F.lit("\n"))).alias("_sn"), F.when(F.length("_start") > 3, F.col("_start")).alias("_start"))
+    keyed = items.where(F.col("str").rlike("[A-Za-z0-9]") & F.col("ord").isNotNull()).select(*PAGE, F.struct("ord", "y", squeeze("str").alias("k")).alias("_t"))
+    pages = keyed.groupBy(*PAGE).agg(F.array_sort(F.collect_list("_t")).alias("_t")).select(
+        *PAGE, F.concat(F.lit("\n"), F.array_join("_t.k", "\n"), F.lit("\n")).alias("_page"), F.col("_t.y").alias("_ys")
+    )
+
+    asked = wanted.where("_sn is not null or _start is not null").groupBy(*PAGE).agg(F.collect_list(F.struct("row_idx", "_sn", "_start")).alias("_asked"))
+    kind = lambda frame, c: frame.schema[c].dataType.simpleString()
+    schema = ", ".join([*[f"{c} {kind(rows, c)}" for c in (*PAGE, "row_idx")], *[f"{c} {kind(items, 'y')}" for c in ("sn_y", "text_y")]])
+    found = asked.join(pages, PAGE).mapInArrow(_found_on_pages, schema)
     return rows.join(found, [*PAGE, "row_idx"], "left").withColumn("anchor_y", F.coalesce("sn_y", "text_y")).drop("text_y")
 
 
@@ -272,9 +321,9 @@ def nearest_anchor(images, anchors, reach=120):
 
 def image_by_line(rows, lines, images, reach=40):
     """Row image near the line that carries its number; else the given reference, else the index."""
-    keyed = lines.select(*PAGE, F.col("y").alias("line_y"), F.explode("words").alias("w")).select(
-        *PAGE, "line_y", squeeze("w.str").alias("_k")
-    ).where("_k <> ''")
+    texts = lines.select(*PAGE, F.col("y").alias("line_y"), F.explode("words").alias("str")).where(F.col("str").rlike("[A-Za-z0-9]"))
+    # Of equal texts of a page only the last line can count, so most words stay behind before the exchange.
+    keyed = texts.groupBy(*PAGE, squeeze("str").alias("_k")).agg(F.max("line_y").alias("line_y"))
     target = rows.select(*PAGE, "row_idx", squeeze("sn").alias("_sn")).where("_sn <> ''")
     starts = target.withColumn(
         "_k", F.explode(F.transform(F.sequence(F.lit(1), F.length("_sn")), lambda n: F.col("_sn").substr(F.lit(1), n)))

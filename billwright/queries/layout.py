@@ -66,7 +66,7 @@ clusters AS (SELECT doc_id, page, CAST(line AS INTEGER) AS y, trim(string_agg(st
 
 @query("line_clusters", f"WITH {CLUSTERS_SQL} SELECT doc_id, page, y, text FROM clusters")
 def line_clusters(spark, sf):
-    return layout.text_lines(text_items(spark, sf)).select("doc_id", "page", "y", "text")
+    return layout.text_lines(text_items(spark, sf), words=False).select("doc_id", "page", "y", "text")
 
 
 def _hits(words):
@@ -96,7 +96,7 @@ def header_by_item(spark, sf):
     f"""WITH {CLUSTERS_SQL} SELECT doc_id, page, coalesce(min(CASE WHEN {' OR '.join(f"contains(lower(text), '{w}')" for w in rules.PAGE_LINE_WORDS)} THEN y END), 9999) AS header_y FROM clusters GROUP BY doc_id, page""",
 )
 def header_by_line(spark, sf):
-    return layout.header_by_line(layout.text_lines(text_items(spark, sf)))
+    return layout.header_by_line(layout.text_lines(text_items(spark, sf), words=False))
 
 
 ANCHORS_SQL = f"""{ITEMS_SQL}, anchors AS (SELECT doc_id, page, ord, CAST(CAST(regexp_extract(str, '^\\s*([0-9]+)[.\\s-]*$', 1) AS BIGINT) AS VARCHAR) AS sn, y + h / 2.0 AS y, y AS top FROM items

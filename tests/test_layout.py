@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -65,6 +66,26 @@ def test_image_by_line(spark):
     assert got == {0: 1, 1: 0, 2: 2}
 
 
+def test_lines_travel_once_by_page(spark):
+    """The items of a page are exchanged once and meet no other frame on the way to their lines."""
+    items = spark.range(3000).selectExpr("id % 3 doc_id", "1 page", "id ord", "concat('w', id) str", "id % 90 x", "id % 400 y")
+    lines = layout.text_lines(items)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    assert sorted(r["doc_id"] for r in lines.select("doc_id").distinct().collect()) == [0, 1, 2]
+
+
+def test_anchor_of_a_very_long_text(spark):
+    """A text of 400,000 letters is searched, not cut into pieces: cut, this took minutes."""
+    long = "".join(random.Random(1).choices("abcdefghij", k=400_000))
+    items = spark.createDataFrame([("d", 1, 0, "7.", 10, 20), ("d", 1, 1, long, 10, 40), ("d", 1, 2, "The last-one here", 10, 60)], "doc_id string, page int, ord int, str string, x int, y int")
+    rows = spark.createDataFrame([("d", 1, 0, "7", None), ("d", 1, 1, "8", long[-20:]), ("d", 1, 2, None, "last one"), ("d", 1, 3, "9", "nowhere"), ("d", 2, 0, "7", "x")], "doc_id string, page int, row_idx int, sn string, description string")
+    start = time.time()
+    got = {(r["page"], r["row_idx"]): (r["sn_y"], r["anchor_y"]) for r in layout.row_anchors(rows, items).collect()}
+    assert time.time() - start < 60
+    assert got == {(1, 0): (20, 20), (1, 1): (None, 40), (1, 2): (None, 60), (1, 3): (None, None), (2, 0): (None, None)}
+
+
 def test_baseline_counts(spark):
     contours = spark.createDataFrame([("p", 1, 10, 30, 900.0, 4), ("p", 2, 30, 15, 900.0, 4), ("p", 3, 60, 10, 900.0, 3), ("p", 4, 9, 9, 50.0, 4)], "plan_id string, id int, w int, h int, area double, sides int")
     labels = spark.createDataFrame([("p", "Meeting room", 0.9), ("p", "2.4m", 0.8), ("p", "xyz", 0.1)], "plan_id string, text string, confidence double")
