@@ -58,7 +58,8 @@ def fuzzy_model_match(spark, sf):
 
 def _candidates(spark, sf):
     """Candidate brands of each line: its own brand and two others, one unknown."""
-    lines = V.numbered_boq(spark, sf, ("p_brand", "p_brand"), ("p_partkey", "p_partkey"), ("l_linestatus", "l_linestatus"))
+    extra = [("p_brand", "p_brand"), ("p_partkey", "p_partkey"), ("l_linestatus", "l_linestatus")]
+    lines = V.by_document_size(spark, sf, lambda lines, whole: V.numbered_boq(spark, sf, *extra, lines=lines, whole=whole))
     tier = F.when(F.col("l_linestatus") == "F", "mid").otherwise("high")
     other = F.concat(F.lit("Brand#"), (F.col("p_partkey") % 25 + 1).cast("string"))
     options = F.array(
@@ -130,7 +131,7 @@ def _flow(spark, sf):
     """Identification names the description itself for most brands; discoveries exist for a few."""
     candidates = _candidates(spark, sf)
     brands, products = V.brands(spark, sf), V.catalog(spark, sf)
-    names = candidates.select("candidate_brand", "description").distinct()
+    names = settle(candidates.select("candidate_brand", "description").distinct(), "names")
     length = F.length("description")
     ident = names.select(
         "candidate_brand", "description",

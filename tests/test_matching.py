@@ -148,3 +148,25 @@ def test_snap_takes_highest_price(spark):
     wanted = spark.createDataFrame([("A", "sky chair"), ("A", "zzz"), ("A", "")], "brand_id string, model string")
     got = {r["model"]: r["snap_pos"] for r in matching.snap_to_catalog(wanted, products).collect()}
     assert got == {"sky chair": 1, "zzz": 2, "": 3}
+
+
+def test_candidates_of_a_name_are_asked_once(spark, monkeypatch):
+    """However many lines name a brand and a model, the matcher sees the name once; the first candidate that finds something wins."""
+    from billwright.operators import matching
+    from billwright.plans.auto_match import auto_match
+
+    asked = []
+    match = matching.match_models
+    monkeypatch.setattr(matching, "match_models", lambda targets, products: asked.append(targets.count()) or match(targets, products))
+    lines = [("d", sn, tier, "chair" if sn < 40 else "sofa", sn, 1, brand, order) for sn in range(50) for tier in ("mid", "high") for order, brand in enumerate(("Nobody", "Acme", "New"))]
+    candidates = spark.createDataFrame(lines, "doc_id string, sn int, tier string, description string, qty int, rate int, candidate_brand string, candidate_order int")
+    identified = candidates.selectExpr("candidate_brand", "description", "'success' status", "'' brand", "description model", "'' main_category").distinct()
+    brands = spark.createDataFrame([("a", "acme", "mid", 1, None)], "brand_id string, name string, tier string, brand_order int, logo string")
+    products = spark.createDataFrame([("a", 0, "Chair", "Seating", "", "", "d", 5)], "brand_id string, pos int, model string, main_category string, sub_category string, family string, description string, price int")
+    found = spark.createDataFrame([("new", "chair", "", "http://x/y.jpg", "3", "made")], "brand string, model string, main_category string, image_url string, price string, description string")
+    got = {(r["sn"], r["tier"]): (r["status"], r["source"], r["brand"], r["qty"]) for r in auto_match(candidates, identified, brands, products, found).collect()}
+    assert asked == [10]
+    assert len(got) == 100
+    for sn in range(50):
+        own = ("success", "local-database", "Acme", sn), ("success", "ai-discovery-hardened", "New", sn)
+        assert (got[sn, "mid"], got[sn, "high"]) == (own if sn < 40 else (("no_match", None, None, sn),) * 2)
