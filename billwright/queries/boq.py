@@ -381,9 +381,10 @@ files AS (SELECT doc_id, count(DISTINCT file) AS n FROM plan GROUP BY doc_id),
 tagged AS (SELECT p.*, CASE WHEN n > 1 THEN location || ' (' || file || ')' ELSE location END AS room FROM plan p JOIN files USING (doc_id))""")
 
 
-def _plan(spark, sf):
-    rows = V.numbered_boq(spark, sf, *PLAN).select(
-        "doc_id", "sn", "file", F.col("raw_location").alias("location"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("code"),
+def _plan(spark, sf, numbered=True):
+    lines = V.numbered_boq(spark, sf, *PLAN) if numbered else V.boq(spark, sf, *PLAN)
+    rows = lines.select(
+        "doc_id", *(["sn"] if numbered else []), "file", F.col("raw_location").alias("location"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("code"),
         F.col("raw_text").alias("description"), F.col("raw_qty").alias("qty"), "unit",
     )
     return plan_items.union_plans(plan_items.default_plan_items(rows))
@@ -405,7 +406,7 @@ def plan_rows(spark, sf):
 SELECT doc_id, CAST(count(*) AS BIGINT) AS item_count, CAST(count(DISTINCT room) AS BIGINT) AS room_count, CAST(sum(qty) AS DOUBLE) AS total_qty FROM tagged GROUP BY doc_id""",
 )
 def plan_totals(spark, sf):
-    return plan_items.plan_totals(_plan(spark, sf))
+    return plan_items.plan_totals(_plan(spark, sf, numbered=False))
 
 
 @query(

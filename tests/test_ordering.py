@@ -59,3 +59,12 @@ def test_sessions_cut_by_day(spark):
     cut = session_gaps(events).select("event_id", "session_no").collect()
     assert sorted(plain) == sorted(cut)
     assert max(r["session_no"] for r in plain) > 3
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not present")
+def test_totals_number_no_lines(spark):
+    """Totals need no line numbers: no offsets of blocks are written and joined for them."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["plan_totals"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nb_block" not in plan and "_offset" not in plan
