@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from billwright import rules
 from billwright.operators.hardening import name_key, new_products
 from billwright.operators.ordering import with_edges
-from billwright.streaming.state import ExpiringSessions, FirstDiscovery, use_state_store
+from billwright.streaming.state import HELD, ExpiringSessions, FirstDiscovery, use_state_store
 
 _MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
@@ -89,10 +89,10 @@ def latest_tasks(events):
     return events.groupBy("task_id").agg(F.max_by(row, order).alias("s")).select("task_id", "s.*")
 
 
-def expiring_sessions(events, gap_seconds=7200, delay=rules.SESSION_GAP):
+def expiring_sessions(events, gap_seconds=7200, delay=rules.SESSION_GAP, held=HELD):
     """What to delete, one row per expired session and file or blob, sent as soon as the watermark passes the expiry.
 
-    The keyed state holds the files and blobs of open sessions, so nothing is read again. Events behind the watermark belong to
+    The keyed state holds the files and blobs of open sessions, so nothing is read again; ``held``: as many stay with the spans of an id. Events behind the watermark belong to
     no session; they come out as rows of their own with ``late`` set, to be counted or kept. Null session ids are an id like others.
     """
     use_state_store(events.sparkSession)
@@ -100,7 +100,7 @@ def expiring_sessions(events, gap_seconds=7200, delay=rules.SESSION_GAP):
     rows = events.withWatermark("ts", delay).select("session_id", F.unix_micros("ts").alias("us"), "kind", "ref")
     kind = rows.schema["session_id"].dataType.simpleString()
     found = rows.groupBy("session_id").transformWithState(
-        ExpiringSessions(gap_seconds), f"session_id {kind}, first long, last long, events long, kind string, ref string, late boolean", "append", "eventTime"
+        ExpiringSessions(gap_seconds, held), f"session_id {kind}, first long, last long, events long, kind string, ref string, late boolean", "append", "eventTime"
     )
     return found.select(
         "session_id", F.timestamp_micros("first").alias("first_ts"), F.timestamp_micros("last").alias("last_ts"),

@@ -2,13 +2,14 @@
 
 import json
 import math
+from bisect import bisect_right
 from itertools import islice
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor
 
-#: Entries of one session that a single call keeps in memory before they go to the state store.
-HELD = 50_000
+#: Files and blobs of an id's open sessions that stay with its spans; what is more goes to entries of their own. Entries read at once.
+HELD, PIECE = 4_000, 50_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -20,13 +21,14 @@ def use_state_store(spark):
 class ExpiringSessions(StatefulProcessor):
     """Open sessions of one id; a session leaves with all its files and blobs once the watermark passes its last use plus the gap.
 
-    State: the spans of the open sessions (few: events more than a gap apart within the watermark delay), and
-    one map entry per distinct file or blob. A busy session grows on disk only; no call reads all its entries into memory.
+    State: one value with the spans of the open sessions in time order and, up to HELD in all, their distinct files and blobs, so an
+    id costs one read and one write per micro-batch whatever its events. What is more goes to a map, one entry per session part
+    and file or blob: a busy session grows on disk only, and no call reads all its entries into memory.
     Late events pass through as rows marked late. Input rows: session_id, us (event time in microseconds), kind, ref.
     """
 
-    def __init__(self, gap_seconds):
-        self.gap = gap_seconds * 1_000_000
+    def __init__(self, gap_seconds, held=HELD):
+        self.gap, self.most = gap_seconds * 1_000_000, held
 
     def init(self, handle):
         self.handle = handle
@@ -34,73 +36,106 @@ class ExpiringSessions(StatefulProcessor):
         self.refs = handle.getMapState("refs", "part long, kind string, ref string", "seen boolean")
 
     def handleInputRows(self, key, rows, timerValues):
-        state = json.loads(self.spans.get()[0]) if self.spans.exists() else {"next": 0, "open": []}
-        spans, new = state["open"], set()
+        state = self._state()
+        spans = state["open"]
+        firsts, held = [s["first"] for s in spans], sum(len(s["held"]) for s in spans)
         behind = timerValues.getCurrentWatermarkInMs() * 1000
         for row in rows:
             if row.us <= behind:
                 yield Row(session_id=key[0], first=row.us, last=row.us, events=1, kind=row.kind, ref=row.ref, late=True)
                 continue
-            span = self._span_of(spans, row.us, state)
-            entry = (span["parts"][0], row.kind, row.ref)
-            if entry not in new:
-                new.add(entry)
-                self.refs.updateValue(entry, (True,))
-                if len(new) > HELD:
-                    new.clear()
+            span, more = self._span_of(spans, firsts, row.us), (row.kind, row.ref)
+            if more not in span["held"]:
+                span["held"].add(more)
+                held += 1
+                if held > self.most:
+                    for other in spans:
+                        self._spill(state, other)
+                    held = 0
         self._keep(state)
 
-    def _span_of(self, spans, us, state):
+    def _state(self):
+        """Spans in time order, more than the gap apart: first, last, events, held (pairs of kind and ref), parts (numbers in the map)."""
+        found = self.spans.get()
+        state = json.loads(found[0]) if found else {"next": 0, "timer": None, "open": []}
+        for span in state["open"]:
+            span["held"] = set(map(tuple, span["held"]))
+        return state
+
+    def _span_of(self, spans, firsts, us):
         """The open session of an event; an event between two sessions joins them."""
-        near = [s for s in spans if s["first"] - self.gap <= us <= s["last"] + self.gap]
-        if not near:
-            near = [{"first": us, "last": us, "events": 0, "parts": [state["next"]]}]
-            state["next"] += 1
-            spans.append(near[0])
+        end = bisect_right(firsts, us + self.gap)
+        start = end
+        while start and spans[start - 1]["last"] + self.gap >= us:
+            start -= 1
+        near = spans[start:end] or [{"first": us, "last": us, "events": 0, "held": set(), "parts": []}]
         span = near[0]
         for other in near[1:]:
-            span["first"], span["last"] = min(span["first"], other["first"]), max(span["last"], other["last"])
+            span["last"] = max(span["last"], other["last"])
             span["events"] += other["events"]
+            span["held"] |= other["held"]
             span["parts"] += other["parts"]
-            spans.remove(other)
         span["first"], span["last"] = min(span["first"], us), max(span["last"], us)
         span["events"] += 1
+        spans[start:end], firsts[start:end] = [span], [span["first"]]
         return span
 
+    def _spill(self, state, span):
+        """Moves the held files and blobs of a session to the map."""
+        if span["held"] and not span["parts"]:
+            span["parts"].append(state["next"])
+            state["next"] += 1
+        for entry in span["held"]:
+            self.refs.updateValue((span["parts"][0], *entry), (True,))
+        span["held"] = set()
+
     def _keep(self, state):
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if not state["open"]:
+        due = min((self._expiry(s) for s in state["open"]), default=None)
+        if due != state["timer"]:
+            if state["timer"] is not None:
+                self.handle.deleteTimer(state["timer"])
+            if due is not None:
+                self.handle.registerTimer(due)
+        if due is None:
             self.spans.clear()
             return
-        self.spans.update((json.dumps(state),))
-        self.handle.registerTimer(min(self._expiry(s) for s in state["open"]))
+        kept = [{**s, "held": list(s["held"])} for s in state["open"]]
+        self.spans.update((json.dumps({**state, "timer": due, "open": kept}),))
 
     def _expiry(self, span):
         return math.ceil((span["last"] + self.gap) / 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        state = json.loads(self.spans.get()[0])
+        state = self._state()
         now = timerValues.getCurrentWatermarkInMs()
         over = [s for s in state["open"] if self._expiry(s) <= now]
+        part_of = {}
         for span in over:
-            for i, part in enumerate(span["parts"]):
-                for entry in self._drained(part):
-                    # joined sessions may hold one file twice: the later part sends it
-                    if not any(self.refs.containsKey((later, *entry[1:])) for later in span["parts"][i + 1 :]):
-                        yield Row(session_id=key[0], first=span["first"], last=span["last"], events=span["events"], kind=entry[1], ref=entry[2], late=False)
-        state["open"] = [s for s in state["open"] if s not in over]
+            if span["parts"]:
+                self._spill(state, span)
+                part_of |= dict.fromkeys(span["parts"], span)
+            for entry in span["held"]:
+                yield self._row(key, span, *entry)
+        for part, kind, ref in self._drained(part_of):
+            span = part_of[part]
+            # joined sessions may hold one file twice: the part that leaves last sends it
+            if not any(self.refs.containsKey((other, kind, ref)) for other in span["parts"] if other != part):
+                yield self._row(key, span, kind, ref)
+        state["open"] = [s for s in state["open"] if self._expiry(s) > now]
         self._keep(state)
 
-    def _drained(self, part):
-        """The entries of a part, removed from the state in bounded pieces."""
-        while True:
-            piece = list(islice((entry for entry in self.refs.keys() if entry[0] == part), HELD))
-            yield from piece
+    def _row(self, key, span, kind, ref):
+        return Row(session_id=key[0], first=span["first"], last=span["last"], events=span["events"], kind=kind, ref=ref, late=False)
+
+    def _drained(self, parts):
+        """The entries of these parts, each removed from the state before it is given, read in bounded pieces."""
+        more = bool(parts)
+        while more:
+            piece = list(islice((entry for entry in self.refs.keys() if entry[0] in parts), PIECE))
             for entry in piece:
                 self.refs.removeKey(entry)
-            if len(piece) < HELD:
-                return
+                yield entry
+            more = len(piece) == PIECE
 
 
 class FirstDiscovery(StatefulProcessor):

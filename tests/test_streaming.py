@@ -2,9 +2,11 @@ import random
 import tempfile
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from billwright.streaming import jobs
+from billwright.streaming.state import ExpiringSessions
 
 EVENTS = [
     ("s1", "2024-01-01 00:00:00", 1, "file", "a"), ("s1", "2024-01-01 02:00:00", 2, "file", "a"), ("s1", "2024-01-01 04:00:01", 3, "blob", "b"),
@@ -85,6 +87,104 @@ def test_eager_expiry_equals_batch(spark, partitions):
     assert got == want and len({x[:2] for x in got}) > 20
 
 
+class _State:
+    """Stands in for the state of one id and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.entries, self.timers = 0, None, {}, set()
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, *schemas):
+        return self
+
+    def __getattribute__(self, name):
+        if not name.startswith(("_", "calls", "value", "entries", "timers", "get")) or name == "get":
+            self.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def updateValue(self, key, value):
+        self.entries[key] = value
+
+    def containsKey(self, key):
+        return key in self.entries
+
+    def removeKey(self, key):
+        del self.entries[key]
+
+    def keys(self):
+        return iter(list(self.entries))
+
+    def listTimers(self):
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _expired(processor, batches):
+    """What the sessions of one id give when each batch of (second, ref) arrives at watermark 0 and all expire at the end, and the state."""
+    state = _State()
+    processor.init(state)
+    for batch in batches:
+        assert not list(processor.handleInputRows(("s",), iter([Row(us=1 + s * 1_000_000, kind="file", ref=x) for s, x in batch]), _At(0)))
+    out = []
+    while state.timers:
+        at = min(state.timers)
+        out += processor.handleExpiredTimer(("s",), _At(10**12), None)
+        state.timers.discard(at)
+    assert state.value is None and not state.entries
+    return sorted((x.first, x.last, x.events, x.ref) for x in out), state.calls
+
+
+def test_calls_on_the_state_do_not_grow_with_the_events():
+    """A session of many files, and many sessions, cost an id a fixed number of calls."""
+    for step in (10, 8000):
+        few, many = (_expired(ExpiringSessions(7200), [[(1 + i * step, f"r{i}") for i in range(n)]]) for n in (10, 1000))
+        assert len(few[0]) == 10 and len(many[0]) == 1000
+        assert many[1] == few[1] < 20
+
+
+@pytest.mark.parametrize("held", [0, 3, 4000])
+def test_sessions_are_the_same_however_much_is_held(held):
+    """Out of order, with sessions that a later event joins, over several micro-batches."""
+    r = random.Random(held)
+    rows = [(1 + r.randrange(400) * 40, f"r{r.randrange(9)}") for _ in range(300)]
+    got, _ = _expired(ExpiringSessions(60, held), [rows[i : i + 70] for i in range(0, 300, 70)])
+    want, sessions = [], []
+    for s, x in sorted(rows):
+        if not sessions or s - sessions[-1][-1][0] > 60:
+            sessions.append([])
+        sessions[-1].append((s, x))
+    for own in sessions:
+        want += [(1 + own[0][0] * 1_000_000, 1 + own[-1][0] * 1_000_000, len(own), x) for x in {x for _, x in own}]
+    assert got == sorted(want) and len(sessions) > 20
+
+
 def test_late_rows_come_out_on_their_own(spark):
     rows = [("a", "2024-01-01 00:00:00"), ("b", "2024-01-02 00:00:00"), ("a", "2024-01-01 00:30:00"), ("c", "2024-01-01 05:00:00"), ("d", "2024-01-03 00:00:00")]
     frame = spark.createDataFrame([(s, t, i, "file", "x") for i, (s, t) in enumerate(rows)], "session_id string, t string, event_id long, kind string, ref string").select("session_id", F.col("t").cast("timestamp").alias("ts"), "event_id", "kind", "ref")
