@@ -59,6 +59,11 @@ def parts(spark, sf):
     return table(spark, sf, "part").withColumn("fname", F.expr(FURNISH))
 
 
+def dealt_parts(spark, sf):
+    """Parts dealt to as many tasks as a shuffle has. A million of them lie in one or two row groups, and what is made of them would be parsed in as few tasks."""
+    return parts(spark, sf).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+
+
 def on_parts(expr):
     """Shared expression over ``parts``."""
     return F.expr(expr.replace(FURNISH, "fname"))

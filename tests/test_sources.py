@@ -1,6 +1,8 @@
 import json
+import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from billwright.operators.bloom import bloom_filter, may_hold
@@ -201,3 +203,17 @@ def test_a_product_listed_with_two_images_stays_twice(spark, tmp_path):
     rows = page_queries.harvest_site_products(spark, str(tmp_path)).collect()
     images = [r["image_url"].rsplit(".com", 1)[1] for r in rows if r["model"] == "ergonomic chair 2"]
     assert sorted(images) == ["/big/2.jpg", "/s.jpg"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables not present")
+def test_pages_of_a_small_file_are_parsed_in_many_tasks(spark):
+    """The parts lie in one row group, which one task would read."""
+    from billwright.queries.pages import product_pages, site_pages
+
+    sf = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{sf}/part.parquet")
+    assert parts.rdd.getNumPartitions() == 1
+    for pages in (product_pages(spark, sf), site_pages(spark, sf).where("html like '%<h1>%'")):
+        elements = page_elements(pages).where("tag = 'h1'")
+        tasks = [r["n"] for r in elements.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(tasks) >= 4 and sum(tasks) == parts.count() and max(tasks) < 0.5 * parts.count()
