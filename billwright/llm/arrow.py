@@ -4,6 +4,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, about.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark):
+    """From now on batches of this session are cut by bytes too. By rows alone (10,000) a batch of texts takes many times that, in the JVM and in each worker, which keeps it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def replaced(batch, **columns):
     """The batch with these columns exchanged; each keeps its place and type."""
     arrays = list(batch.columns)

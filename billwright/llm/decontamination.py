@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from billwright.llm.arrow import packed, replaced, unpacked
+from billwright.llm.arrow import bounded_batches, packed, replaced, unpacked
 
 WINDOW = 10
 #: Windows of one broadcast block; larger benchmarks are scanned block after block.
@@ -96,6 +96,7 @@ def blocks(benchmark, id_col="item_id", text_col="text", window=WINDOW, block_wi
 def scan(docs, benchmark, text_col="text", window=WINDOW, block_windows=BLOCK_WINDOWS, item_id="item_id", item_text="text"):
     """docs with n_words, n_hit, hit_items (ids as text) and hit_bits (packed mask over the words); docs has none of these."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     added = ["n_words", "n_hit", "hit_items", "hit_bits"]
     out = docs.withColumns({
         "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"),

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from billwright.llm.arrow import pieces
+from billwright.llm.arrow import bounded_batches, pieces
 from billwright.llm.decontamination import words
 from billwright.llm.jaccard import mix
 
@@ -137,6 +137,7 @@ def train(sample, label_col, features, bits=BITS, shard_rows=SHARD_ROWS, **optio
             weights = fit([texts[i] for i in order], [labels[i] for i in order], 1 << bits, **options)
             yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
 
+    bounded_batches(sample.sparkSession)
     shards = max(1, math.ceil(sample.count() / shard_rows))
     parts = sample.repartition(shards, F.xxhash64("doc_id", F.lit(7))).mapInArrow(shard, "n long, weights binary").collect()
     total = sum(p["n"] for p in parts)
@@ -148,6 +149,7 @@ def train(sample, label_col, features, bits=BITS, shard_rows=SHARD_ROWS, **optio
 
 def score(docs, weights, features, text_col="text", out="score"):
     """All columns of docs and the probability of label 1."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def rate(batches):

@@ -31,11 +31,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from billwright.llm.arrow import packed, pieces, unpacked
+from billwright.llm.arrow import bounded_batches, packed, pieces, unpacked
 from billwright.llm.components import components
 from billwright.operators.settle import settle
 
@@ -166,6 +167,7 @@ def document_sets(docs, id_col="doc_id", text_col="text"):
             sets = shingle_sets(batch.column(text_col).to_pylist())
             yield _tables(schema, [batch.column(id_col).to_pylist(), [len(s) for s in sets], [node_of(s) if len(s) else None for s in sets], [thin_bands(s) for s in sets]])
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(count, "doc_id long, n_shingles long, node long, thin long")
 
 
@@ -220,25 +222,32 @@ def shared_signatures(docs, shingles, text_col="text"):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tag", pa.int8()), ("sig", pa.int64()), ("g", pa.int32())])
 
     def meet(table):
-        node, size, tag, key = [], [], [], []
-        for row in table.to_pylist():
-            counts = np.frombuffer(row["counts"], dtype=np.uint32)
-            node.append(np.repeat(np.frombuffer(row["nodes"], dtype=np.int64), counts))
-            size.append(np.repeat(np.frombuffer(row["sizes"], dtype=np.int32), counts))
-            tag.append(np.frombuffer(row["tags"], dtype=np.int8))
-            low = np.zeros((len(tag[-1]), 8), dtype=np.uint8)
-            low[:, :5] = np.frombuffer(row["keys"], dtype=np.uint8).reshape(-1, 5)
-            key.append(low.view(np.int64).ravel() + (row["part"] << 40))
-        node, size, tag, key = map(np.concatenate, (node, size, tag, key))
+        """Each signature takes 21 bytes here; nothing is held twice but what is being sorted."""
+        blob = lambda name, i, kind: np.frombuffer(table.column(name)[i].as_buffer(), dtype=kind)
+        rows = pc.sum(pc.binary_length(table.column("tags"))).as_py()
+        node, size, tag, key = np.empty(rows, np.int64), np.empty(rows, np.int32), np.empty(rows, np.int8), np.zeros(rows, np.int64)
+        low, at = key.view(np.uint8).reshape(-1, 8), 0
+        for i, part in enumerate(table.column("part").to_pylist()):
+            counts = blob("counts", i, np.uint32)
+            end = at + int(counts.sum())
+            node[at:end] = np.repeat(blob("nodes", i, np.int64), counts)
+            size[at:end] = np.repeat(blob("sizes", i, np.int32), counts)
+            tag[at:end] = blob("tags", i, np.int8)
+            low[at:end, :5] = blob("keys", i, np.uint8).reshape(-1, 5)
+            key[at:end] += part << 40
+            at = end
+        del low
         order = np.lexsort((node, key))
-        node, size, tag, key = node[order], size[order], tag[order], key[order]
+        key = key[order]
+        node = node[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        node, size, tag, key = node[fresh], size[fresh], tag[fresh], key[fresh]
+        key, node, order = key[fresh], node[fresh], order[fresh]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         g = np.diff(np.concatenate([starts, [len(key)]]))
         g = np.repeat(g, g)
         keep = g > 1
-        return pa.Table.from_arrays([pa.array(c[keep], f.type) for c, f in zip((node, size, tag, key, g), schema, strict=True)], schema=schema)
+        order = order[keep]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((node[keep], size[order], tag[order], key[keep], g[keep]), schema, strict=True)], schema=schema)
 
     blobs = _signature_blobs(docs, text_col, bits)
     return blobs.groupBy("part").applyInArrow(meet, "node long, n int, tag tinyint, sig long, g int")

@@ -253,3 +253,24 @@ def test_boundary_rules():
     assert tokens.attribute(ends, starts, 9, "first")[0].tolist() == [2, 0, 1]
     assert tokens.attribute(ends, starts, 9, "last")[0].tolist() == [1, 0, 2]
     assert tokens.attribute(ends, starts, 9, "majority")[0].tolist() == [2, 0, 1]
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    """Two thousand texts of 20 kB would travel to a worker as one batch of 40 MB."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from billwright.llm import decontamination, ftrl, jaccard
+
+    docs = spark.range(2000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string")), 2500).alias("text"))
+    benchmark = spark.createDataFrame([("1", "none of it")], "item_id string, text string")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    for step in (lambda: decontamination.scan(docs, benchmark), lambda: jaccard.document_sets(docs), lambda: ftrl.score(docs, [0.0], ftrl.word_features)):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        step()
+        found = docs.mapInArrow(sizes, "n long, size long").agg(F.sum("n").alias("n"), F.max("size").alias("size")).first()
+        assert found["n"] == 2000 and found["size"] < 6 << 20
