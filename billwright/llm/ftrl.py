@@ -131,7 +131,7 @@ def train(sample, label_col, features, bits=BITS, shard_rows=SHARD_ROWS, **optio
         for batch in batches:
             ids += batch.column("doc_id").to_pylist()
             labels += batch.column(label_col).to_pylist()
-            texts += [features(t) for t in batch.column("text").to_pylist()]
+            texts += [(index.astype(np.int32), value) for index, value in map(features, batch.column("text").to_pylist())]
         if ids:
             order = np.argsort(mix(np.array(ids, dtype=np.int64).view(np.uint64)), kind="stable")
             weights = fit([texts[i] for i in order], [labels[i] for i in order], 1 << bits, **options)

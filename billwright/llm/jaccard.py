@@ -27,11 +27,11 @@ named by the smallest id in it.
 """
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -51,6 +51,8 @@ PARTS, SHARED = 1.1, 0.12
 STARS, MOST_STARS = 2, 10
 #: Rows that a group of signatures or shingles holds on average, at most; text bytes that a task takes at once.
 GROUP_ROWS, TEXT_BYTES = 2_000_000, 4 << 20
+#: Rows of a group that are sorted at once, on average; characters of text whose words are held as objects at once.
+SORT_ROWS, WORD_CHARS = 250_000, 1 << 19
 #: Characters of text in a block of compared sets, and pairs between two blocks, on average at most.
 BLOCK_CHARS, BLOCK_PAIRS = 4_000_000, 100_000
 #: Candidate documents up to this count are picked from the corpus by a broadcast list of ids; more by shuffle.
@@ -68,6 +70,16 @@ def mix(x):
 
 def shingle_sets(texts):
     """Sorted distinct shingle keys of each text."""
+    texts, out, start, held = list(texts), [], 0, 0
+    for end, text in enumerate(texts, 1):
+        held += len(text or "")
+        if held >= WORD_CHARS or end == len(texts):
+            out += _shingle_sets(texts[start:end])
+            start, held = end, 0
+    return out
+
+
+def _shingle_sets(texts):
     found = [(t or "").encode().lower().split() for t in texts]
     ends = np.cumsum([len(w) for w in found])
     flat = np.empty(ends[-1] if len(found) else 0, dtype=object)
@@ -221,38 +233,49 @@ def shared_signatures(docs, shingles, text_col="text"):
     bits = _bits(shingles, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) / 2)
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tag", pa.int8()), ("sig", pa.int64()), ("g", pa.int32())])
 
-    def meet(table):
-        """Each signature takes 21 bytes here; nothing is held twice but what is being sorted."""
-        blob = lambda name, i, kind: np.frombuffer(table.column(name)[i].as_buffer(), dtype=kind)
-        rows = pc.sum(pc.binary_length(table.column("tags"))).as_py()
-        node, size, tag, key = np.empty(rows, np.int64), np.empty(rows, np.int32), np.empty(rows, np.int8), np.zeros(rows, np.int64)
-        low, at = key.view(np.uint8).reshape(-1, 8), 0
-        for i, part in enumerate(table.column("part").to_pylist()):
-            counts = blob("counts", i, np.uint32)
-            end = at + int(counts.sum())
-            node[at:end] = np.repeat(blob("nodes", i, np.int64), counts)
-            size[at:end] = np.repeat(blob("sizes", i, np.int32), counts)
-            tag[at:end] = blob("tags", i, np.int8)
-            low[at:end, :5] = blob("keys", i, np.uint8).reshape(-1, 5)
-            key[at:end] += part << 40
-            at = end
-        del low
-        order = np.lexsort((node, key))
-        key = key[order]
-        node = node[order]
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        key, node, order = key[fresh], node[fresh], order[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        g = np.diff(np.concatenate([starts, [len(key)]]))
-        g = np.repeat(g, g)
-        keep = g > 1
-        order = order[keep]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((node[keep], size[order], tag[order], key[keep], g[keep]), schema, strict=True)], schema=schema)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _slices(batches, 5, nodes=np.int64, sizes=np.int32, tags=np.int8):
+            node, size, tag, key = held["nodes"], held["sizes"], held["tags"], held["keys"] + (held["part"] << 40)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node, order = key[fresh], node[fresh], order[fresh]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            g = np.diff(np.concatenate([starts, [len(key)]]))
+            g = np.repeat(g, g)
+            keep = g > 1
+            order = order[keep]
+            yield _tables(schema, (node[keep], size[order], tag[order], key[keep], g[keep]))
 
     blobs = _signature_blobs(docs, text_col, bits)
     return blobs.groupBy("part").applyInArrow(meet, "node long, n int, tag tinyint, sig long, g int")
 
 
+def _slices(batches, width, **columns):
+    """The rows of one group by the last byte of their keys, SORT_ROWS at once on average; equal keys stay together.
+
+    The group itself is held as it travelled. ``width``: bytes of a key; columns: their types, ``tags`` has a value for each key, the others for each set.
+    """
+    group = [(batch, i) for batch in batches for i in range(batch.num_rows)]
+    view = lambda batch, i, name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), dtype=kind)
+    rows = sum(len(view(batch, i, "keys", np.uint8)) // width for batch, i in group)
+    edges = np.linspace(0, 256, min(256, max(1, math.ceil(rows / SORT_ROWS))) + 1).astype(np.int64)
+    for first, end in zip(edges[:-1], edges[1:], strict=True):
+        found = {name: [] for name in (*columns, "keys")}
+        for batch, i in group:
+            low = view(batch, i, "keys", np.uint8).reshape(-1, width)
+            at = np.flatnonzero((low[:, 0] >= first) & (low[:, 0] < end))
+            owner = np.searchsorted(np.cumsum(view(batch, i, "counts", np.uint32)), at, side="right")
+            for name, kind in columns.items():
+                found[name].append(view(batch, i, name, kind)[at if name == "tags" else owner])
+            key = np.zeros((len(at), 8), dtype=np.uint8)
+            key[:, :width] = low[at]
+            found["keys"].append(key.view(np.int64).ravel())
+        found = {name: np.concatenate(arrays) for name, arrays in found.items()}
+        if len(found["keys"]):
+            yield found | {"part": group[0][0].column("part")[group[0][1]].as_py()}
+
+
 def thin_signatures(docs, bands, text_col="text"):
     """(node, n, tag, sig, g): the single-shingle signatures of thin sets in the bands, and who else in the band holds them."""
     schema = pa.schema([("node", pa.int64()), ("n", pa.int32()), ("tag", pa.int8()), ("sig", pa.int64())])
@@ -279,9 +302,10 @@ def candidate_groups(shared):
     """(sig, node, n): of each set with enough shared signatures, the rarest that must hold one common with any partner."""
     per_set = Window.partitionBy("node", "tag")
     wanted = F.expr(f"if(tag <> 0, greatest(1, int({SHARED} * shiftleft(1, int(abs(tag))))), 1)")
-    ranked = shared.withColumn("_all", F.count(F.lit(1)).over(per_set)).where(F.col("_all") >= wanted)
-    ranked = ranked.withColumn("_rank", F.row_number().over(per_set.orderBy("g", "sig")))
-    return ranked.where(F.col("_rank") <= F.col("_all") - wanted + 1).select("sig", "node", "n")
+    # the rank first: its order serves the count too, so that rows are sorted once
+    ranked = shared.withColumn("_rank", F.row_number().over(per_set.orderBy("g", "sig")))
+    ranked = ranked.withColumn("_all", F.count(F.lit(1)).over(per_set))
+    return ranked.where((F.col("_all") >= wanted) & (F.col("_rank") <= F.col("_all") - wanted + 1)).select("sig", "node", "n")
 
 
 def _texts_of(docs, sets, nodes, id_col, text_col):
@@ -328,21 +352,14 @@ def well_covered(texts, shingles):
                 rows.append((int(part[start]), node[mine].tobytes(), counts.astype(np.uint32).tobytes(), low.tobytes()))
             yield _tables(blob, zip(*rows, strict=True))
 
-    def meet(table):
-        node, key = [], []
-        for row in table.to_pylist():
-            node.append(np.repeat(np.frombuffer(row["nodes"], dtype=np.int64), np.frombuffer(row["counts"], dtype=np.uint32)))
-            low = np.zeros((len(node[-1]), 8), dtype=np.uint8)
-            low[:, 2:] = np.frombuffer(row["keys"], dtype=np.uint8).reshape(-1, 6)
-            key.append(low.view(np.uint64).ravel())
-        node, key = np.concatenate(node), np.concatenate(key)
-        order = np.argsort(key, kind="stable")
-        node, key = node[order], key[order]
-        same = key[1:] == key[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        mine, at, n = np.unique(node, return_inverse=True, return_counts=True)
-        hits = np.bincount(at, weights=shared, minlength=len(mine)).astype(np.int32)
-        return pa.Table.from_arrays([pa.array(mine), pa.array(n.astype(np.int32)), pa.array(hits)], schema=hit)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _slices(batches, 6, nodes=np.int64):
+            order = np.argsort(held["keys"], kind="stable")
+            node, key = held["nodes"][order], held["keys"][order]
+            same = key[1:] == key[:-1]
+            shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            mine, at, n = np.unique(node, return_inverse=True, return_counts=True)
+            yield _tables(hit, (mine, n.astype(np.int32), np.bincount(at, weights=shared, minlength=len(mine)).astype(np.int32)))
 
     found = texts.mapInArrow(emit, "part int, nodes binary, counts binary, keys binary").groupBy("part").applyInArrow(meet, "node long, n int, hits int")
     return found.groupBy("node").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where("4 * hits >= 3 * n").select("node", F.col("hits").alias("h"))
@@ -465,7 +482,7 @@ def node_components(docs, sets, id_col="doc_id", text_col="text", stars=STARS, m
     groups = settle(candidate_groups(shared), "groups")
     texts = _texts_of(docs, sets, groups.select("node").distinct(), id_col, text_col)
     groups = settle(distinct_groups(groups.join(settle(well_covered(texts, shingles), "covered"), "node")), "groups").withColumn("ds", F.array().cast("array<double>"))
-    labels = spark.createDataFrame([], "node long, label long")
+    labels = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("label"))  # local rows would start Python workers of another kind on every executor
     done = None
     for turn in range(most_stars + 1):
         left = settle(_open(groups.select("sig", "node", "n", "h", "ds"), labels), "open")

@@ -274,3 +274,52 @@ def test_batches_of_texts_are_bounded_by_bytes(spark):
         step()
         found = docs.mapInArrow(sizes, "n long, size long").agg(F.sum("n").alias("n"), F.max("size").alias("size")).first()
         assert found["n"] == 2000 and found["size"] < 6 << 20
+
+
+def test_words_are_held_for_a_slice_of_the_texts():
+    """Words as objects take ten times their text: 4 MB of text at once took more than 40 MB."""
+    import tracemalloc
+
+    texts = [" ".join(f"{i}x{j}" for j in range(250)) for i in range(2000)] + [None, "", "one two"]
+    whole = jaccard._shingle_sets(texts)
+    tracemalloc.start()
+    found = jaccard.shingle_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(found, whole, strict=True)) and peak < 30 << 20
+    assert jaccard.shingle_sets([]) == []
+
+
+@pytest.mark.parametrize("width", [5, 6])
+def test_groups_are_sorted_by_slices(width):
+    """A group of a million keys comes in slices of about SORT_ROWS, each key with its set, equal keys in one slice."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    batches, expected = [], []
+    for b in range(4):
+        rows = []
+        for _ in range(5):
+            counts = rng.integers(1, 100, 1000).astype(np.uint32)
+            nodes, key = rng.integers(0, 1 << 60, 1000), rng.integers(0, 1 << 8 * width, counts.sum()) % (200_000 if b else 1 << 8 * width)
+            low = np.ascontiguousarray(key).view(np.uint8).reshape(-1, 8)[:, :width]
+            rows.append((9, nodes.tobytes(), counts.tobytes(), (key % 7).astype(np.int8).tobytes(), low.tobytes()))
+            expected.append(np.stack([key, np.repeat(nodes, counts), key % 7]))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["part", "nodes", "counts", "tags", "keys"]))
+    got = list(jaccard._slices(iter(batches), width, nodes=np.int64, tags=np.int8))
+    assert max(len(x["keys"]) for x in got) < 1.2 * jaccard.SORT_ROWS and {x["part"] for x in got} == {9}
+    assert sum(len(np.unique(x["keys"])) for x in got) == len(np.unique(np.concatenate([x["keys"] for x in got])))
+    found, expected = np.concatenate([np.stack([x["keys"], x["nodes"], x["tags"]]) for x in got], axis=1), np.concatenate(expected, axis=1)
+    assert np.array_equal(found[:, np.lexsort(found)], expected[:, np.lexsort(expected)])
+
+
+def test_jaccard_join_holds_little(spark, monkeypatch):
+    """Candidates are sorted once, and no local rows pass through Python workers of their own."""
+    from pyspark.sql import functions as F
+
+    shared = spark.range(1000).select(F.expr("id % 50").alias("node"), F.lit(20).alias("n"), F.lit(4).cast("tinyint").alias("tag"), (F.col("id") % 97).alias("sig"), (F.col("id") % 5).cast("int").alias("g"))
+    plan = jaccard.candidate_groups(shared)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 2
+    docs = document_frame(spark, [(1, prose(1, 90)), (2, prose(1, 90)), (3, prose(7, 90))])
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    assert sorted(r["doc_id"] for r in jaccard.deduplicate(docs).collect()) == [1, 3]
