@@ -135,15 +135,17 @@ def train(sample, label_col, features, bits=BITS, shard_rows=SHARD_ROWS, **optio
         if ids:
             order = np.argsort(mix(np.array(ids, dtype=np.int64).view(np.uint64)), kind="stable")
             weights = fit([texts[i] for i in order], [labels[i] for i in order], 1 << bits, **options)
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([weights.astype(np.float32).tobytes()], pa.binary())], names=["n", "weights"])
+            weights = weights.astype(np.float32)
+            places = np.flatnonzero(weights).astype(np.int32)  # a shard knows few of all features
+            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), pa.array([places.tobytes()], pa.binary()), pa.array([weights[places].tobytes()], pa.binary())], names=["n", "places", "weights"])
 
     bounded_batches(sample.sparkSession)
     shards = max(1, math.ceil(sample.count() / shard_rows))
-    parts = sample.repartition(shards, F.xxhash64("doc_id", F.lit(7))).mapInArrow(shard, "n long, weights binary").collect()
+    parts = sample.repartition(shards, F.xxhash64("doc_id", F.lit(7))).mapInArrow(shard, "n long, places binary, weights binary").collect()
     total = sum(p["n"] for p in parts)
     out = np.zeros((1 << bits) + 1, dtype=np.float32)
     for p in parts:
-        out += np.frombuffer(p["weights"], dtype=np.float32) * np.float32(p["n"] / total)
+        out[np.frombuffer(p["places"], dtype=np.int32)] += np.frombuffer(p["weights"], dtype=np.float32) * np.float32(p["n"] / total)
     return out
 
 

@@ -235,3 +235,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0 and counts[1] < counts[0]
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert ran.count() == counts[-1] and {"rate", "copies"} <= set(ran.columns)
+
+
+def test_shards_send_the_driver_what_they_know(spark, monkeypatch):
+    """Twenty shards sent a megabyte each, nearly all zeros; the weights stay those of the plain fit."""
+    from billwright.llm import ftrl
+
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 40 + 40 * (i % 2)}" for j in range(30)), float(i % 2)) for i in range(200)]
+    sample = spark.createDataFrame(rows, "doc_id long, text string, y double")
+    collect, sizes = type(sample).collect, []
+
+    def watched(self):
+        out = collect(self)
+        sizes.append(sum(len(v) for r in out for v in r if isinstance(v, (bytes, bytearray))))
+        return out
+
+    monkeypatch.setattr(type(sample), "collect", watched)
+    ftrl.train(sample, "y", ftrl.word_features, shard_rows=10)
+    assert len(sizes) == 1 and 0 < sizes[0] < 1 << 20
+    whole = ftrl.train(sample, "y", ftrl.word_features, shard_rows=200)
+    order = np.argsort(ftrl.mix(np.arange(200, dtype=np.int64).view(np.uint64)), kind="stable")
+    plain = ftrl.fit([ftrl.word_features(rows[i][1]) for i in order], [rows[i][2] for i in order], 1 << ftrl.BITS)
+    assert np.array_equal(whole, plain.astype(np.float32))
